@@ -48,7 +48,7 @@ def grid_index(ratio: Column) -> Column:
     The division gives the index up to rounding; comparing with the grid values next to it settles it.
     """
     inside = ~F.isnan(ratio) & (ratio <= F.lit(GRID_END) + F.lit(GRID_STEP))
-    bounded = F.greatest(F.when(inside, ratio), F.lit(0.0))
+    bounded = F.when(inside, F.greatest(ratio, F.lit(0.0)))
     guess = F.ceil(bounded / F.lit(GRID_STEP)).cast("int")
     settled = (
         F.when((guess > 0) & (grid_value(guess - 1) >= bounded), guess - 1)

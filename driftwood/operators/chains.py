@@ -18,35 +18,39 @@ PIECES = 1024
 
 
 def _order(order: list[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    """The first column carries the direction of time, the others only break ties."""
+    lead = F.col(order[0])
+    return [lead.desc() if descending else lead.asc(), *[F.col(c).asc() for c in order[1:]]]
 
 
-def _long_chains(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys of chains that are too long for one task.
+def long_chains(df: DataFrame, keys: list[str], limit: int = LONG_CHAIN) -> DataFrame | None:
+    """Keys of the chains that are too long for one task, None where there are none.
 
-    Only a chain holding at least a 4096th of all rows counts, so there are at most 4096 of them.
+    Only a chain holding at least a 4096th of all rows counts, so there are at most 4096 of them. Runs a
+    count over the key columns.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    candidates = sizes.filter(F.col("_size") > limit)
+    if candidates.isEmpty():
+        return None
     share = sizes.agg((F.sum("_size") / 4096).alias("share"))
-    return sizes.filter(F.col("_size") > limit).filter(F.col("_size") >= share.scalar()).select(*keys)
+    return candidates.filter(F.col("_size") >= share.scalar()).select(*keys)
 
 
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = False,
-    long_chain: int = LONG_CHAIN, pieces: int = PIECES,
+    long_keys: DataFrame | None = None, pieces: int = PIECES,
 ) -> DataFrame:
     """Adds ``_prev``, a struct of ``values`` from the row before in the same chain (null for the first).
 
-    A chain usually fits one task, and a plain window does. A count of the keys, which reads no text, finds
-    the chains that do not: these are cut at quantiles of the first order column, each piece is a window
+    A chain usually fits one task, and a plain window does. The chains in ``long_keys`` do not: these are cut at quantiles of the first order column, each piece is a window
     of its own, and the first row of a piece takes its value from the last row of the piece before.
     """
     if not set(values) <= set(df.columns):
         raise ValueError("values must name columns of df")
     previous = F.struct(*values)
     by_order = _order(order, descending)
-    long_keys = _long_chains(df, keys, long_chain)
-    if long_keys.isEmpty():
+    if long_keys is None:
         return df.withColumn("_prev", F.lag(previous).over(W.partitionBy(*keys).orderBy(*by_order)))
 
     # At most 4096 keys with `pieces` numbers each: small enough to broadcast.
@@ -80,25 +84,25 @@ def with_previous(
 
 
 def collapse_unchanged(
-    df: DataFrame, keys: list[str], order: list[str], content: str, newest_first: bool = True, **limits
+    df: DataFrame, keys: list[str], order: list[str], content: str, newest_first: bool = True, long_keys: DataFrame | None = None
 ) -> DataFrame:
     """Keeps the first of each run of equal contents; compares digests, so no content is carried along."""
     digested = df.withColumn("_digest", F.sha2(F.col(content).cast("binary"), 256))
-    linked = with_previous(digested, keys, order, ["_digest"], descending=not newest_first, **limits)
+    linked = with_previous(digested, keys, order, ["_digest"], descending=not newest_first, long_keys=long_keys)
     changed = F.col("_prev").isNull() | ~F.col("_prev._digest").eqNullSafe(F.col("_digest"))
     return linked.filter(changed).drop("_prev", "_digest")
 
 
 def flag_changes(
     df: DataFrame, keys: list[str], order: list[str], code: str = "code", docstring: str = "docstring",
-    newest_first: bool = True, **limits,
+    newest_first: bool = True, long_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Drops versions equal to the one before, flags what changed in the rest, and measures by how much.
 
     A dropped row equals its predecessor, so comparing with the previous row is the same as comparing with
     the previous kept row. The first version of a chain has null flags and similarities.
     """
-    linked = with_previous(df, keys, order, [code, docstring], descending=not newest_first, **limits)
+    linked = with_previous(df, keys, order, [code, docstring], descending=not newest_first, long_keys=long_keys)
     first = F.col("_prev").isNull()
     old_code, old_doc = F.col("_prev")[code], F.col("_prev")[docstring]
     return (
@@ -112,10 +116,10 @@ def flag_changes(
 
 
 def link_versions(
-    df: DataFrame, keys: list[str], order: list[str], id_column: str = "id", newest_first: bool = True, **limits
+    df: DataFrame, keys: list[str], order: list[str], id_column: str = "id", newest_first: bool = True, long_keys: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``last_version``, the id of the version before, null for the first."""
-    linked = with_previous(df, keys, order, [id_column], descending=not newest_first, **limits)
+    linked = with_previous(df, keys, order, [id_column], descending=not newest_first, long_keys=long_keys)
     return linked.withColumn("last_version", F.col("_prev")[id_column]).drop("_prev")
 
 

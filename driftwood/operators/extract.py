@@ -12,13 +12,16 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.functions.text import dedent, docstring_span, remove_docstring
 
-_FOUND = (
-    "array<struct<node:int, name:string, start_line:int, end_line:int, "
-    "docstring:string, trivial:boolean, code:string>>"
-)
+_FOUND = T.ArrayType(T.StructType([
+    T.StructField("node", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
+    T.StructField("docstring", T.StringType()), T.StructField("trivial", T.BooleanType()),
+    T.StructField("code", T.StringType()),
+]))
 _FOUND_ARROW = pa.list_(pa.struct([
     ("node", pa.int32()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
     ("docstring", pa.string()), ("trivial", pa.bool_()), ("code", pa.string()),

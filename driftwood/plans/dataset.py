@@ -36,14 +36,15 @@ def cut_dataset(
 ) -> Dataset:
     """Held-out repositories, and a balanced sample of the others split into train and test.
 
-    ``n=None`` or an ``n`` above the number of rows takes all rows.
+    ``n=None`` or an ``n`` above the number of rows takes all rows. Each step has a seed of its own: the
+    sample takes the lowest hashes of a group, and a split by the same hashes would put them all in one part.
     """
     key = key or ["id"]
     clean = complete_rows(wide)
     kept_out, rest = hold_out(clean, group, held_out_groups(clean, group, key, held, seed))
     if n is not None and rest.count() > n:
-        rest = balanced_sample(rest, group, key, n, seed)
-    train, test = split_by_hash(rest, key, train_fraction, seed)
+        rest = balanced_sample(rest, group, key, n, seed + 1)
+    train, test = split_by_hash(rest, key, train_fraction, seed + 2)
     return Dataset(kept_out, train, test)
 
 
@@ -51,5 +52,5 @@ def training_samples(train: DataFrame) -> DataFrame:
     return samples(train.withColumn("label", F.lit(True)))
 
 
-def test_samples(test: DataFrame, key: list[str] | None = None, seed: int = 42) -> DataFrame:
+def test_samples(test: DataFrame, key: list[str] | None = None, seed: int = 45) -> DataFrame:
     return samples(with_negatives(test, key or ["id"], "docstring", seed))

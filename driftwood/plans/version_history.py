@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.hashing import entity_id
 from driftwood.functions.text import short_label
-from driftwood.operators.chains import collapse_unchanged, flag_changes, link_versions
+from driftwood.operators.chains import collapse_unchanged, flag_changes, link_versions, long_chains
 from driftwood.operators.extract import documented_functions, extract_functions
 from driftwood.session import materialise
 from driftwood.sources.history import decode_sources, python_files
@@ -27,7 +27,8 @@ def mine_functions(file_versions: DataFrame, newest_first: bool = True) -> DataF
 
     Native filters and the collapse of equal contents come first, so that only what changed is parsed.
     """
-    changed = collapse_unchanged(python_files(file_versions), ["repo", "path"], ["seq"], "content", newest_first)
+    sources, chain = python_files(file_versions), ["repo", "path"]
+    changed = collapse_unchanged(sources, chain, ["seq"], "content", newest_first, long_chains(sources, chain))
     return documented_functions(extract_functions(decode_sources(changed)))
 
 
@@ -42,14 +43,15 @@ def version_history(file_versions: DataFrame, newest_first: bool = True, staged:
         mined = materialise(mined, "mined")
     chain = ["repo", "path", "name"]
     order = ["seq", "node"]
-    flagged = flag_changes(mined, chain, order, newest_first=newest_first)
+    long_keys = long_chains(mined, chain)
+    flagged = flag_changes(mined, chain, order, newest_first=newest_first, long_keys=long_keys)
     file_id = entity_id(F.col("repo"), F.col("path"))
     identified = (
         flagged.withColumn("file", file_id)
         .withColumn("function", entity_id(F.col("file"), F.col("name")))
         .withColumn("id", entity_id(F.col("function"), F.col("seq"), F.col("node")))
     )
-    linked = link_versions(identified, chain, order, newest_first=newest_first)
+    linked = link_versions(identified, chain, order, newest_first=newest_first, long_keys=long_keys)
     versions = linked.select(
         "id", short_label(F.col("commit")).alias("commit"), F.col("committed_at").alias("date"), "code", "docstring",
         "code_updated", "docstring_updated", "code_similarity", "docstring_similarity", "function", "last_version",
