@@ -11,7 +11,7 @@ from driftwood.functions.text import VERDICT_MARKS
 from driftwood.operators import profile
 from driftwood.operators.confusion import threshold_curve, with_scores
 from driftwood.operators.relations import stage_counts, sum_of_optional, wide_table
-from driftwood.operators.tokens import geometric_means, token_weights
+from driftwood.operators.tokens import count_tokens, geometric_means, token_weights, vocabulary
 from driftwood.operators.votes import tally
 from driftwood.plans.scoring import pair_similarities, lower_median
 from driftwood.plans.training_blocks import token_weight_table
@@ -92,9 +92,8 @@ f AS (SELECT v.token, v.token_id, count(t.token) AS frequency
 
 
 def _labelled_weights(spark, sf):
-    from driftwood.operators.tokens import vocabulary
     good = views.labeled(spark, sf).filter("l")
-    return token_weight_table(good, vocabulary(views.tokens(spark, sf)))
+    return token_weight_table(good, vocabulary(count_tokens(views.tokens(spark, sf))))
 
 
 @query("a9_token_frequencies", A9_SQL + "SELECT token_id, token, frequency FROM f")

@@ -74,7 +74,7 @@ b_samples AS (
 SELECT part, l, c, d, '<|fim_prefix|>' || split_part(c, E'\n', 1) || E'\n\n    \"\"\"<|fim_suffix|>\"\"\"\n    ' || split_part(c, E'\n', 2) || '<|fim_middle|>' || d || '<|file_separator|>' AS e FROM b_samples
 """)
 def x3(spark, sf):
-    wide = wide_table(*views.chain_tables(spark, sf))
+    wide = wide_table(*views.chain_tables(spark, sf), complete_only=True)
     cut = dataset.cut_dataset(wide, 20_000)
     train = dataset.training_samples(cut.train).withColumn("part", F.lit("train"))
     return train.unionByName(dataset.test_samples(cut.test).withColumn("part", F.lit("test")))
@@ -82,7 +82,7 @@ def x3(spark, sf):
 
 @query("x3_held_out", DATASET_SQL + "SELECT repo_name, count(*) AS rows FROM b_clean WHERE id NOT IN (SELECT id FROM b_rest) GROUP BY repo_name")
 def x3_held(spark, sf):
-    cut = dataset.cut_dataset(wide_table(*views.chain_tables(spark, sf)), None)
+    cut = dataset.cut_dataset(wide_table(*views.chain_tables(spark, sf), complete_only=True), None)
     return cut.held_out.groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 

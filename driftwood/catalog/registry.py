@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.sources.tables import read_table
+
 
 class Entry(NamedTuple):
     build: Callable[[SparkSession, str], DataFrame]
@@ -26,8 +28,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows cost much work, with the key to spread them by where they come in few splits.
+SPREAD = {"documents": "doc_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", SPREAD.get(name))
 
 
 def r6(column: Column | str) -> Column:

@@ -9,7 +9,9 @@ from driftwood.catalog.python_sources import EXPECTED, ratio_sql, sources
 from driftwood.catalog.registry import query, r6, table
 from driftwood.catalog.windows import KEPT_SQL, _kept
 from driftwood.functions import metrics, text
-from driftwood.functions.vectors import cosine, euclidean, l2_normalise
+from driftwood.functions.similarity import similarity
+from driftwood.functions.vectors import cosine, euclidean, l2_normalise, norm, unit_euclidean
+from driftwood.operators.chains import long_chains, with_previous
 from driftwood.operators.extract import extract_functions, located_functions
 from driftwood.sources.history import iso_date
 
@@ -51,10 +53,9 @@ WITH n AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY do
 SELECT doc_id, round({ratio_sql('text', 'other')}, 6) AS similarity FROM n WHERE other IS NOT NULL
 """)
 def c4_documents(spark, sf):
-    from driftwood.operators.chains import long_chains, with_previous
     rows = table(spark, sf, "documents").select("doc_id", "source", "text")
-    linked = with_previous(rows, ["source"], ["doc_id"], ["text", "doc_id"], descending=True, long_keys=long_chains(rows, ["source"]))
-    return linked.filter(F.col("_prev").isNotNull()).select("doc_id", r6(text.similarity(F.col("text"), F.col("_prev.text"))).alias("similarity"))
+    linked = with_previous(rows, ["source"], ["doc_id"], ["text"], descending=True, long_keys=long_chains(rows, ["source"]))
+    return linked.filter("_has_prev").select("doc_id", r6(similarity("text", "_prev_text")).alias("similarity"))
 
 
 # The header of b_code ends behind its first line.
@@ -125,15 +126,17 @@ def c11(spark, sf):
 
 @query("c12_vector_distances", f"""
 WITH {views.VECTORS}
-SELECT item_idx, round(list_cosine_similarity(code, doc), 6) AS cosine, round(list_distance(code, doc), 6) AS euclidean, round(list_distance(ucode, udoc), 6) AS euclidean_unit FROM b_unit
+SELECT item_idx, round(list_cosine_similarity(code, doc), 6) AS cosine, round(list_distance(code, doc), 6) AS euclidean, round(list_distance(ucode, udoc), 6) AS euclidean_unit, round(sqrt(list_inner_product(ucode, ucode)), 6) AS unit_norm FROM b_unit
 """)
 def c12(spark, sf):
     rows = views.embeddings(spark, sf)[0]
     codes = rows.filter("role = 'code'").select("item_idx", F.col("embedding").alias("a"))
     pairs = codes.join(rows.filter("role = 'doc'").select("item_idx", F.col("embedding").alias("b")), "item_idx")
-    a, b = F.col("a"), F.col("b")
-    return pairs.select("item_idx", r6(cosine(a, b)).alias("cosine"), r6(euclidean(a, b)).alias("euclidean"),
-                        r6(euclidean(l2_normalise(a), l2_normalise(b))).alias("euclidean_unit"))
+    a, b, norm_a, norm_b = (F.col(c) for c in ("a", "b", "norm_a", "norm_b"))
+    measured = pairs.withColumn("norm_a", norm(a)).withColumn("norm_b", norm(b)).withColumn("unit_a", l2_normalise(a, norm_a))
+    return measured.select(
+        "item_idx", r6(cosine(a, b, norm_a, norm_b)).alias("cosine"), r6(euclidean(a, b)).alias("euclidean"),
+        r6(unit_euclidean(a, b, norm_a, norm_b)).alias("euclidean_unit"), r6(norm(F.col("unit_a"))).alias("unit_norm"))
 
 
 @query("c13_score_ratio", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.catalog.registry import table
-from driftwood.operators.tokens import explode_tokens, vocabulary, words
+from driftwood.operators.tokens import count_tokens, explode_tokens, vocabulary, words
 
 # --- code and docstring of each document -------------------------------------------------------------
 
@@ -236,7 +236,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = tokens(spark, sf)
-    return rows.join(vocabulary(rows), "token")
+    return rows.join(vocabulary(count_tokens(rows)), "token", "left")
 
 
 def token_probabilities(spark: SparkSession, sf: str) -> DataFrame:

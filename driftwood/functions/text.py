@@ -139,19 +139,6 @@ def docstring_span(code: Column) -> Column:
     return F.struct(first.alias("first_line"), last.alias("last_line"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Share of characters two texts have in common, counted with repetition; 1 for two empty texts."""
-    def uses(text: Column, char: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, char, F.lit("")))
-
-    chars = F.filter(F.array_distinct(F.split(a, "")), lambda char: char != "")
-    common = F.aggregate(chars, F.lit(0), lambda total, char: total + F.least(uses(a, char), uses(b, char)))
-    size = F.length(a) + F.length(b)
-    ratio = F.when(size == 0, F.lit(1.0)).otherwise(F.lit(2.0) * common / F.nullif(size, F.lit(0)))
-    # Equal texts need no counting; the branch order lets Spark skip the fold for them.
-    return F.when(a == b, F.lit(1.0)).otherwise(ratio)
-
-
 def training_prompt(code: Column, begin: Column, docstring: Column) -> Column:
     header = F.substring(code, F.lit(1), begin)
     body = F.substring(code, begin + 1, F.length(code))

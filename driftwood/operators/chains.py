@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftwood.functions.text import similarity
+from driftwood.functions.similarity import similarity
 
 # A chain longer than this is cut into pieces; a piece is what one task sorts.
 LONG_CHAIN = 1_000_000
@@ -41,17 +41,22 @@ def with_previous(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = False,
     long_keys: DataFrame | None = None, pieces: int = PIECES,
 ) -> DataFrame:
-    """Adds ``_prev``, a struct of ``values`` from the row before in the same chain (null for the first).
+    """Adds ``_prev_<value>`` from the row before in the same chain, and ``_has_prev``, false for the first row.
 
     A chain usually fits one task, and a plain window does. The chains in ``long_keys`` do not: these are cut at quantiles of the first order column, each piece is a window
     of its own, and the first row of a piece takes its value from the last row of the piece before.
     """
     if not set(values) <= set(df.columns):
         raise ValueError("values must name columns of df")
-    previous = F.struct(*values)
     by_order = _order(order, descending)
+    named = {f"_prev_{v}": v for v in values}
+
+    def look_back(window):
+        columns = {name: F.lag(v).over(window) for name, v in named.items()}
+        return {**columns, "_has_prev": F.row_number().over(window) > 1}
+
     if long_keys is None:
-        return df.withColumn("_prev", F.lag(previous).over(W.partitionBy(*keys).orderBy(*by_order)))
+        return df.withColumns(look_back(W.partitionBy(*keys).orderBy(*by_order)))
 
     # At most 4096 keys with `pieces` numbers each: small enough to broadcast.
     shares = [i / pieces for i in range(1, pieces)]
@@ -66,20 +71,15 @@ def with_previous(
     )
     cut_up = df.join(F.broadcast(cuts), keys, "left").withColumn("_piece", piece).drop("_cuts")
     inner = W.partitionBy(*keys, "_piece").orderBy(*by_order)
-    marked = (
-        cut_up.withColumn("_prev", F.lag(previous).over(inner))
-        .withColumn("_first", F.row_number().over(inner) == 1)
-        .withColumn("_last", F.lead(F.lit(1)).over(inner).isNull())
-    )
-    seam = (F.col("_piece") >= 0) & (F.col("_first") | F.col("_last"))
-    # At most two rows per piece.
-    stitched = (
-        marked.filter(seam)
-        .withColumn("_over", F.lag(previous).over(W.partitionBy(*keys).orderBy(*by_order)))
-        .withColumn("_prev", F.when(F.col("_first"), F.col("_over")).otherwise(F.col("_prev")))
-        .drop("_over")
-    )
-    helpers = ["_piece", "_first", "_last"]
+    marked = cut_up.withColumns({**look_back(inner), "_last": F.lead(F.lit(1)).over(inner).isNull()})
+    seam = (F.col("_piece") >= 0) & (~F.col("_has_prev") | F.col("_last"))
+    # At most two rows per piece. Only the first row of a piece takes over what it sees here.
+    across = look_back(W.partitionBy(*keys).orderBy(*by_order))
+    seen = marked.filter(seam).withColumns({f"_over{name}": column for name, column in across.items()})
+    stitched = seen.withColumns({
+        name: F.when(F.col("_has_prev"), F.col(name)).otherwise(F.col(f"_over{name}")) for name in named
+    }).withColumn("_has_prev", F.col("_has_prev") | F.col("_over_has_prev")).drop(*[f"_over{name}" for name in across])
+    helpers = ["_piece", "_last"]
     return marked.filter(~seam).unionByName(stitched).drop(*helpers)
 
 
@@ -89,8 +89,8 @@ def collapse_unchanged(
     """Keeps the first of each run of equal contents; compares digests, so no content is carried along."""
     digested = df.withColumn("_digest", F.sha2(F.col(content).cast("binary"), 256))
     linked = with_previous(digested, keys, order, ["_digest"], descending=not newest_first, long_keys=long_keys)
-    changed = F.col("_prev").isNull() | ~F.col("_prev._digest").eqNullSafe(F.col("_digest"))
-    return linked.filter(changed).drop("_prev", "_digest")
+    changed = ~F.col("_has_prev") | ~F.col("_prev__digest").eqNullSafe(F.col("_digest"))
+    return linked.filter(changed).drop("_has_prev", "_prev__digest", "_digest")
 
 
 def flag_changes(
@@ -103,15 +103,15 @@ def flag_changes(
     the previous kept row. The first version of a chain has null flags and similarities.
     """
     linked = with_previous(df, keys, order, [code, docstring], descending=not newest_first, long_keys=long_keys)
-    first = F.col("_prev").isNull()
-    old_code, old_doc = F.col("_prev")[code], F.col("_prev")[docstring]
+    first = ~F.col("_has_prev")
+    old_code, old_doc = F.col(f"_prev_{code}"), F.col(f"_prev_{docstring}")
     return (
         linked.withColumn("code_updated", F.when(~first, old_code != F.col(code)))
         .withColumn("docstring_updated", F.when(~first, old_doc != F.col(docstring)))
         .filter(first | F.col("code_updated") | F.col("docstring_updated"))
-        .withColumn("code_similarity", F.when(~first, similarity(old_code, F.col(code))))
-        .withColumn("docstring_similarity", F.when(~first, similarity(old_doc, F.col(docstring))))
-        .drop("_prev")
+        .withColumn("code_similarity", similarity(old_code, F.col(code)))
+        .withColumn("docstring_similarity", similarity(old_doc, F.col(docstring)))
+        .drop("_has_prev", f"_prev_{code}", f"_prev_{docstring}")
     )
 
 
@@ -120,7 +120,7 @@ def link_versions(
 ) -> DataFrame:
     """Adds ``last_version``, the id of the version before, null for the first."""
     linked = with_previous(df, keys, order, [id_column], descending=not newest_first, long_keys=long_keys)
-    return linked.withColumn("last_version", F.col("_prev")[id_column]).drop("_prev")
+    return linked.withColumnRenamed(f"_prev_{id_column}", "last_version").drop("_has_prev")
 
 
 def with_last_version(df: DataFrame, id_column: str, columns: list[str], pointer: str = "last_version") -> DataFrame:

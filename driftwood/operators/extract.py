@@ -7,15 +7,20 @@ filtering come before it, dedenting and docstring removal after it, both as nati
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.functions.text import dedent, docstring_span, remove_docstring
 
+# The parser travels to the executors by value, so that they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FOUND = T.ArrayType(T.StructType([
     T.StructField("node", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),

@@ -1,8 +1,9 @@
 """Positions, samples and splits in salted hash order.
 
-Every operator counts rows per hash prefix first. That table has at most ``16 ** PREFIX_DIGITS`` rows
+Every operator counts rows per hash prefix first. That table has at most 16 to the power of its digits rows
 whatever the input size, so it may be broadcast and summed up in one task; the rows themselves are only
-ever ordered inside one prefix, and a hash prefix cannot be skewed by the data.
+ever ordered inside one prefix, and a hash prefix cannot be skewed by the data. Fewer digits mean fewer
+rows per map task in the counting shuffle, more digits mean smaller prefixes to sort.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.functions.hashing import hash_fraction, hash_of
+from driftwood.session import materialise
 
-PREFIX_DIGITS = 4          # 65,536 prefixes over a whole table
-GROUP_PREFIX_DIGITS = 3    # 4,096 prefixes inside one group
-ABOVE_ALL = "g"            # sorts behind every hex digest
+INDEX_DIGITS = 4     # 65,536 stretches of whole rows to number
+SAMPLE_DIGITS = 3    # 4,096 stretches of hashes, of which one is sorted
+GROUP_DIGITS = 2     # 256 stretches of hashes per group, of which one is sorted
+ABOVE_ALL = "g"      # sorts behind every hex digest
 
 
-def _prefix(digest: Column, digits: int = PREFIX_DIGITS) -> Column:
+def _prefix(digest: Column, digits: int) -> Column:
     return F.substring(digest, 1, digits)
 
 
@@ -30,7 +33,7 @@ def _running(counts: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, key: list[str], seed: int, name: str = "idx") -> DataFrame:
     """Numbers the rows 0, 1, 2, … in hash order of a unique key."""
-    hashed = df.withColumn("_hash", hash_of(seed, *[F.col(k) for k in key])).withColumn("_prefix", _prefix(F.col("_hash")))
+    hashed = df.withColumn("_hash", hash_of(seed, *[F.col(k) for k in key])).withColumn("_prefix", _prefix(F.col("_hash"), INDEX_DIGITS))
     offsets = _running(hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))).drop("_n")
     place = F.row_number().over(W.partitionBy("_prefix").orderBy("_hash", *key))
     return (
@@ -45,7 +48,7 @@ def hash_cut(df: DataFrame, key: list[str], seed: int, n: int | None = None, fra
 
     ``fraction`` asks for row number ``round(fraction * rows)`` instead. Reads the key columns only. Just the rows of the one prefix that holds the ``n``-th row are sorted.
     """
-    hashed = df.select(hash_of(seed, *[F.col(k) for k in key]).alias("_hash")).withColumn("_prefix", _prefix(F.col("_hash")))
+    hashed = df.select(hash_of(seed, *[F.col(k) for k in key]).alias("_hash")).withColumn("_prefix", _prefix(F.col("_hash"), SAMPLE_DIGITS))
     counts = _running(hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")))
     rows = F.sum("_n").over(W.partitionBy())
     want = F.lit(n) if fraction is None else F.round(F.lit(float(fraction)) * rows).cast("long")
@@ -110,19 +113,26 @@ def fill_level(sizes: DataFrame, n: int) -> tuple[int, int]:
     return divmod(n - step["_below"], step["_open"])
 
 
-def balanced_sample(df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, max_broadcast_groups: int = 200_000) -> DataFrame:
+def balanced_sample(
+    df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, at_most: bool = False,
+    max_broadcast_groups: int = 200_000,
+) -> DataFrame:
     """Exactly ``n`` rows, spread over the groups as evenly as their sizes allow.
 
     Every group gives the same number of rows or all it has; what is missing is taken one row each from the
     first groups in key order. Inside a group the rows come in hash order. A group of any size works: its
-    rows are counted per hash prefix, and only the prefix holding the last row to take is sorted.
+    rows are counted per hash prefix, and only the prefix holding the last row to take is sorted. Too large
+    an ``n`` is an error, or with ``at_most`` gives all rows.
     """
     if n <= 0:
         if n < 0:
             raise ValueError("n must not be negative")
         return df.limit(0)
     hashed = df.select(F.col(group), hash_of(seed, *[F.col(k) for k in key]).alias("_hash"))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    # One row per group, read several times below.
+    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+    if at_most and sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()["n"] <= n:
+        return df
     level, extra = fill_level(sizes, n)
     last = sizes.filter(F.col("_size") > level).select(group).orderBy(group).limit(extra).agg(F.max(group).alias("last"))
     quota = F.lit(level) if extra == 0 else F.when(F.col(group) <= last.scalar(), F.lit(level + 1)).otherwise(F.lit(level))
@@ -130,7 +140,7 @@ def balanced_sample(df: DataFrame, group: str, key: list[str], n: int, seed: int
 
     # Groups that give all rows need no cut; those that give none are left out.
     counted = (
-        hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_PREFIX_DIGITS))
+        hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_DIGITS))
         .groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     )
     earlier = W.partitionBy(group).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
@@ -142,7 +152,7 @@ def balanced_sample(df: DataFrame, group: str, key: list[str], n: int, seed: int
     )
     place = F.row_number().over(W.partitionBy(group, "_prefix").orderBy("_hash"))
     cuts = (
-        hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_PREFIX_DIGITS))
+        hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_DIGITS))
         .join(holders, [group, "_prefix"])
         .withColumn("_place", place)
         .filter(F.col("_place") == F.col("_want"))

@@ -34,10 +34,20 @@ def denormalise(
     return wide
 
 
-def wide_table(versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
-    """The sample table: cleaned code, body offset, and everything known about function, file and repository."""
+def wide_table(
+    versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame, complete_only: bool = False
+) -> DataFrame:
+    """The sample table: cleaned code, body offset, and everything known about function, file and repository.
+
+    ``complete_only`` drops rows with a null before their code is cleaned, and before the joins where it can.
+    """
+    if complete_only:
+        versions = complete_rows(versions)
+    joined = denormalise(versions, functions, files, repositories)
+    if complete_only:
+        joined = complete_rows(joined)
     return (
-        denormalise(versions, functions, files, repositories)
+        joined
         .withColumn("code", clean_code(F.col("code")))
         .withColumn("body_begin", body_begin(F.col("code")))
         .select(*schemas.WIDE_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import dense_index
+from driftwood.session import materialise
 
 # Fixed value: keeps the decay away from the poles of the tangent.
 EPSILON = 1e-16
@@ -21,21 +22,30 @@ def words(text: Column) -> Column:
 
 
 def explode_tokens(df: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
-    """One row per token with its position and the number of tokens in its text."""
+    """One row per token with its position and the number of tokens in its text.
+
+    The outer form with a filter behind it gives the same rows as ``posexplode``, for which Spark would
+    add a filter on the array before it and so compute the tokens twice.
+    """
     return (
         df.withColumn("_tokens", tokens)
-        .select(*keep, F.size("_tokens").alias("n_tokens"), F.posexplode("_tokens").alias("pos", "token"))
+        .select(*keep, F.size("_tokens").alias("n_tokens"), F.posexplode_outer("_tokens").alias("pos", "token"))
+        .filter(F.col("pos").isNotNull())
     )
 
 
-def vocabulary(tokens: DataFrame, seed: int = 42) -> DataFrame:
+def count_tokens(tokens: DataFrame) -> DataFrame:
+    """Occurrences per token, as a stage table: it is read several times, and far smaller than the texts."""
+    return materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")), "token-counts")
+
+
+def vocabulary(counted: DataFrame, seed: int = 42) -> DataFrame:
     """Distinct tokens, numbered in hash order so that no task sees them all."""
-    return dense_index(tokens.select("token").distinct(), ["token"], seed, "token_id")
+    return dense_index(counted.select("token"), ["token"], seed, "token_id")
 
 
-def token_frequencies(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """How often each token of the vocabulary occurs, 0 included; counted before the join."""
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+def token_frequencies(counted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """How often each token of the vocabulary occurs, 0 included."""
     return vocab.join(counted, "token", "left").select("token_id", "token", F.coalesce("_n", F.lit(0)).alias("frequency"))
 
 
@@ -66,14 +76,15 @@ def with_text_totals(tokens: DataFrame, text: list[str], totals: list[Column], l
     """Adds per-text aggregates to each token.
 
     The sums are copied once per stretch of positions and joined on it too, so a text with a huge number
-    of tokens spreads over tasks.
+    of tokens spreads over tasks. Spark estimates exploded tokens far too small, hence the hint against
+    broadcasting them.
     """
     sums = (
         tokens.groupBy(*text).agg(*totals, length.alias("_len"))
         .withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_len") - 1) / STRETCH))))
         .drop("_len")
     )
-    return tokens.withColumn("_stretch", F.floor(F.col("pos") / STRETCH)).join(sums, [*text, "_stretch"]).drop("_stretch")
+    return tokens.withColumn("_stretch", F.floor(F.col("pos") / STRETCH)).join(sums.hint("merge"), [*text, "_stretch"]).drop("_stretch")
 
 
 def token_weights(

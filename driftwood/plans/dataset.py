@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwood.functions.text import training_prompt
 from driftwood.operators.hashorder import balanced_sample, sample_rows, split_by_hash, with_negatives
 from driftwood.operators.relations import complete_rows, hold_out
+from driftwood.session import materialise
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,13 @@ def cut_dataset(
     sample takes the lowest hashes of a group, and a split by the same hashes would put them all in one part.
     """
     key = key or ["id"]
-    clean = complete_rows(wide)
-    kept_out, rest = hold_out(clean, group, held_out_groups(clean, group, key, held, seed))
-    if n is not None and rest.count() > n:
-        rest = balanced_sample(rest, group, key, n, seed + 1)
-    train, test = split_by_hash(rest, key, train_fraction, seed + 2)
+    # Stage tables, as several passes over single columns follow.
+    clean = complete_rows(materialise(wide, "wide"))
+    chosen = materialise(held_out_groups(clean, group, key, held, seed), "held-out")
+    kept_out, rest = hold_out(clean, group, chosen)
+    if n is not None:
+        rest = balanced_sample(rest, group, key, n, seed + 1, at_most=True)
+    train, test = split_by_hash(materialise(rest, "sample"), key, train_fraction, seed + 2)
     return Dataset(kept_out, train, test)
 
 

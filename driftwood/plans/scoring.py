@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftwood import schemas
 from driftwood.functions.metrics import at_most, ieee_ratio
 from driftwood.functions.text import clean_generation
-from driftwood.functions.vectors import cosine, euclidean, l2_normalise
+from driftwood.functions.vectors import cosine, euclidean, norm, unit_euclidean
 from driftwood.operators.tokens import geometric_means, token_weights
 
 RESULT_COLUMNS = ("mid", "item_idx", *schemas.RESULT.names)
@@ -64,23 +64,24 @@ def pair_similarities(embeddings: DataFrame) -> DataFrame:
     One row per ``(mid, item_idx, role, sample_idx)``; the code vector is met once per text by an equi-join
     on the item.
     """
-    codes = embeddings.filter(F.col("role") == "code").select("item_idx", F.col("embedding").alias("_code"))
-    texts = embeddings.filter(F.col("role") != "code")
-    a, b = F.col("_code"), F.col("embedding")
-    unit_a, unit_b = F.col("_unit_code"), F.col("_unit_text")
+    codes = embeddings.filter(F.col("role") == "code").select(
+        "item_idx", F.col("embedding").alias("_code"), norm(F.col("embedding")).alias("_code_norm")
+    )
+    texts = embeddings.filter(F.col("role") != "code").withColumn("_norm", norm(F.col("embedding")))
+    a, b, norm_a, norm_b = F.col("_code"), F.col("embedding"), F.col("_code_norm"), F.col("_norm")
     return (
-        texts.join(codes.withColumn("_unit_code", l2_normalise(a)), "item_idx")
-        .withColumn("_unit_text", l2_normalise(b))
-        .withColumn("cosine", cosine(a, b))
+        texts.join(codes, "item_idx")
+        .withColumn("cosine", cosine(a, b, norm_a, norm_b))
         .withColumn("euclidean", euclidean(a, b))
-        .withColumn("cosine_unit", cosine(unit_a, unit_b))
-        .withColumn("euclidean_unit", euclidean(unit_a, unit_b))
-        .drop("_code", "embedding", "_unit_code", "_unit_text")
+        .withColumn("euclidean_unit", unit_euclidean(a, b, norm_a, norm_b))
+        .drop("_code", "embedding", "_code_norm", "_norm")
     )
 
 
-_MEASURES = (("cosine", False, "cosine"), ("cosine", True, "cosine_unit"),
+# Measure of each distance function and normalisation; the cosine does not depend on the lengths.
+_MEASURES = (("cosine", False, "cosine"), ("cosine", True, "cosine"),
              ("euclidean", False, "euclidean"), ("euclidean", True, "euclidean_unit"))
+_COLUMNS = ("cosine", "euclidean", "euclidean_unit")
 
 
 def lower_median(column: str):
@@ -95,11 +96,11 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     with one sample the score is that of sample 0.
     """
     documents = pairs.filter(F.col("role") == "doc").groupBy("item_idx").agg(
-        *[F.max(m).alias(f"_doc_{m}") for _, _, m in _MEASURES]
+        *[F.max(m).alias(f"_doc_{m}") for m in _COLUMNS]
     )
     generated = pairs.filter(F.col("role") == "gen").groupBy("item_idx", "mid").agg(
-        *[lower_median(m).alias(f"_many_{m}") for _, _, m in _MEASURES],
-        *[F.max(F.when(F.col("sample_idx") == 0, F.col(m))).alias(f"_one_{m}") for _, _, m in _MEASURES],
+        *[lower_median(m).alias(f"_many_{m}") for m in _COLUMNS],
+        *[F.max(F.when(F.col("sample_idx") == 0, F.col(m))).alias(f"_one_{m}") for m in _COLUMNS],
     )
     settings = F.array(*[
         F.struct(

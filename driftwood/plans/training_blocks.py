@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import split_by_hash
 from driftwood.operators.packing import assign_blocks, fill_blocks
-from driftwood.operators.tokens import explode_tokens, inverse_log_frequency, token_frequencies, vocabulary, words
+from driftwood.operators.tokens import (
+    count_tokens, explode_tokens, inverse_log_frequency, token_frequencies, vocabulary, words,
+)
 
 # Seed and test share of the split before packing.
 SPLIT_SEED = 421337
@@ -16,8 +18,8 @@ TEST_FRACTION = 0.1
 
 def token_weight_table(samples: DataFrame, vocab: DataFrame | None = None, text: str = "d") -> DataFrame:
     """Weights of all tokens of the vocabulary, by default that of the texts themselves."""
-    tokens = explode_tokens(samples, [], words(F.col(text))).select("token")
-    return inverse_log_frequency(token_frequencies(tokens, vocabulary(tokens) if vocab is None else vocab))
+    counted = count_tokens(explode_tokens(samples, [], words(F.col(text))))
+    return inverse_log_frequency(token_frequencies(counted, vocabulary(counted) if vocab is None else vocab))
 
 
 def training_blocks(
