@@ -18,6 +18,7 @@ from driftwood.operators.tokens import words
 from driftwood.plans import (
     comparison, corpus_profile, corpus_rewrite, dataset, scoring, training_blocks, tuning, version_history,
 )
+from driftwood.session import materialise
 
 # --- extraction and history ---------------------------------------------------------------------------
 
@@ -300,7 +301,7 @@ MOVED = [
 
 def _rewrite(spark, sf):
     files = sources(spark, sf)
-    located = extract.located_functions(extract.extract_functions(files))
+    located = materialise(extract.located_functions(extract.extract_functions(files)), "located")
     updated = located.select("doc_id", "start_line", F.concat(F.lit("New for line "), F.col("start_line").cast("string")).alias("updated_docstring"))
     return corpus_rewrite.rewrite_corpus(files, located, updated, ["doc_id", "start_line"], "doc_id")
 

@@ -25,6 +25,14 @@ PY_SPACE = r"[\t-\r\x1c- \x85\xa0  -     　]"
 VERDICT_MARKS = ("docstring-0_better", "docstring-1_better", "docstring-2_better", "none_fit")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is computed once however often ``body`` mentions it.
+
+    Without it a value named inside a lambda would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -70,16 +78,24 @@ def _leading_spaces(line: Column) -> Column:
     return F.length(line) - F.length(F.ltrim(line))
 
 
-def _cut_left(lines: Column, width: Column) -> Column:
-    return F.transform(lines, lambda line: F.substring(line, width + 1, F.length(line)))
+def _cut_left(lines: Column, units: Column) -> Column:
+    """The lines, each without that many indent units, as a text."""
+    unit = len(INDENT)
+    return let(
+        F.struct(lines.alias("lines"), (units * unit + 1).cast("int").alias("start")),
+        lambda v: F.array_join(F.transform(v["lines"], lambda line: F.substring(line, v["start"], F.length(line))), "\n"),
+    )
 
 
 def clean_code(code: Column) -> Column:
     """Cut comments, strip line ends, dedent by whole units, collapse the first run of line breaks."""
-    kept = F.transform(lines_of(code), lambda line: rstrip(F.substring_index(line, "#", 1)))
-    units = F.array_min(F.transform(kept, lambda line: F.floor(_leading_spaces(line) / 4)))
-    dedented = _cut_left(kept, (units * 4).cast("int"))
-    return F.regexp_replace(F.array_join(dedented, "\n"), r"(?s)\A(.*?)\n{2,}", "$1\n")
+    stripped = F.transform(lines_of(code), lambda line: rstrip(F.substring_index(line, "#", 1)))
+
+    def units(lines: Column) -> Column:
+        return F.array_min(F.transform(lines, lambda line: F.floor(_leading_spaces(line) / 4)))
+
+    dedented = let(stripped, lambda lines: _cut_left(lines, units(lines)))
+    return F.regexp_replace(dedented, r"(?s)\A(.*?)\n{2,}", "$1\n")
 
 
 def dedent(code: Column) -> Column:
@@ -92,8 +108,9 @@ def dedent(code: Column) -> Column:
             .otherwise(F.floor(_leading_spaces(line) / 4))
         ).cast("int")
 
-    lines = lines_of(code)
-    return F.array_join(_cut_left(lines, F.array_min(F.transform(lines, depth)) * 4), "\n")
+    indented = let(lines_of(code), lambda lines: _cut_left(lines, F.array_min(F.transform(lines, depth))))
+    # Most functions start in the first column, which settles it without looking at the lines.
+    return F.when(code.rlike(r"\A" + PY_SPACE), indented).otherwise(code)
 
 
 def body_begin(code: Column) -> Column:
@@ -101,19 +118,23 @@ def body_begin(code: Column) -> Column:
     return F.instr(code, ":\n") + 1
 
 
-def docstring_bounds(code: Column) -> tuple[Column, Column]:
-    """1-based positions of the opening and the closing delimiter, 0 where missing."""
-    mark = F.when(code.contains(TRIPLE), F.lit(TRIPLE)).otherwise(F.lit(TRIPLE_SINGLE))
-    opening = F.position(mark, code)
-    closing = F.when(opening > 0, F.position(mark, code, opening + 1)).otherwise(F.lit(0))
-    return opening, closing
-
-
 def remove_docstring(code: Column) -> Column:
     """The code without its first triple-quoted block; null where the block has no end."""
-    opening, closing = docstring_bounds(code)
-    rest = F.substring(code, closing + 3, F.length(code))
-    return F.when(closing > 0, F.concat(F.substring(code, F.lit(1), opening - 1), rest))
+    def cut(v: Column) -> Column:
+        # Positions count from 1; 0 stands for "not found".
+        opened = F.struct(v["code"].alias("code"), v["mark"].alias("mark"), F.position(v["mark"], v["code"]).alias("start"))
+        return let(opened, closed)
+
+    def closed(v: Column) -> Column:
+        end = F.when(v["start"] > 0, F.position(v["mark"], v["code"], v["start"] + 1)).otherwise(F.lit(0))
+        return let(F.struct(v["code"].alias("code"), v["start"].alias("start"), end.alias("end")), joined)
+
+    def joined(v: Column) -> Column:
+        rest = F.substring(v["code"], v["end"] + 3, F.length(v["code"]))
+        return F.when(v["end"] > 0, F.concat(F.substring(v["code"], F.lit(1), v["start"] - 1), rest))
+
+    mark = F.when(code.contains(TRIPLE), F.lit(TRIPLE)).otherwise(F.lit(TRIPLE_SINGLE))
+    return let(F.struct(code.alias("code"), mark.alias("mark")), cut)
 
 
 def docstring_span(code: Column) -> Column:
@@ -122,21 +143,27 @@ def docstring_span(code: Column) -> Column:
     The first line holding a delimiter decides which delimiter counts. Of the lines that hold it once
     or twice only the first two matter: a line with two is a whole docstring, a line with one opens it.
     """
-    lines = lines_of(code)
-    holders = F.filter(lines, lambda line: line.contains(TRIPLE) | line.contains(TRIPLE_SINGLE))
-    mark = F.when(F.get(holders, F.lit(0)).contains(TRIPLE), F.lit(TRIPLE)).otherwise(F.lit(TRIPLE_SINGLE))
+    def with_mark(lines: Column) -> Column:
+        holder = F.get(F.filter(lines, lambda line: line.contains(TRIPLE) | line.contains(TRIPLE_SINGLE)), F.lit(0))
+        mark = F.when(holder.contains(TRIPLE), F.lit(TRIPLE)).otherwise(F.lit(TRIPLE_SINGLE))
+        return let(F.struct(lines.alias("lines"), mark.alias("mark")), lambda v: let(events(v), span))
 
-    def event(line: Column, i: Column) -> Column:
-        hits = ((F.length(line) - F.length(F.replace(line, mark, F.lit("")))) / 3).cast("int")
-        return F.struct((i + 1).alias("line"), hits.alias("hits"))
+    def events(v: Column) -> Column:
+        def event(line: Column, i: Column) -> Column:
+            hits = ((F.length(line) - F.length(F.replace(line, v["mark"], F.lit("")))) / 3).cast("int")
+            return F.struct((i + 1).alias("line"), hits.alias("hits"))
 
-    events = F.filter(F.transform(lines, event), lambda e: e["hits"].isin(1, 2))
-    one, two = F.get(events, F.lit(0)), F.get(events, F.lit(1))
-    whole = one["hits"] == 2
-    reopened = F.coalesce(two["hits"] == 2, F.lit(False))
-    first = F.when(whole, one["line"]).when(reopened, two["line"]).otherwise(one["line"])
-    last = F.when(whole, one["line"]).otherwise(two["line"])
-    return F.struct(first.alias("first_line"), last.alias("last_line"))
+        return F.filter(F.transform(v["lines"], event), lambda e: e["hits"].isin(1, 2))
+
+    def span(found: Column) -> Column:
+        one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        whole = one["hits"] == 2
+        reopened = F.coalesce(two["hits"] == 2, F.lit(False))
+        first = F.when(whole, one["line"]).when(reopened, two["line"]).otherwise(one["line"])
+        last = F.when(whole, one["line"]).otherwise(two["line"])
+        return F.struct(first.alias("first_line"), last.alias("last_line"))
+
+    return let(lines_of(code), with_mark)
 
 
 def training_prompt(code: Column, begin: Column, docstring: Column) -> Column:
@@ -149,12 +176,14 @@ def training_prompt(code: Column, begin: Column, docstring: Column) -> Column:
 
 
 def serving_prompt(code: Column) -> Column:
-    text = F.replace(F.regexp_replace(code, r"\r{2,}", "\r"), F.lit("\r\n"), F.lit("\n"))
-    header = F.substring_index(text, ":\n", 1)
-    body = lstrip(F.substring(text, F.length(header) + 3, F.length(text)))
-    return F.concat(
-        F.lit(PREFIX), header, F.lit(f":\n\n{INDENT}{TRIPLE}{SUFFIX}{TRIPLE}\n{INDENT}"), body, F.lit(MIDDLE)
-    )
+    def prompt(text: Column) -> Column:
+        header = F.substring_index(text, ":\n", 1)
+        body = lstrip(F.substring(text, F.length(header) + 3, F.length(text)))
+        return F.concat(
+            F.lit(PREFIX), header, F.lit(f":\n\n{INDENT}{TRIPLE}{SUFFIX}{TRIPLE}\n{INDENT}"), body, F.lit(MIDDLE)
+        )
+
+    return let(F.replace(F.regexp_replace(code, r"\r{2,}", "\r"), F.lit("\r\n"), F.lit("\n")), prompt)
 
 
 def clean_generation(text: Column) -> Column:

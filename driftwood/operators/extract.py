@@ -86,9 +86,16 @@ def parsed(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def extract_functions(df: DataFrame, source: str = "source") -> DataFrame:
-    """One row per function: name, line span, cleaned docstring, source slice, trivial flag."""
+    """One row per function: name, line span, cleaned docstring, source slice, trivial flag.
+
+    The outer form with a filter behind it: for a plain ``explode`` Spark would add a filter on the array
+    before it, and so parse every source twice.
+    """
     keep = [c for c in df.columns if c != source]
-    return parsed(df, source).select(*keep, F.explode("functions").alias("_f")).select(*keep, "_f.*")
+    return (
+        parsed(df, source).select(*keep, F.explode_outer("functions").alias("_f")).select(*keep, "_f.*")
+        .filter(F.col("name").isNotNull())
+    )
 
 
 def has_docstring(docstring: Column) -> Column:

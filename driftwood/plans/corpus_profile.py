@@ -10,6 +10,7 @@ from driftwood.operators.profile import (
     REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, metric_pairs, pair_density, repository_statistics,
     version_statistics,
 )
+from driftwood.session import materialise
 
 # Fixed value: rows profiled at most.
 PROFILE_ROWS = 100_000
@@ -23,7 +24,8 @@ def _statistics(wide: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
 
 
 def profiled_rows(wide: DataFrame, n: int | None = PROFILE_ROWS, seed: int = 42) -> DataFrame:
-    return wide if n is None else sample_rows(wide, ["id"], n, seed)
+    """The rows to profile, as a stage table: ranges and densities read it several times."""
+    return materialise(wide if n is None else sample_rows(wide, ["id"], n, seed), "profiled")
 
 
 def densities(wide: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def cut_dataset(
     chosen = materialise(held_out_groups(clean, group, key, held, seed), "held-out")
     kept_out, rest = hold_out(clean, group, chosen)
     if n is not None:
-        rest = balanced_sample(rest, group, key, n, seed + 1, at_most=True)
-    train, test = split_by_hash(materialise(rest, "sample"), key, train_fraction, seed + 2)
+        rest = materialise(balanced_sample(rest, group, key, n, seed + 1, at_most=True), "sample")
+    train, test = split_by_hash(rest, key, train_fraction, seed + 2)
     return Dataset(kept_out, train, test)
 
 

@@ -47,12 +47,13 @@ def predictions_by_item(generations: DataFrame) -> DataFrame:
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Judge answers from JSON arrays of strings, indented or on one line.
 
-    Each line is parsed by itself: an indented file holds one answer per line, so it can be split.
+    Each line is parsed by itself: an indented file holds one answer per line, so it can be split. The
+    outer form of ``explode`` keeps Spark from parsing twice.
     """
     line = F.trim("value")
     inner = F.regexp_replace(F.regexp_replace(line, r"\A\[", ""), r"[,\]]\z", "")
     answers = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>")
-    return spark.read.text(path).select(F.explode(answers).alias("answer"))
+    return spark.read.text(path).select(F.explode_outer(answers).alias("answer")).filter(F.col("answer").isNotNull())
 
 
 def unpack_requests(requests: DataFrame, keep: list[str]) -> DataFrame:
