@@ -32,20 +32,26 @@ def threshold_curve(ratios: DataFrame, by: list[str] = SETTING, ratio: str = "ra
     """Confusion counts at every grid threshold, from one pass over the ratios.
 
     Each ratio is mapped to the first threshold it does not exceed. Counted per threshold and label that
-    leaves at most 402 rows per setting; running sums over these give the counts of all 200 thresholds.
+    leaves at most 201 cells per setting, and the counts of all 200 thresholds are sums over these.
     """
-    reached = (
+    cells = (
         ratios.withColumn("grid_idx", grid_index(F.col(ratio)))
         .groupBy(*by, "grid_idx")
-        .agg(F.count_if(F.col(label)).alias("_pos"), F.count_if(~F.col(label)).alias("_neg"))
+        .agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
     )
-    totals = reached.groupBy(*by).agg(F.sum("_pos").alias("_all_pos"), F.sum("_neg").alias("_all_neg"))
-    grid = totals.withColumn("grid_idx", F.explode(grid_column()))
-    so_far = W.partitionBy(*by).orderBy("grid_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    gathered = cells.groupBy(*by).agg(
+        F.collect_list(F.struct("grid_idx", "pos", "neg")).alias("_cells"),
+        F.sum("pos").alias("_all_pos"), F.sum("neg").alias("_all_neg"),
+    )
+
+    def up_to(index: Column, field: str) -> Column:
+        reached = F.filter("_cells", lambda cell: cell["grid_idx"] <= index)
+        return F.aggregate(reached, F.lit(0).cast("long"), lambda total, cell: total + cell[field])
+
     return (
-        grid.join(reached.filter(F.col("grid_idx").isNotNull()), [*by, "grid_idx"], "left")
-        .withColumn("tp", F.sum(F.coalesce("_pos", F.lit(0))).over(so_far))
-        .withColumn("fp", F.sum(F.coalesce("_neg", F.lit(0))).over(so_far))
+        gathered.withColumn("grid_idx", F.explode(grid_column()))
+        .withColumn("tp", up_to(F.col("grid_idx"), "pos"))
+        .withColumn("fp", up_to(F.col("grid_idx"), "neg"))
         .withColumn("tn", F.col("_all_neg") - F.col("fp"))
         .withColumn("fn", F.col("_all_pos") - F.col("tp"))
         .withColumn("test_threshold", grid_value(F.col("grid_idx")))

@@ -93,26 +93,31 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     """Docstring and generation scores per item, model and setting.
 
     The generations of an item and model are few, so their median is an aggregate over a handful of rows;
-    with one sample the score is that of sample 0.
+    with one sample the score is that of sample 0. Everything is grouped by the item, by which the pairs
+    already lie together after their join, so no further shuffle is needed.
     """
-    documents = pairs.filter(F.col("role") == "doc").groupBy("item_idx").agg(
-        *[F.max(m).alias(f"_doc_{m}") for m in _COLUMNS]
+    first = F.col("sample_idx") == 0
+    per_text = pairs.groupBy("item_idx", "role", "mid").agg(
+        F.struct(*[lower_median(m).alias(m) for m in _COLUMNS]).alias("many"),
+        F.struct(*[F.max(F.when(first, F.col(m))).alias(m) for m in _COLUMNS]).alias("one"),
     )
-    generated = pairs.filter(F.col("role") == "gen").groupBy("item_idx", "mid").agg(
-        *[lower_median(m).alias(f"_many_{m}") for m in _COLUMNS],
-        *[F.max(F.when(F.col("sample_idx") == 0, F.col(m))).alias(f"_one_{m}") for m in _COLUMNS],
+    is_generated = F.col("role") == "gen"
+    per_item = per_text.groupBy("item_idx").agg(
+        F.max(F.when(~is_generated, F.col("one"))).alias("_doc"),
+        F.collect_list(F.when(is_generated, F.struct("mid", "many", "one"))).alias("_models"),
     )
     settings = F.array(*[
         F.struct(
             F.lit(name).alias("distance_function"), F.lit(unit).alias("normalize"), F.lit(many).alias("sample_many"),
-            F.col(f"_doc_{m}").alias("docstring_score"),
-            F.col(f"_many_{m}" if many else f"_one_{m}").alias("updated_docstring_score"),
+            F.col(f"_doc.{m}").alias("docstring_score"),
+            F.col(f"_model.{'many' if many else 'one'}.{m}").alias("updated_docstring_score"),
         )
         for name, unit, m in _MEASURES for many in (False, True)
     ])
     return (
-        generated.join(documents, "item_idx")
-        .select("mid", "item_idx", F.explode(settings).alias("_s")).select("mid", "item_idx", "_s.*")
+        per_item.filter(F.col("_doc").isNotNull())
+        .select("item_idx", "_doc", F.explode("_models").alias("_model"))
+        .select(F.col("_model.mid").alias("mid"), "item_idx", F.explode(settings).alias("_s")).select("mid", "item_idx", "_s.*")
         .withColumn("ratio", ieee_ratio(F.col("docstring_score"), F.col("updated_docstring_score")))
     )
 

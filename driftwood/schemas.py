@@ -31,8 +31,8 @@ FILE_VERSION = _struct(repo=_S, path=_S, commit=_S, committed_at=_TS, seq=_L, co
 SAMPLE = _struct(e=_S, l=_B, c=_S, d=_S)
 GENERATION = _struct(mid=_S, sample_idx=_I, item_idx=_L, text=_S)
 PREDICTION_CACHE = T.MapType(_S, T.ArrayType(T.ArrayType(_S)))
-TEXT_EMBEDDING = _struct(item_idx=_L, role=_S, sample_idx=_I, embedding=T.ArrayType(T.FloatType()))
-TOKEN_PROB = _struct(item_idx=_L, role=_S, pos=_I, token_id=_I, prob=_D)
+TEXT_EMBEDDING = _struct(item_idx=_L, mid=_S, role=_S, sample_idx=_I, embedding=T.ArrayType(T.FloatType()))
+TOKEN_PROB = _struct(mid=_S, item_idx=_L, role=_S, pos=_I, token_id=_I, prob=_D)
 TOKEN_WEIGHT = _struct(token_id=_I, weight=_D)
 REQUEST = _struct(mid=_S, codes=T.ArrayType(_S), docstrings=T.ArrayType(_S), test_method=_S)
 RESULT = _struct(out_of_date=_B, updated_docstring=_S, docstring_score=_D, updated_docstring_score=_D)
