@@ -139,6 +139,7 @@ def balanced_sample(
     quotas = sizes.withColumn("_quota", quota)
 
     # Groups that give all rows need no cut; those that give none are left out.
+    few = sizes.limit(max_broadcast_groups + 1).count() <= max_broadcast_groups
     counted = (
         hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_DIGITS))
         .groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
@@ -153,17 +154,15 @@ def balanced_sample(
     place = F.row_number().over(W.partitionBy(group, "_prefix").orderBy("_hash"))
     cuts = (
         hashed.withColumn("_prefix", _prefix(F.col("_hash"), GROUP_DIGITS))
-        .join(holders, [group, "_prefix"])
+        .join(F.broadcast(holders) if few else holders, [group, "_prefix"])
         .withColumn("_place", place)
         .filter(F.col("_place") == F.col("_want"))
         .select(group, F.col("_hash").alias("_cut"))
     )
     whole = quotas.filter(F.col("_quota") >= F.col("_size")).select(group, F.lit(ABOVE_ALL).alias("_cut"))
     limits = cuts.unionByName(whole)
-    if sizes.limit(max_broadcast_groups + 1).count() <= max_broadcast_groups:
-        limits = F.broadcast(limits)
     return (
-        df.join(limits, group)
+        df.join(F.broadcast(limits) if few else limits, group)
         .filter(hash_of(seed, *[F.col(k) for k in key]) <= F.col("_cut"))
         .select(*df.columns)
     )

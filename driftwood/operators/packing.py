@@ -51,19 +51,20 @@ def assign_blocks(
     """
     if overflow not in ("carry", "drop"):
         raise ValueError("overflow must be 'carry' or 'drop'")
+    sized = drop_long(df, tokens, block_size).withColumn("_len", F.size(tokens))
     indexed = (
-        dense_index(drop_long(df, tokens, block_size), key, seed, "_idx")
+        dense_index(sized, key, seed, "_idx")
         .withColumn("bucket", F.floor(F.col("_idx") / bucket_rows))
         .withColumn("slot", (F.col("_idx") % bucket_rows).cast("int"))
         .drop("_idx")
     )
-    lengths = indexed.select("bucket", F.struct("slot", F.size(tokens).alias("len")).alias("_row"))
+    lengths = indexed.select("bucket", F.struct("slot", F.col("_len").alias("len")).alias("_row"))
     blocks = (
         lengths.groupBy("bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
         .select("bucket", F.explode(_assign(F.col("_rows"), block_size, overflow)).alias("_p"))
         .select("bucket", "_p.slot", "_p.block")
     )
-    return indexed.join(blocks, ["bucket", "slot"]).filter(F.col("block") >= 0)
+    return indexed.join(blocks, ["bucket", "slot"]).filter(F.col("block") >= 0).drop("_len")
 
 
 def fill_blocks(assigned: DataFrame, tokens: str, eos: int, block_size: int = BLOCK_SIZE) -> DataFrame:

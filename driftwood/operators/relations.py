@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood import schemas
 from driftwood.functions.text import body_begin, clean_code
+from driftwood.session import materialise
 
 
 def orphans(child: DataFrame, foreign_key: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
@@ -60,8 +61,12 @@ def complete_rows(df: DataFrame) -> DataFrame:
 
 
 def hold_out(df: DataFrame, group: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the held-out groups, and all others."""
-    names = held.select(group).distinct()
+    """Rows of the held-out groups, and all others.
+
+    The names are written first: both parts read them, and from the file's size Spark knows whether they
+    are few enough to broadcast.
+    """
+    names = materialise(held.select(group).distinct(), "held-out")
     return df.join(names, group, "left_semi"), df.join(names, group, "left_anti")
 
 

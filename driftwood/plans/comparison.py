@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import batches, sample_rows
 from driftwood.operators.votes import side_by_side, tally
+from driftwood.session import materialise
 
 
 def stale_batches(samples: DataFrame, key: list[str], n: int = 100, size: int = 25, seed: int = 42) -> DataFrame:
@@ -15,5 +16,9 @@ def stale_batches(samples: DataFrame, key: list[str], n: int = 100, size: int =
 
 
 def compare(ratings: DataFrame, judged: DataFrame, key: list[str], judges: list[str]) -> DataFrame:
-    """Votes of each judge on the judged rows."""
-    return side_by_side(tally(ratings.join(judged.select(*key), key, "left_semi")), judges)
+    """Votes of each judge on the judged rows.
+
+    The judged keys are written first, so that Spark knows from their size whether to broadcast them.
+    """
+    keys = materialise(judged.select(*key), "judged")
+    return side_by_side(tally(ratings.join(keys, key, "left_semi")), judges)

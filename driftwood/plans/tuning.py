@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwood.operators.confusion import SETTING, best_thresholds, confusion, threshold_curve, with_scores
 from driftwood.operators.hashorder import sample_rows
 from driftwood.plans.scoring import setting_ratios
+from driftwood.session import materialise
 
 
 def labelled_ratios(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,8 +28,11 @@ def confirm(
     embeddings: DataFrame, labels: DataFrame, threshold: float, distance_function: str, normalize: bool,
     sample_many: bool, sample_size: int = 512, seed: int = 1337,
 ) -> DataFrame:
-    """Scores of a fixed threshold on a sample of items drawn with another seed; items are met by key."""
-    drawn = sample_rows(labels, ["item_idx"], sample_size, seed)
+    """Scores of a fixed threshold on a sample of items drawn with another seed; items are met by key.
+
+    The sample is written first, so that Spark knows from its size whether to broadcast it.
+    """
+    drawn = materialise(sample_rows(labels, ["item_idx"], sample_size, seed), "drawn")
     items = embeddings.join(drawn.select("item_idx"), "item_idx", "left_semi")
     chosen = labelled_ratios(items, drawn).filter(
         (F.col("distance_function") == distance_function)

@@ -45,6 +45,9 @@ def version_history(file_versions: DataFrame, newest_first: bool = True, staged:
     order = ["seq", "node"]
     long_keys = long_chains(mined, chain)
     flagged = flag_changes(mined, chain, order, newest_first=newest_first, long_keys=long_keys)
+    if long_keys is not None:
+        # Long chains are read in pieces and along their seams; the changes need not be worked out twice.
+        flagged = materialise(flagged, "flagged")
     file_id = entity_id(F.col("repo"), F.col("path"))
     identified = (
         flagged.withColumn("file", file_id)
