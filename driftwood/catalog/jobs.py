@@ -47,7 +47,7 @@ def x2(spark, sf):
 
 @query("x2_files_and_functions", f"""
 WITH {VERSIONS}
-SELECT f.file, p.repo, 'src/' || p.doc_id || '.py' AS path, f.function, f.name FROM (SELECT DISTINCT file, function, name FROM b_linked) f JOIN b_keyed p ON p.file = f.file
+SELECT f.file, md5(p.repo) AS repo, 'src/' || p.doc_id || '.py' AS path, f.function, f.name FROM (SELECT DISTINCT file, function, name FROM b_linked) f JOIN b_keyed p ON p.file = f.file
 """)
 def x2_entities(spark, sf):
     entities = version_history.version_history(file_versions(spark, sf))

@@ -108,7 +108,11 @@ def token_weights(
 
 
 def normalised_weights(weighted: DataFrame, text: list[str]) -> DataFrame:
-    """Adds ``norm_weight``, the weights of each text summing to 1."""
+    """Adds ``norm_weight``, the weights of each text summing to 1.
+
+    The weighted tokens are written first, as the sums and the tokens both need them.
+    """
+    weighted = materialise(weighted, "weighted-tokens")
     total = with_text_totals(weighted, text, [F.sum("raw_weight").alias("_total")], F.max("pos") + 1)
     return total.withColumn("norm_weight", F.col("raw_weight") / F.nullif(F.col("_total"), F.lit(0.0))).drop("_total")
 

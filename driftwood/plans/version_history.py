@@ -35,6 +35,8 @@ def mine_functions(file_versions: DataFrame, newest_first: bool = True) -> DataF
 def version_history(file_versions: DataFrame, newest_first: bool = True, staged: bool = True) -> Entities:
     """Files, functions and versions; equal names in one file share a chain.
 
+    ``repo`` in the input is a repository's full name, whose digest is the repository's id.
+
     The mined functions are written as a stage table: three outputs read them, and parsing is the
     expensive step. Chains are shuffled once by function, and linking reuses that partitioning.
     """
@@ -60,7 +62,7 @@ def version_history(file_versions: DataFrame, newest_first: bool = True, staged:
         "code_updated", "docstring_updated", "code_similarity", "docstring_similarity", "function", "last_version",
     )
     paths = python_files(file_versions).select("repo", "path").distinct()
-    files = paths.select(file_id.alias("id"), "path", "repo")
+    files = paths.select(file_id.alias("id"), "path", F.md5("repo").alias("repo"))
     functions = mined.select("repo", "path", "name").distinct().select(
         entity_id(file_id, F.col("name")).alias("id"), "name", file_id.alias("file")
     )

@@ -21,6 +21,9 @@ def get_session(app: str = "driftwood", master: str | None = None, partitions: i
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # One JVM does all the work, and its default heap is 1 GB.
+            builder = builder.config("spark.driver.memory", "12g")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
