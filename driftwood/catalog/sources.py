@@ -149,4 +149,4 @@ def s8(spark, sf):
 
 @query("s9_unpack_requests", f"WITH {views.REQUESTS} SELECT conv_id, part, pos, code, docstring FROM b_request_rows")
 def s9(spark, sf):
-    return samples.unpack_requests(views.requests(spark, sf), ["conv_id", "part"])
+    return samples.unpack_requests(views.requests(spark, sf), ["conv_id", "part"]).withColumn("pos", F.col("pos").cast("long"))

@@ -90,9 +90,9 @@ b_versions AS (
 b_wide AS (
   SELECT v.id, v.code, v.docstring, v.code_updated, v.docstring_updated, v.code_similarity, v.docstring_similarity,
     CAST(v.last_version AS VARCHAR) AS last_version, o_orderpriority AS function_name, c_name AS filename, n_name AS repo_name,
-    n_nationkey * 3 + 1 AS size, n_nationkey * 5 % 7 AS open_issues, n_nationkey % 11 AS watchers,
-    n_nationkey * 7 % 13 + 1 AS contributors, n_nationkey * n_nationkey AS forks, n_nationkey * 100 AS contributions,
-    n_nationkey * 31 % 17 + 1000 AS stars
+    n_nationkey::BIGINT * 3 + 1 AS size, n_nationkey::BIGINT * 5 % 7 AS open_issues, n_nationkey::BIGINT % 11 AS watchers,
+    n_nationkey::BIGINT * 7 % 13 + 1 AS contributors, n_nationkey::BIGINT * n_nationkey::BIGINT AS forks, n_nationkey::BIGINT * 100 AS contributions,
+    n_nationkey::BIGINT * 31 % 17 + 1000 AS stars
   FROM b_versions v JOIN orders ON v.function = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey
 )"""

@@ -6,11 +6,14 @@ first, so "previous" means the newer neighbour; pass ``newest_first=False`` for
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.functions.similarity import similarity
+from driftwood.functions.text import let
 
 # A chain longer than this is cut into pieces; a piece is what one task sorts.
 LONG_CHAIN = 1_000_000
@@ -37,6 +40,25 @@ def long_chains(df: DataFrame, keys: list[str], limit: int = LONG_CHAIN) -> Data
     return candidates.filter(F.col("_size") >= share.scalar()).select(*keys)
 
 
+def _search_width(pieces: int) -> int:
+    return max(2, math.isqrt(pieces))
+
+
+def _search_table(cuts: Column, pieces: int) -> Column:
+    """Sorted cuts in groups, and the last cut of each group, for a search in two short steps."""
+    width = _search_width(pieces)
+    ends = range(width - 1, pieces - 1, width)
+    coarse = F.array(*[F.get(cuts, F.lit(i)) for i in ends]) if ends else F.slice(cuts, 1, 0)
+    fine = F.array(*[F.slice(cuts, g * width + 1, width) for g in range(len(ends) + 1)])
+    return F.struct(coarse.alias("coarse"), fine.alias("fine"))
+
+
+def _cuts_below(table: Column, value: Column, pieces: int) -> Column:
+    """How many cuts are below a value."""
+    group = F.size(F.filter(table["coarse"], lambda cut: cut < value))
+    return let(group, lambda g: g * _search_width(pieces) + F.size(F.filter(F.get(table["fine"], g), lambda cut: cut < value)))
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = False,
     long_keys: DataFrame | None = None, pieces: int = PIECES,
@@ -64,11 +86,10 @@ def with_previous(
     cuts = (
         df.select(*keys, F.col(lead)).join(F.broadcast(long_keys), keys, "left_semi")
         .groupBy(*keys).agg(F.percentile_approx(lead, shares, 10 * pieces).alias("_cuts"))
+        .select(*keys, _search_table(F.col("_cuts"), pieces).alias("_cuts"))
     )
     # The cuts sort upwards and rows equal to a cut lie below it, so a piece is one stretch of the chain.
-    piece = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter("_cuts", lambda cut: cut < F.col(lead)))
-    )
+    piece = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_cuts_below(F.col("_cuts"), F.col(lead), pieces))
     cut_up = df.join(F.broadcast(cuts), keys, "left").withColumn("_piece", piece).drop("_cuts")
     inner = W.partitionBy(*keys, "_piece").orderBy(*by_order)
     marked = cut_up.withColumns({**look_back(inner), "_last": F.lead(F.lit(1)).over(inner).isNull()})
@@ -124,6 +145,13 @@ def link_versions(
 
 
 def with_last_version(df: DataFrame, id_column: str, columns: list[str], pointer: str = "last_version") -> DataFrame:
-    """Follows the chain pointer by a self-join and adds the neighbour's columns as ``last_<column>``."""
-    neighbours = df.select(F.col(id_column).alias(pointer), *[F.col(c).alias(f"last_{c}") for c in columns])
-    return df.join(neighbours, pointer, "left")
+    """Follows the chain pointer by a self-join and adds the neighbour's columns as ``last_<column>``.
+
+    First versions have no pointer and find no match; they are spread over tasks instead of all meeting
+    under the null key.
+    """
+    spread = F.when(F.col(pointer).isNull(), F.pmod(F.xxhash64(id_column), F.lit(1024))).otherwise(F.lit(0))
+    neighbours = df.select(
+        F.col(id_column).alias(pointer), F.lit(0).cast("long").alias("_spread"), *[F.col(c).alias(f"last_{c}") for c in columns]
+    )
+    return df.withColumn("_spread", spread).join(neighbours, [pointer, "_spread"], "left").drop("_spread")

@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/driftwood/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/driftwood/{label}-{uuid.uuid4().hex}"
+    return f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_written_tables(spark: SparkSession) -> None:
+    """Deletes the tables this session wrote by ``materialise``; DataFrames reading them end with it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df, label: str):
