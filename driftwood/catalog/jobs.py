@@ -105,7 +105,7 @@ SELECT 'repositories' AS level, metric, grid_idx, round(x, 4) AS x, round(densit
 UNION ALL SELECT 'versions', metric, grid_idx, round(x, 4), round(density * 1000, 6), round(CASE WHEN x > 0 THEN log10(x) END, 4) FROM density_v
 """)
 def x4(spark, sf):
-    wide = corpus_profile.profiled_rows(wide_table(*views.chain_tables(spark, sf)))
+    wide = corpus_profile.profiled_table(*views.chain_tables(spark, sf))
     return corpus_profile.densities(wide).select(
         "level", "metric", F.col("grid_idx").cast("long").alias("grid_idx"), F.round("x", 4).alias("x"),
         r6(F.col("density") * 1000).alias("density"), F.round("log_x", 4).alias("log_x"))
@@ -119,7 +119,7 @@ p AS (SELECT a.metric AS metric_x, b.metric AS metric_y, a.value AS x, b.value A
 SELECT CASE WHEN metric_x IN ('code_lengths', 'docstring_lengths', 'code_similarity', 'docstring_similarity') THEN 'versions' ELSE 'repositories' END AS level, * FROM pair_bins
 """)
 def x4_pairs(spark, sf):
-    wide = corpus_profile.profiled_rows(wide_table(*views.chain_tables(spark, sf)))
+    wide = corpus_profile.profiled_table(*views.chain_tables(spark, sf))
     bins = corpus_profile.pair_densities(wide)
     return bins.withColumn("x_bin", F.col("x_bin").cast("long")).withColumn("y_bin", F.col("y_bin").cast("long"))
 

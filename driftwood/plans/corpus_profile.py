@@ -10,6 +10,7 @@ from driftwood.operators.profile import (
     REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, metric_pairs, pair_density, repository_statistics,
     version_statistics,
 )
+from driftwood.operators.relations import wide_table
 from driftwood.session import materialise
 
 # Fixed value: rows profiled at most.
@@ -23,9 +24,16 @@ def _statistics(wide: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
     ]
 
 
-def profiled_rows(wide: DataFrame, n: int | None = PROFILE_ROWS, seed: int = 42) -> DataFrame:
-    """The rows to profile, as a stage table: ranges and densities read it several times."""
-    return materialise(wide if n is None else sample_rows(wide, ["id"], n, seed), "profiled")
+def profiled_table(
+    versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame,
+    n: int | None = PROFILE_ROWS, seed: int = 42,
+) -> DataFrame:
+    """The wide table of the versions to profile, as a stage table: ranges and densities read it several times.
+
+    A version makes one wide row, so the versions are sampled, and only the sample is joined and cleaned.
+    """
+    sampled = versions if n is None else sample_rows(versions, ["id"], n, seed)
+    return materialise(wide_table(sampled, functions, files, repositories), "profiled")
 
 
 def densities(wide: DataFrame) -> DataFrame:
