@@ -158,10 +158,11 @@ def x5(spark, sf):
 
 @query("x6_probability_scoring", f"""
 WITH {WEIGHTED_SQL}
-SELECT 'base' AS mid, a.item_idx, a.score / b.score <= 1.0 AS out_of_date, text AS updated_docstring, round(a.score, 6) AS docstring_score, round(b.score, 6) AS updated_docstring_score
+SELECT 'base' AS mid, a.item_idx, a.score / b.score <= 1.0 AS out_of_date, trim(split_part(text || '\"\"\"', '\"\"\"', 1), E' \\n') AS updated_docstring, round(a.score, 6) AS docstring_score, round(b.score, 6) AS updated_docstring_score
 FROM b_scores a JOIN b_scores b ON b.item_idx = a.item_idx AND b.role = 'gen' JOIN documents ON doc_id = a.item_idx WHERE a.role = 'doc'
 """)
 def x6(spark, sf):
+    """The generated text is cut at the first three quotes: one that ends in a quote loses it to them."""
     generated = table(spark, sf, "documents").select(
         F.lit("base").alias("mid"), F.lit(0).alias("sample_idx"), F.col("doc_id").alias("item_idx"),
         F.concat(F.lit(text.MIDDLE), "text", F.lit('"""')).alias("text"))

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 # Tables whose rows cost much work, with the key to spread them by where they come in few splits.
-SPREAD = {"documents": "doc_id", "embeddings": "vec_id"}
+SPREAD = {"documents": "doc_id", "embeddings": "vec_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
