@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.llm.common import documents
+from driftwood.llm.content_sort import without_duplicates
 from driftwood.llm.minhash import near_duplicates
+from driftwood.llm.mixing import mix
+from driftwood.llm.queries import PIECES
+from driftwood.llm.sentencepieces import encode_texts
+from driftwood.llm.toxicity import only_clean
 from driftwood.session import materialise
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go."""
+    return only_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space apart) one row stays, the one with the most code points, then the smallest ``doc_id``."""
+    return without_duplicates(docs)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest ``doc_id`` stays; rows without an id all stay."""
     kept = near_duplicates(docs).filter("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mix(docs)
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+
+
+def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the ids of the whole text, their number, and the text decoded from them."""
+    coded = encode_texts(docs, public_tokenizers.path(PIECES))
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_dedup),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("sentencepiece_encode", sentencepiece_encode),
 ]
 
-# A stage's model or vocabulary cannot be written in SQL; the tests hold the stages against brute force.
+# A learned grammar, hashed signatures and a vocabulary cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

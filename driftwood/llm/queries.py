@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwood.llm.common import documents
+from driftwood.llm.common import documents, fold
+from driftwood.llm.content_sort import exact_duplicates
 from driftwood.llm.minhash import near_duplicates
+from driftwood.llm.mixing import mix
+from driftwood.llm.sentencepieces import encode_texts
+from driftwood.llm.toxicity import toxicity
+
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +33,43 @@ def query(name: str, sql: str | None = None):
 @query("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_subset_sum_mixing")
+def op4_subset_sum_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(documents(spark, sf)).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+@query("op5_toxicity_grammar")
+def op5_toxicity_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "matched")
+
+
+@query("op7_content_sort_dedup", r"""
+    WITH normal AS (
+        SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
+        FROM documents),
+    ranked AS (
+        SELECT doc_id, content, count(*) OVER (PARTITION BY content) AS group_size,
+            first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST) AS keep_id
+        FROM normal)
+    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(content) AS text_sha256
+    FROM ranked
+""")
+def op7_content_sort_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf)).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op9_sentencepiece_round_trip")
+def op9_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    coded = encode_texts(documents(spark, sf), public_tokenizers.path(PIECES))
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
