@@ -18,20 +18,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # The ASCII white space that separates words, as Java, Python and DuckDB patterns write it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-_TO_BLANK = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def words_of(text: str) -> list[str]:
-    """The runs of characters other than ASCII white space; other Unicode spaces belong to words."""
-    words = text.split() if text.isascii() else None
-    if words is None or "\x1c" <= min(text, default="~") <= "\x1f" or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        # str.split() also cuts at the separators 1C to 1F and at Unicode spaces, which are no spaces here.
-        words = [w for w in text.translate(_TO_BLANK).split(" ") if w]
-    return words
+def words_of(text: str) -> list[bytes]:
+    """The runs of characters other than ASCII white space, in UTF-8; other Unicode spaces belong to words."""
+    return text.encode().split()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -60,6 +55,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def groups_in(batches, by: list[str]):
+    """Whole groups, as Arrow tables, from batches sorted by ``by``; only the group that is open is held."""
+    open_key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            if a == b:
+                continue
+            key = tuple(c[a] for c in columns)
+            if key != open_key and parts:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            open_key = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list ``(u, v)``: the smallest node reachable.
 

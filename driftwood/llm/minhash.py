@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import connected_components, mix64, texts_of, unit, words_of
+from driftwood.llm.common import connected_components, groups_in, mix64, texts_of, unit, words_of
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +27,7 @@ _PARTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
                    0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     try:
         return np.array([known[w] for w in words], dtype=np.uint64)
     except KeyError:
@@ -39,7 +39,7 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
         return np.array([known[w] for w in words], dtype=np.uint64)
 
 
-def shingles(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
+def shingles(words: list[bytes], size: int, known: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of all runs of ``size`` words; a shorter text is one run, a text without words has none."""
     if not words:
         return np.empty(0, dtype=np.uint64)
@@ -51,7 +51,7 @@ def shingles(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
     return total
 
 
-def weighted_elements(text: str, size: int, weights: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def weighted_elements(text: str, size: int, weights: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles with their weights: 1 each ("set"), or how often they occur ("counts")."""
     items, counts = np.unique(shingles(words_of(text), size, known), return_counts=True)
     return items, (counts if weights == "counts" else np.ones(len(items))).astype(np.float64)
@@ -108,7 +108,7 @@ def _throw(items, weights, owner, limit, k, seed, kept) -> None:
 
 
 def _signature_batches(batches, key: str, size: int, weights: str, bands: int, rows: int, seed: int):
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
     for batch in batches:
         texts = texts_of(batch)
         begin = 0
@@ -161,7 +161,7 @@ def _content(items: np.ndarray, weights: np.ndarray) -> bytes:
 
 
 def _item_batches(batches, size: int, weights: str):
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
     for batch in batches:
         parts = [weighted_elements(t, size, weights, known) for t in texts_of(batch)]
         # A shingle's n-th occurrence is an item of its own, so that shared items are the sum of the minima.
@@ -183,30 +183,6 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def groups_in(batches, by: list[str]):
-    """Whole groups, as Arrow tables, from batches sorted by ``by``; only the group that is open is held."""
-    open_key, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
-        changed = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            changed[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            if a == b:
-                continue
-            key = tuple(c[a] for c in columns)
-            if key != open_key and parts:
-                yield pa.Table.from_batches(parts)
-                parts = []
-            open_key = key
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield pa.Table.from_batches(parts)
-
-
 class _Forest:
     def __init__(self, labels: np.ndarray):
         self.parent = np.unique(labels, return_inverse=True)[1]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.common import documents, fold
 from driftwood.llm.content_sort import exact_duplicates
+from driftwood.llm.iterative_quantisation import linked_vectors
 from driftwood.llm.minhash import near_duplicates
 from driftwood.llm.mixing import mix
 from driftwood.llm.sentencepieces import encode_texts
@@ -73,3 +74,8 @@ def op9_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_itq_embedding_dedup")
+def op10_itq_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linked_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).withColumnRenamed("id", "vec_id")

@@ -13,7 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import fold, texts_of
+from driftwood.llm.common import fold, texts_of, words_of
+from driftwood.llm.minhash import shingles
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -194,6 +195,14 @@ def _features(found: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], np.log2(1.0 + found[:len(EVENTS)])])
 
 
+def _sketched(batches):
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        runs = [shingles(words_of(t), 5, known) for t in texts_of(batch)]
+        least = [int(r.min()) - 2**63 if len(r) else 0 for r in runs]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "label", "sketch"])
+
+
 def _vocabulary(batches):
     counts: Counter = Counter()
     for batch in batches:
@@ -217,7 +226,7 @@ def _evidence_batches(batches, learned, columns):
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> tuple[dict[str, float], np.ndarray]:
     """Learned lexicon entries and event weights, from at most ``rows`` labelled documents outside fold ``held``.
 
-    The rows are those first in hash order of their ids. A word, or a beginning of words, enters the lexicon if
+    The rows are those first in hash order of their ids, near-copies aside. A word, or a beginning of words, enters the lexicon if
     documents marked toxic hold it much more often than the others; its weight grows with that ratio. The weights of
     the grammar's events come from a logistic regression that starts from, and is held near, ``PRIOR``. Labels that
     are null do not count; of several labels of one id the highest does.
@@ -227,16 +236,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
     chosen = labelled.groupBy("_label_id").agg(F.max("_toxic").alias("label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(rows)
     # At most ``rows`` ids and labels are broadcast.
     sample = docs.select(key, "text").join(F.broadcast(materialise(chosen, "toxic-ids")), F.col(key) == F.col("_label_id"))
-    sample = materialise(sample.select("text", "label"), "toxic-sample")
+    # Copies of one document would make all its words telling: of texts with the same smallest run of words one stays.
+    sample = sample.select("text", "label").mapInArrow(_sketched, "text string, label int, sketch long")
+    sample = materialise(sample.dropDuplicates(["sketch"]).drop("sketch"), "toxic-sample")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sum(n for k, n in size.items() if k > 0), size.get(0, 0)
     counted = sample.mapInArrow(_vocabulary, "word string, label int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("yes"),
         F.sum(F.when(F.col("label") > 0, F.lit(0)).otherwise(F.col("n"))).alias("no"))
     odds = F.log((F.col("yes") + 0.5) / (toxic + 1.0)) - F.log((F.col("no") + 0.5) / (other + 1.0))
-    strong = counted.filter(F.col("yes") >= max(4.0, toxic * 0.002)).withColumn("odds", odds).filter("odds > 4")
-    entries = {r["word"]: r["odds"] for r in strong.orderBy(F.desc("odds"), "word").limit(LEXICON).collect()} if toxic and other else {}
-    learned = {w: min(v / 6.0, 2.0) for w, v in entries.items()}
+    counted = materialise(counted.filter("yes >= 4"), "toxic-words")
+    # So many toxic documents in a row that chance would not bring them up for any of the words looked at.
+    row = (math.log(max(counted.count(), 1)) + 2) / max(-math.log(toxic / max(toxic + other, 1)), 0.1) if toxic else 0
+    strong = counted.withColumn("odds", odds).filter((F.col("odds") > 3.5) & (F.col("yes") >= row))
+    entries = strong.orderBy(F.desc("odds"), "word").limit(LEXICON).collect() if toxic and other else []
+    learned = {r["word"]: min(r["odds"] / 6.0, 2.0) for r in entries}
     weighed = sample.mapInArrow(lambda b: _evidence_batches(b, learned, ["label"]), "label int, evidence array<double>")
     found = weighed.groupBy("label", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()
     return learned, _regression(found)
