@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftwood.llm.common import documents, fold
 from driftwood.llm.content_sort import exact_duplicates
 from driftwood.llm.iterative_quantisation import linked_vectors
+from driftwood.llm.log_bilinear import held_out, language_scores
 from driftwood.llm.minhash import near_duplicates
 from driftwood.llm.mixing import mix
 from driftwood.llm.sentencepieces import encode_texts
@@ -36,6 +37,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
+@query("op2_log_bilinear_scores")
+def op2_log_bilinear_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = language_scores(documents(spark, sf), ~held_out(F.col("doc_id")))
+    return scored.select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_subset_sum_mixing")
 def op4_subset_sum_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(documents(spark, sf)).select(
