@@ -16,6 +16,7 @@ from driftwood.llm.log_bilinear import held_out, language_scores
 from driftwood.llm.minhash import near_duplicates
 from driftwood.llm.mixing import mix
 from driftwood.llm.sentencepieces import encode_texts
+from driftwood.llm.skip_chain import KINDS, personal_data
 from driftwood.llm.toxicity import toxicity
 from driftwood.llm.url_filter import fit, labelled_urls, url_verdicts
 
@@ -114,6 +115,22 @@ def op7_content_sort_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op8_skip_chain_pii")
+def op8_skip_chain_pii(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*[F.lit(kind) for kind in KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["exact"] & (s["kind"] == kind))).cast("long")
+
+    exact = F.filter("spans", lambda s: s["exact"])
+    counts = {f"n_{name}": number(kind) for kind, name in enumerate(KINDS)}
+    return personal_data(documents(spark, sf)).select(
+        F.col("id").alias("doc_id"), *[c.alias(n) for n, c in counts.items()], F.sha2(written(exact), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query("op9_sentencepiece_round_trip")
 def op9_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     coded = encode_texts(documents(spark, sf), public_tokenizers.path(PIECES))
