@@ -165,7 +165,7 @@ def _item_batches(batches, size: int, weights: str):
     for batch in batches:
         parts = [weighted_elements(t, size, weights, known) for t in texts_of(batch)]
         # A shingle's n-th occurrence is an item of its own, so that shared items are the sum of the minima.
-        rows = [np.sort(np.concatenate([mix64(a[b > i] + np.uint64(i)) for i in range(int(b.max(initial=0)))] or [a])).view(np.int64) for a, b in parts]
+        rows = [np.sort(np.concatenate([mix64(a[b > i] + np.uint64(i)) for i in range(int(b.max(initial=0)))] or [a]).view(np.int64)) for a, b in parts]
         content = pa.array([_content(*p) for p in parts], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("id"), content, pa.array(rows, pa.list_(pa.int64()))], names=["id", "content", "items"])
 
