@@ -62,6 +62,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     known = events.select("conversation", "message", "seq", "role", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     in_order = W.partitionBy("conversation").orderBy("seq", "kind", "text")
     placed = known.withColumn("place", F.row_number().over(in_order))
+    whole = W.partitionBy("conversation", "message").orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = placed.withColumn("role", F.last("role", ignorenulls=True).over(whole))
     # A message is taken back by the last regeneration of an earlier one; that of its own empties it too.
     by_message = W.partitionBy("conversation").orderBy("message").rangeBetween(W.unboundedPreceding, 0)
     emptied = F.max(F.when(F.col("kind") == "regenerate", F.col("place"))).over(by_message)
@@ -70,7 +72,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     # The regeneration itself stands for its own message, as an empty beginning.
     folded = standing.groupBy("conversation", "message").agg(
         F.array_sort(F.collect_list(F.struct("place", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text")))).alias("parts"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("place"))).alias("role"))
+        F.max("role").alias("role"))
     return folded.select("conversation", "message", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 

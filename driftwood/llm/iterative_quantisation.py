@@ -24,22 +24,24 @@ RECALL = 0.95        # aimed at for a pair just at the threshold, as if codes we
 CHUNK = 1024         # vectors of a bucket that one block holds
 
 
-def _matrix(batch: pa.RecordBatch, width: int | None = None) -> tuple[np.ndarray, list[int]]:
+def _rows(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
     """Rows in double precision and their places in the batch; rows that can link with nothing are left out."""
     rows, places = [], []
     for i, v in enumerate(batch.column("embedding").to_pylist()):
-        if not v or None in v or (width is not None and len(v) != width):
+        if not v or None in v:
             continue
         row = np.array(v, dtype=np.float64)
-        if np.isfinite(row).all() and row.any() and math.isfinite(float(np.linalg.norm(row))):
-            rows.append(row)
+        if np.isfinite(row).all() and row.any():
+            largest = np.abs(row).max()
+            # Squares of very large or very small numbers would not be finite or not be there.
+            rows.append(row if 1e-100 < largest < 1e100 else row / largest)
             places.append(i)
     return rows, places
 
 
 def _contents(batches):
     for batch in batches:
-        rows, places = _matrix(batch)
+        rows, places = _rows(batch)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(pa.array(places, pa.int64())), pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in rows], pa.binary()),
              pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
