@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -14,18 +14,28 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _ratio(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    return 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+def _character_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of row and character, and how often the character stands in the row."""
+    characters = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    return np.unique(rows << 21 | characters, return_counts=True)
+
+
+def shared_characters(a: list[str], b: list[str]) -> np.ndarray:
+    """Characters that two texts have in common, counted with repetition, for all rows at once."""
+    (keys_a, counts_a), (keys_b, counts_b) = _character_counts(a), _character_counts(b)
+    keys, at_a, at_b = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
+    return np.bincount(keys >> 21, weights=np.minimum(counts_a[at_a], counts_b[at_b]), minlength=len(a))
 
 
 @F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of characters two texts have in common, counted with repetition; 1 for two empty texts.
 
-    An Arrow function, as counting characters by native array functions takes ten times as long.
+    An Arrow function over whole batches: native array functions take ten times as long.
     """
-    return pa.array([_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], type=pa.float64())
+    missing = np.array([not (x and y) for x, y in zip(a.is_valid().to_pylist(), b.is_valid().to_pylist())], dtype=bool)
+    left, right = ([t or "" for t in column.to_pylist()] for column in (a, b))
+    total = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.float64)
+    ratio = np.divide(2.0 * shared_characters(left, right), total, out=np.ones(len(total)), where=total > 0)
+    return pa.array(ratio, type=pa.float64(), mask=missing)

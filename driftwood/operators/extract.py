@@ -24,26 +24,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _FOUND = T.ArrayType(T.StructType([
     T.StructField("node", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-    T.StructField("docstring", T.StringType()), T.StructField("trivial", T.BooleanType()),
+    T.StructField("docstring", T.StringType()), T.StructField("opening", T.ArrayType(T.StringType())), T.StructField("statements", T.IntegerType()),
     T.StructField("code", T.StringType()),
 ]))
 _FOUND_ARROW = pa.list_(pa.struct([
     ("node", pa.int32()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
-    ("docstring", pa.string()), ("trivial", pa.bool_()), ("code", pa.string()),
+    ("docstring", pa.string()), ("opening", pa.list_(pa.string())), ("statements", pa.int32()), ("code", pa.string()),
 ]))
 
 
-def _is_trivial(node: ast.FunctionDef) -> bool:
-    """Nothing but one ``pass`` or ``...`` apart from a docstring; a docstring alone is not trivial."""
-    has_doc = isinstance(node.body[0], ast.Expr) and isinstance(getattr(node.body[0], "value", None), ast.Constant) \
-        and isinstance(node.body[0].value.value, str)
-    rest = node.body[1:] if has_doc else node.body
-    if len(rest) != 1:
-        return False
-    only = rest[0]
-    return isinstance(only, ast.Pass) or (
-        isinstance(only, ast.Expr) and isinstance(only.value, ast.Constant) and only.value.value is Ellipsis
-    )
+def _kind(statement: ast.stmt) -> str:
+    """``text``, ``dots`` or ``value`` for an expression, else the statement's name."""
+    if not isinstance(statement, ast.Expr):
+        return type(statement).__name__
+    return {str: "text", type(...): "dots"}.get(type(getattr(statement.value, "value", None)), "value") if isinstance(statement.value, ast.Constant) else "value"
+
+
+def is_trivial(opening: Column, statements: Column) -> Column:
+    """Nothing but one ``pass`` or ``...`` apart from a docstring, from the kinds of the first two statements of a body
+    and its number of statements."""
+    bare = F.when(F.get(opening, F.lit(0)) == "text", F.get(opening, F.lit(1))).otherwise(F.get(opening, F.lit(0)))
+    alone = statements == F.when(F.get(opening, F.lit(0)) == "text", 2).otherwise(1)
+    return alone & F.coalesce(bare.isin("Pass", "dots"), F.lit(False))
 
 
 def _encodable(text: str | None) -> bool:
@@ -69,7 +71,7 @@ def _functions_of(source: str | None) -> list[dict] | None:
             docstring = None
         found.append({
             "node": place, "name": node.name, "start_line": node.lineno, "end_line": node.end_lineno,
-            "docstring": docstring, "trivial": _is_trivial(node),
+            "docstring": docstring, "opening": [_kind(s) for s in node.body[:2]], "statements": len(node.body),
             "code": "\n".join(lines[node.lineno - 1:node.end_lineno]),
         })
     return found
@@ -95,6 +97,7 @@ def extract_functions(df: DataFrame, source: str = "source") -> DataFrame:
     return (
         parsed(df, source).select(*keep, F.explode_outer("functions").alias("_f")).select(*keep, "_f.*")
         .filter(F.col("name").isNotNull())
+        .withColumn("trivial", is_trivial(F.col("opening"), F.col("statements"))).drop("opening", "statements")
     )
 
 

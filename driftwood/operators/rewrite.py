@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.functions.text import lines_of
+from driftwood.functions.text import let, lines_of
 
 
 def rewrite_files(files: DataFrame, edits: DataFrame, key: str = "path", text: str = "source") -> DataFrame:
     """Files with docstring line spans replaced, plus the number of edits done.
 
     ``edits`` has ``first_line``, ``last_line`` (1-based, not overlapping within a file) and ``block``. A file
-    is one text, so its edits are gathered and applied from the last line up, which keeps the numbers of the
-    lines above them valid.
+    is one text, so its edits are gathered, and put together in one pass with the lines between them.
     """
     spans = edits.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("first_line", "last_line", "block")), asc=False).alias("_edits")
+        F.sort_array(F.collect_list(F.struct("first_line", "last_line", "block"))).alias("_edits")
     )
 
-    def apply(lines: Column, edit: Column) -> Column:
-        block = F.split(F.regexp_replace(edit["block"], r"\n\z", ""), "\n", -1)
-        above = F.slice(lines, F.lit(1), edit["first_line"] - 1)
-        below = F.slice(lines, edit["last_line"] + 1, F.greatest(F.size(lines) - edit["last_line"], F.lit(0)))
-        return F.concat(above, block, below)
+    def edited(file: Column) -> Column:
+        lines, changes = file["lines"], file["edits"]
+
+        def piece(edit: Column, i: Column) -> Column:
+            done = F.when(i > 0, F.get(changes, i - 1)["last_line"]).otherwise(F.lit(0))
+            block = F.split(F.regexp_replace(edit["block"], r"\n\z", ""), "\n", -1)
+            return F.concat(F.slice(lines, done + 1, edit["first_line"] - done - 1), block)
+
+        end = F.element_at(changes, -1)["last_line"]
+        below = F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0)))
+        return F.array_join(F.concat(F.flatten(F.transform(changes, piece)), below), "\n")
 
-    edited = F.aggregate(F.coalesce("_edits", F.array().cast("array<struct<first_line:int,last_line:int,block:string>>")), lines_of(F.col(text)), apply)
     return (
         files.join(spans, key, "left")
-        .withColumn(text, F.when(F.col("_edits").isNull(), F.col(text)).otherwise(F.array_join(edited, "\n")))
+        .withColumn(text, F.when(F.col("_edits").isNull(), F.col(text)).otherwise(
+            let(F.struct(lines_of(F.col(text)).alias("lines"), F.col("_edits").alias("edits")), edited)))
         .withColumn("edits", F.coalesce(F.size("_edits"), F.lit(0)))
         .drop("_edits")
     )

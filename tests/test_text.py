@@ -26,40 +26,52 @@ def applied(spark, texts, column):
     return [r["v"] for r in df.select("i", column(F.col("t")).alias("v")).orderBy("i").collect()]
 
 
-def shift(lines, depth):
-    return "\n".join(line[4 * depth:] for line in lines)
-
-
-def expected_clean(code):
-    lines = [line.partition("#")[0].rstrip() for line in code.split("\n")]
-    depth = min((len(line) - len(line.lstrip(" "))) // 4 for line in lines)
-    return re.sub(r"\n\n+", "\n", shift(lines, depth), count=1)
-
-
-def expected_dedent(code):
-    lines, depth = code.split("\n"), 0
-    while depth < 50 and all(line[4 * depth:].isspace() or line[4 * depth:].startswith("    ") for line in lines):
-        depth += 1
-    return shift(lines, depth)
-
-
-def expected_without_docstring(code):
-    mark = '"""' if '"""' in code else "'''"
-    start = code.find(mark)
-    end = code.find(mark, start + 1)
-    return None if start < 0 or end < 0 else code[:start] + code[end + 3:]
-
-
-def test_clean_code(spark, texts):
-    assert applied(spark, texts, text.clean_code) == [expected_clean(t) for t in texts]
-
-
-def test_dedent(spark, texts):
-    assert applied(spark, texts, text.dedent) == [expected_dedent(t) for t in texts]
-
-
-def test_remove_docstring(spark, texts):
-    assert applied(spark, texts, text.remove_docstring) == [expected_without_docstring(t) for t in texts]
+CLEANED = [
+    ("def f():  # why\n    return 1", "def f():\n    return 1"),
+    ("    def f():\n        return 1\n    # end", "    def f():\n        return 1\n"), ("    a\n        b  # c", "a\n    b"),
+    ("a\n\n\nb\n\nc", "a\nb\n\nc"),
+    ("  a\n    b", "  a\n    b"),
+    ("a = '#'\t ", "a = '"),
+    ("", ""),
+]
+DEDENTED = [
+    ("    a\n    b", "a\nb"), ("        a\n    b", "    a\nb"), ("    a\n\n    b", "    a\n\n    b"), ("    a\n  \n    b", "a\n\nb"),
+    ("a\n    b", "a\n    b"), ("        a\n        b", "a\nb"), ("\ta", "\ta"),
+]
+SINGLE, DOUBLE = "'" * 3, '"' * 3
+WITHOUT_DOCSTRING = [
+    (f"def f():\n    {DOUBLE}Doc.{DOUBLE}\n    pass", "def f():\n    \n    pass"), (f"def f():\n    {SINGLE}Doc.{SINGLE}", "def f():\n    "),
+    (f"x = {DOUBLE}open", None), ("def f(): pass", None), (f"{SINGLE}a{SINGLE} {DOUBLE}b{DOUBLE}", f"{SINGLE}a{SINGLE} "),
+]
+
+
+@pytest.mark.parametrize("column, cases", [(text.clean_code, CLEANED), (text.dedent, DEDENTED), (text.remove_docstring, WITHOUT_DOCSTRING)])
+def test_written_out_cases(spark, column, cases):
+    assert applied(spark, [before for before, _ in cases], column) == [after for _, after in cases]
+
+
+def test_cleaned_code_has_no_comment_and_no_loose_end(spark, texts):
+    for cleaned in applied(spark, texts, text.clean_code):
+        assert "#" not in cleaned
+        # Only the first run of line breaks is collapsed, so what is left behind it may hold others.
+        assert not re.match(r"(?s)[^\n]*\n\n", cleaned)
+
+
+def test_dedenting_is_done_once(spark, texts):
+    once = applied(spark, texts, text.dedent)
+    assert applied(spark, once, text.dedent) == once
+    for before, after in zip(texts, once):
+        assert before.count("\n") == after.count("\n") and before.replace(" ", "").strip() == after.replace(" ", "").strip()
+        # Some line is left that neither starts with a unit nor is white space only.
+        assert any(not (line.isspace() or line.startswith("    ")) for line in after.split("\n"))
+
+
+def test_exactly_one_block_is_removed(spark, texts):
+    for before, after in zip(texts, applied(spark, texts, text.remove_docstring)):
+        if after is not None:
+            gone = len(before) - len(after)
+            at = before.find(DOUBLE if DOUBLE in before else SINGLE)
+            assert before[:at] == after[:at] and before[at + gone:] == after[at:] and gone >= 4
 
 
 def test_strip_and_body_begin(spark, texts):
