@@ -14,7 +14,7 @@ from driftwood.catalog.windows import packing_sql
 from driftwood.functions import text
 from driftwood.operators import extract
 from driftwood.operators.relations import wide_table
-from driftwood.operators.tokens import words
+from driftwood.operators.tokens import inverse_log_frequency, token_frequencies, words
 from driftwood.plans import (
     comparison, corpus_profile, corpus_rewrite, dataset, scoring, training_blocks, tuning, version_history,
 )
@@ -61,7 +61,7 @@ DATASET_SQL = f"""
 WITH {views.CHAIN},
 b_clean AS (SELECT id, repo_name, docstring, E'def f_' || split_part(id, '|', 1) || E'(x):\\n    return x + ' || split_part(id, '|', 2) AS c FROM b_wide WHERE last_version IS NOT NULL),
 b_rest AS (SELECT * FROM b_clean WHERE repo_name <> (SELECT repo_name FROM b_clean ORDER BY md5('42|' || id) LIMIT 1)),
-b_even AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY md5('43|' || id)) AS r FROM b_rest) ORDER BY r, repo_name LIMIT 20000),
+b_even AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY md5('43|' || id)) AS r FROM b_rest) ORDER BY r, repo_name LIMIT (SELECT count(*) // 3 FROM b_rest)),
 b_parts AS (SELECT *, substr(md5('44|' || id), 1, 8) <= 'cccccccc' AS is_train FROM b_even),
 b_test AS (SELECT *, row_number() OVER (ORDER BY md5('45|' || id)) - 1 AS i FROM b_parts WHERE NOT is_train),
 b_samples AS (
@@ -76,14 +76,14 @@ SELECT part, l, c, d, '<|fim_prefix|>' || split_part(c, E'\n', 1) || E'\n\n    \
 """)
 def x3(spark, sf):
     wide = wide_table(*views.chain_tables(spark, sf), complete_only=True)
-    cut = dataset.cut_dataset(wide, 20_000)
+    cut = dataset.cut_dataset(wide, share=1 / 3)
     train = dataset.training_samples(cut.train).withColumn("part", F.lit("train"))
     return train.unionByName(dataset.test_samples(cut.test).withColumn("part", F.lit("test")))
 
 
 @query("x3_held_out", DATASET_SQL + "SELECT repo_name, count(*) AS rows FROM b_clean WHERE id NOT IN (SELECT id FROM b_rest) GROUP BY repo_name")
 def x3_held(spark, sf):
-    cut = dataset.cut_dataset(wide_table(*views.chain_tables(spark, sf), complete_only=True), None)
+    cut = dataset.cut_dataset(wide_table(*views.chain_tables(spark, sf), complete_only=True))
     return cut.held_out.groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -91,7 +91,7 @@ def x3_held(spark, sf):
 
 PROFILE_SQL = f"""
 WITH {views.CHAIN},
-b_profiled AS (SELECT * FROM b_wide ORDER BY md5('42|' || id) LIMIT 100000),
+b_profiled AS (SELECT * FROM b_wide),
 rs AS (SELECT repo_name, min(stars) AS stars, min(watchers) AS watchers, min(forks) AS forks, min(contributors) AS contributors, min(open_issues) AS open_issues,
   min(contributions) AS contributions, min(size) AS sizes, count(DISTINCT function_name) AS functions, count(DISTINCT id) AS versions FROM b_profiled GROUP BY repo_name),
 vs AS (SELECT id, length('def f_' || split_part(id, '|', 1) || E'(x):\\n    return x + ' || split_part(id, '|', 2)) AS code_lengths, length(docstring) AS docstring_lengths, code_similarity, docstring_similarity FROM b_profiled)"""
@@ -156,19 +156,26 @@ def x5(spark, sf):
     return result_columns(scoring.score_by_distance(views.embeddings(spark, sf)[0], vector_generations(spark, sf), DISTANCE))
 
 
-@query("x6_probability_scoring", f"""
+PREDICTION_RESULT = f"""
 WITH {WEIGHTED_SQL}
 SELECT 'base' AS mid, a.item_idx, a.score / b.score <= 1.0 AS out_of_date, trim(split_part(text || '\"\"\"', '\"\"\"', 1), E' \\n') AS updated_docstring, round(a.score, 6) AS docstring_score, round(b.score, 6) AS updated_docstring_score
 FROM b_scores a JOIN b_scores b ON b.item_idx = a.item_idx AND b.role = 'gen' JOIN documents ON doc_id = a.item_idx WHERE a.role = 'doc'
-""")
-def x6(spark, sf):
+"""
+
+
+def prediction_inputs(spark, sf):
     """The generated text is cut at the first three quotes: one that ends in a quote loses it to them."""
     generated = table(spark, sf, "documents").select(
         F.lit("base").alias("mid"), F.lit(0).alias("sample_idx"), F.col("doc_id").alias("item_idx"),
         F.concat(F.lit(text.MIDDLE), "text", F.lit('"""')).alias("text"))
-    weights = training_blocks.token_weight_table(views.code(spark, sf))
-    parameters = scoring.PredictionParameters(1.0, 0.3, 0.7)
-    return result_columns(scoring.score_by_probability(views.token_probabilities(spark, sf), weights, generated, parameters))
+    counted, vocab = views.counted_tokens(spark, sf)
+    weights = inverse_log_frequency(token_frequencies(counted, vocab))
+    return views.token_probabilities(spark, sf, vocab), weights, generated, scoring.PredictionParameters(1.0, 0.3, 0.7)
+
+
+@query("x6_probability_scoring", PREDICTION_RESULT)
+def x6(spark, sf):
+    return result_columns(scoring.score_by_probability(*prediction_inputs(spark, sf)))
 
 
 @query("x7_update_only", f"""
@@ -182,15 +189,15 @@ def x7(spark, sf):
 @query("e1_scorers", f"""
 WITH {views.VECTORS}
 SELECT 'distance' AS method, * FROM ({DISTANCE_RESULT})
+UNION ALL SELECT 'prediction', * FROM ({PREDICTION_RESULT})
 UNION ALL SELECT 'update', m.mid, vec_id, NULL, 'item ' || vec_id || ' of ' || m.mid, NULL, NULL FROM embeddings, (VALUES ('base'), ('tuned')) m(mid)
 """)
 def e1(spark, sf):
-    """Two scorers chosen by name, one result schema."""
+    """Three scorers chosen by name, one result schema."""
     generated = vector_generations(spark, sf)
-    near = scoring.scorer("distance")(views.embeddings(spark, sf)[0], generated, DISTANCE)
-    plain = scoring.scorer("update")(generated)
-    both = near.withColumn("method", F.lit("distance")).unionByName(plain.withColumn("method", F.lit("update")))
-    return result_columns(both, "method")
+    inputs = {"distance": (views.embeddings(spark, sf)[0], generated, DISTANCE), "prediction": prediction_inputs(spark, sf), "update": (generated,)}
+    parts = [scoring.scorer(method)(*given).withColumn("method", F.lit(method)) for method, given in inputs.items()]
+    return result_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), "method")
 
 
 # --- tuning and comparison ------------------------------------------------------------------------------
@@ -228,7 +235,7 @@ SELECT n.verdict, count(v.verdict) FILTER (judge = 'first') AS first, count(v.ve
 FROM n LEFT JOIN v ON n.verdict = v.verdict OR (n.verdict = 'total' AND v.verdict IS NOT NULL) GROUP BY n.verdict
 """)
 def x10(spark, sf):
-    judged = comparison.stale_batches(views.labeled(spark, sf).select("doc_id", "c", "d", "l"), ["doc_id"])
+    judged = comparison.stale_batches(views.labeled(spark, sf).select("doc_id", "c", "d", "l"), ["doc_id"], 100, 25)
     return comparison.compare(views.ratings(spark, sf), judged, ["doc_id"], ["first", "second"])
 
 
@@ -237,7 +244,7 @@ WITH {views.LABELED}, s AS (SELECT doc_id, c, d, row_number() OVER (ORDER BY md5
 SELECT doc_id, c, d, i // 25 AS batch, i % 25 AS slot FROM s
 """)
 def x10_batches(spark, sf):
-    return comparison.stale_batches(views.labeled(spark, sf).select("doc_id", "c", "d", "l"), ["doc_id"]).drop("l")
+    return comparison.stale_batches(views.labeled(spark, sf).select("doc_id", "c", "d", "l"), ["doc_id"], 100, 25).drop("l")
 
 
 # --- tokens -------------------------------------------------------------------------------------------
@@ -255,8 +262,8 @@ def x11(spark, sf):
 
 def _blocks_sql(part: str, where: str) -> str:
     return f"""SELECT * FROM (WITH {packing_sql('carry', where, eos=True)},
-      b_sums AS (SELECT bucket, block, sum(list_sum(list_transform(w, lambda x: length(x) + 1000)))::BIGINT AS ids FROM b_fold JOIN b_slot USING (bucket, slot) GROUP BY ALL)
-      SELECT '{part}' AS part, bucket, block::BIGINT AS block, 512::BIGINT AS length, 512 - tokens + sequences AS ends, ids + 512 - tokens + sequences AS checksum
+      b_sums AS (SELECT bucket, block, coalesce(sum(list_sum(list_transform(w, lambda x: length(x) + 1000))), 0)::BIGINT AS ids FROM b_fold JOIN b_slot USING (bucket, slot) GROUP BY ALL)
+      SELECT '{part}' AS part, bucket, block::BIGINT AS block, 512::BIGINT AS length, 512 - tokens + ended AS ends, ids + 512 - tokens + ended AS checksum
       FROM b_blocks JOIN b_sums USING (bucket, block))"""
 
 

@@ -51,10 +51,10 @@ def j3(spark, sf):
 
 @query("j4_items_with_generations", f"""
 WITH {views.GENERATIONS}
-SELECT c.conv_id AS item_idx, c.turn, c.text AS c, g.mid, g.sample_idx, g.text AS g FROM conversations c JOIN b_gen g ON g.item_idx = c.conv_id WHERE c.turn = 0
+SELECT c.conv_id AS item_idx, c.turn, c.text AS c, g.mid, g.sample_idx, g.text AS g FROM conversations c JOIN b_gen g ON g.item_idx = c.conv_id
 """)
 def j4(spark, sf):
-    items = table(spark, sf, "conversations").filter(F.col("turn") == 0).select(F.col("conv_id").alias("item_idx"), "turn", F.col("text").alias("c"))
+    items = table(spark, sf, "conversations").select(F.col("conv_id").alias("item_idx"), "turn", F.col("text").alias("c"))
     return relations.attach_generations(items, views.generations(spark, sf).withColumnRenamed("text", "g"))
 
 

@@ -68,7 +68,9 @@ WITH {views.HISTORY},
 w AS (SELECT *, lag(code) OVER o AS pc, lag(docstring) OVER o AS pd FROM b_history WINDOW o AS (PARTITION BY conv_id ORDER BY seq)),
 kept AS (SELECT * FROM w WHERE pc IS NULL OR pc <> code OR pd <> docstring),
 linked AS (SELECT conv_id, seq, lag(seq) OVER (PARTITION BY conv_id ORDER BY seq) AS last_version, pc <> code AS code_updated, pd <> docstring AS docstring_updated FROM kept)
-SELECT * FROM linked WHERE last_version IS NOT NULL
+SELECT conv_id, seq, last_version, code_updated, docstring_updated,
+  CASE WHEN seq % 4 > 0 THEN 'c' || seq END AS commit, CASE WHEN seq % 3 > 0 THEN DATE '2020-01-01' + CAST(seq AS INTEGER) END AS date
+FROM linked WHERE last_version IS NOT NULL
 """
 
 
@@ -76,7 +78,9 @@ SELECT * FROM linked WHERE last_version IS NOT NULL
 def f7(spark, sf):
     flagged = flag_changes(views.history(spark, sf), ["conv_id"], ["seq"])
     linked = link_versions(flagged, ["conv_id"], ["seq"], "seq")
-    return complete_rows(linked.select("conv_id", "seq", "last_version", "code_updated", "docstring_updated"))
+    dated = linked.withColumn("commit", F.when(F.col("seq") % 4 > 0, F.concat(F.lit("c"), F.col("seq").cast("string")))).withColumn(
+        "date", F.when(F.col("seq") % 3 > 0, F.date_add(F.lit("2020-01-01").cast("date"), F.col("seq").cast("int"))))
+    return complete_rows(dated.select("conv_id", "seq", "last_version", "code_updated", "docstring_updated", "commit", "date"))
 
 
 @query("f8_stale_rows", f"WITH {views.LABELED} SELECT doc_id, source, d FROM b_labeled WHERE NOT l")
@@ -86,7 +90,7 @@ def f8(spark, sf):
 
 @query("f9_repository_pick", """
 SELECT c_custkey AS id, c_mktsegment AS language, round(c_acctbal, 2) AS stars FROM customer
-WHERE c_acctbal >= 1000 AND lower(c_mktsegment) = 'building' ORDER BY c_acctbal DESC, c_custkey LIMIT 1000
+WHERE c_acctbal >= 1000 AND lower(c_mktsegment) = 'building' ORDER BY c_acctbal DESC, c_custkey
 """)
 def f9(spark, sf):
     repositories = table(spark, sf, "customer").select(
@@ -125,6 +129,5 @@ SELECT item_idx, round(docstring_score, 6) AS docstring_score, round(updated_doc
 WHERE mid = 'tuned' AND distance_function = 'euclidean' AND NOT normalize AND sample_many
 """)
 def f14(spark, sf):
-    cell = (F.col("mid") == "tuned") & (F.col("distance_function") == "euclidean") & ~F.col("normalize") & F.col("sample_many")
-    return setting_ratios(views.embeddings(spark, sf)[0]).filter(cell).select(
+    return setting_ratios(views.embeddings(spark, sf)[0], [("euclidean", False, True)]).filter(F.col("mid") == "tuned").select(
         "item_idx", r6("docstring_score").alias("docstring_score"), r6("updated_docstring_score").alias("updated_docstring_score"))

@@ -37,10 +37,10 @@ def s1(spark, sf):
     path = fresh_path(spark, "metadata")
     (
         table(spark, sf, "customer").select(F.floor(k / 100).alias("page"), repository.alias("r"))
-        .groupBy("page").agg(F.to_json(F.collect_list("r")).alias("value"))
-        .write.partitionBy("page").text(path)
+        .groupBy("page").agg(F.to_json(F.collect_list("r")).alias("value")).select("value")
+        .write.text(path)
     )
-    return entities.repositories_from_metadata(entities.read_repository_metadata(spark, path))
+    return entities.repositories_from_metadata(entities.read_repository_metadata(spark, path, lines=True))
 
 
 FILES_SQL = """SELECT md5(source || '|' || doc_id) AS id, 'src/' || doc_id || '.py' AS path, md5(source) AS repo FROM documents"""
@@ -95,32 +95,22 @@ def s5(spark, sf):
 
 @query("s6_prediction_cache", f"""
 WITH {views.GENERATIONS}
-SELECT mid, item_idx, max(CASE WHEN sample_idx = 0 THEN text END) AS g0, max(CASE WHEN sample_idx = 1 THEN text END) AS g1,
-  max(CASE WHEN sample_idx = 2 THEN text END) AS g2, max(CASE WHEN sample_idx = 3 THEN text END) AS g3
-FROM b_gen GROUP BY ALL
+SELECT mid, item_idx, count(*) AS samples, string_agg(text, '|' ORDER BY sample_idx) AS texts FROM b_gen GROUP BY ALL
 """)
 def s6(spark, sf):
-    """Cache files of 32 items each, written sample-major and read back item-major."""
+    """Caches of 32 items each, a line per cache, written sample-major and read back item-major."""
     rows = views.generations(spark, sf).withColumn("block", F.floor(F.col("item_idx") / 32)).withColumn("place", F.col("item_idx") % 32)
     texts = F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "sample_idx", "place"), "text")))
-    per_model = rows.groupBy("block", "mid").agg(texts.alias("_t"))
-    nested = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.transform(
+    per_model = rows.groupBy("block", "mid").agg(texts.alias("_t"), F.max("sample_idx").alias("last"))
+    nested = F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.transform(
         F.sequence(F.lit(0), F.lit(31)), lambda i: F.try_element_at(F.col("_t"), F.concat_ws(":", s, i))))
     caches = per_model.select("block", "mid", nested.alias("n")).groupBy("block").agg(
         F.map_from_entries(F.collect_list(F.struct("mid", "n"))).alias("data"))
     path = fresh_path(spark, "predictions")
-    caches.select("block", F.to_json("data").alias("value")).write.partitionBy("block").text(path)
-    read = spark.read.text(path).select(
-        (F.col("block") * 32).cast("long").alias("first_item"), F.from_json("value", schemas.PREDICTION_CACHE).alias("data"))
-    by_item = samples.predictions_by_item(samples.explode_predictions(read, "data", "first_item").filter(F.col("text").isNotNull()).withColumn(
-        "text", F.concat(F.col("sample_idx").cast("string"), F.lit("|"), "text")))
-
-
-    def sample(s):
-        marked = F.get(F.filter("texts", lambda t: t.startswith(f"{s}|")), F.lit(0))
-        return F.substring(marked, F.lit(3), F.length(marked))
-
-    return by_item.select("mid", "item_idx", *[sample(s).alias(f"g{s}") for s in range(4)])
+    caches.select(F.to_json(F.struct((F.col("block") * 32).cast("long").alias("first_item"), "data")).alias("value")).write.text(path)
+    read = samples.read_prediction_lines(spark, path)
+    by_item = samples.predictions_by_item(samples.explode_predictions(read, "data", "first_item").filter(F.col("text").isNotNull()))
+    return by_item.select("mid", "item_idx", F.size("texts").cast("long").alias("samples"), F.array_join("texts", "|").alias("texts"))
 
 
 @query("s7_judge_ratings", f"WITH {views.RATINGS} SELECT judge, answer FROM b_ratings")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.catalog.registry import table
 from driftwood.operators.tokens import count_tokens, explode_tokens, vocabulary, words
+from driftwood.session import materialise
 
 # --- code and docstring of each document -------------------------------------------------------------
 
@@ -100,8 +102,6 @@ b_wide AS (
 
 def chain_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Versions from line items, functions from orders, files from customers, repositories from nations."""
-    from pyspark.sql import Window as W
-
     def text(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -234,23 +234,30 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return explode_tokens(code(spark, sf), ["doc_id"], words(F.col("d")))
 
 
-def token_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tokens(spark, sf)
-    return rows.join(vocabulary(count_tokens(rows)), "token", "left")
+def counted_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of all tokens and the vocabulary, worked out once and handed to all who need them."""
+    counted = count_tokens(tokens(spark, sf))
+    return counted, materialise(vocabulary(counted), "vocabulary")
+
+
+def token_ids(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
+    vocab = counted_tokens(spark, sf)[1] if vocab is None else vocab
+    return tokens(spark, sf).join(vocab, "token", "left")
 
 
-def token_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+def token_probabilities(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
     roles = F.array(
         F.struct(F.lit("doc").alias("role"), (F.lit(1.0) / (2 + F.col("token_id") % 97)).alias("prob")),
         F.struct(F.lit("gen").alias("role"), (F.lit(1.0) / (2 + F.col("token_id") * 7 % 89)).alias("prob")),
     )
-    return token_ids(spark, sf).select(
+    return token_ids(spark, sf, vocab).select(
         F.lit("base").alias("mid"), F.col("doc_id").alias("item_idx"), "pos", "n_tokens", "token_id", F.explode(roles).alias("_r")
     ).select("mid", "item_idx", "_r.role", "pos", "n_tokens", "token_id", "_r.prob")
 
 
 # --- requests, generations, ratings ------------------------------------------------------------------
-# A conversation is cut into requests of 64 turns; the k-th user turn meets the k-th assistant turn.
+# A conversation is cut into requests of 64 turns; the k-th user turn meets the k-th assistant turn,
+# or null where one of them has no such turn.
 
 REQUEST_TURNS = 64
 
@@ -261,9 +268,8 @@ b_turns AS (
   FROM conversations
 ),
 b_request_rows AS (
-  SELECT u.conv_id, u.part, u.pos, u.text AS code, a.text AS docstring
-  FROM b_turns u JOIN b_turns a ON a.conv_id = u.conv_id AND a.part = u.part AND a.pos = u.pos AND a.role = 'assistant'
-  WHERE u.role = 'user'
+  SELECT conv_id, part, pos, u.text AS code, a.text AS docstring
+  FROM (SELECT * FROM b_turns WHERE role = 'user') u FULL JOIN (SELECT * FROM b_turns WHERE role = 'assistant') a USING (conv_id, part, pos)
 )"""
 
 
@@ -274,27 +280,24 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
     turns = table(spark, sf, "conversations").withColumn("part", F.floor(F.col("turn") / REQUEST_TURNS))
     both = turns.groupBy("conv_id", "part").agg(side("user").alias("_u"), side("assistant").alias("_a"))
-    n = F.least(F.size("_u"), F.size("_a"))
-    return both.select(
-        "conv_id", "part", F.lit("base").alias("mid"), F.slice("_u", F.lit(1), n).alias("codes"),
-        F.slice("_a", F.lit(1), n).alias("docstrings"), F.lit("update").alias("test_method"),
+    pairs = F.arrays_zip("_u", "_a")
+    return both.select("conv_id", "part", pairs.alias("_p")).select(
+        "conv_id", "part", F.lit("base").alias("mid"), F.transform("_p", lambda p: p["_u"]).alias("codes"),
+        F.transform("_p", lambda p: p["_a"]).alias("docstrings"), F.lit("update").alias("test_method"),
     )
 
 
-# One text per model, item and sample: the earliest turn of that kind.
+# Every turn is a text: a model's n-th turn in a conversation is its sample n of that item.
 GENERATIONS = """
 b_gen AS (
-  SELECT role AS mid, CAST(turn % 4 AS INTEGER) AS sample_idx, conv_id AS item_idx, arg_min(text, turn) AS text
-  FROM conversations GROUP BY ALL
+  SELECT role AS mid, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS sample_idx, conv_id AS item_idx, text
+  FROM conversations
 )"""
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        table(spark, sf, "conversations")
-        .groupBy(F.col("role").alias("mid"), (F.col("turn") % 4).cast("int").alias("sample_idx"), F.col("conv_id").alias("item_idx"))
-        .agg(F.min_by("text", "turn").alias("text"))
-    )
+    place = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")) - 1
+    return table(spark, sf, "conversations").select(F.col("role").alias("mid"), place.alias("sample_idx"), F.col("conv_id").alias("item_idx"), "text")
 
 
 RATINGS = """

@@ -119,16 +119,18 @@ def w9(spark, sf):
 
 # Token ids of a text: its words as numbers from a hash, so that no dictionary is needed.
 def packing_sql(overflow: str, where: str = "true", seed: int = 42, eos: bool = False) -> str:
-    """Next-fit of the texts with at most 512 tokens, a thousand per bucket, row by row."""
+    """Next-fit of the texts, in pieces of at most 512 tokens, a thousand per bucket, row by row."""
     spill = "f.block + 1" if overflow == "carry" else "-1"
     used = "s.len" if overflow == "carry" else "0"
     more = "+ 1" if eos else ""
     return views.CODE + f""",
 b_seq AS (
-  SELECT doc_id, w, len(w) {more} AS len FROM (SELECT doc_id, regexp_extract_all(lower(d), '[a-z]+') AS w FROM b_code WHERE {where}) WHERE len(w) {more} <= 512
+  SELECT doc_id, piece, list_slice(w, piece * 512 + 1, piece * 512 + 512) AS w, least(len(w) {more} - piece * 512, 512) AS len,
+    CASE WHEN len(w) {more} - piece * 512 <= 512 THEN 0 {more} ELSE 0 END AS ended
+  FROM (SELECT doc_id, w, unnest(range(greatest((len(w) {more} + 511) // 512, 1))) AS piece FROM (SELECT doc_id, regexp_extract_all(lower(d), '[a-z]+') AS w FROM b_code WHERE {where}))
 ),
 b_slot AS (
-  SELECT doc_id, w, len, i // 1000 AS bucket, i % 1000 AS slot FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || doc_id)) - 1 AS i FROM b_seq)
+  SELECT doc_id, w, len, ended, i // 1000 AS bucket, i % 1000 AS slot FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || doc_id || '|' || piece)) - 1 AS i FROM b_seq)
 ),
 b_fold AS (
   WITH RECURSIVE f(bucket, slot, block, used, placed) AS (
@@ -141,7 +143,7 @@ b_fold AS (
   ) SELECT bucket, slot, placed AS block FROM f WHERE placed >= 0
 ),
 b_blocks AS (
-  SELECT bucket, block, count(*) AS sequences, sum(len)::BIGINT AS tokens, string_agg(doc_id, ',' ORDER BY slot) AS members
+  SELECT bucket, block, count(*) AS sequences, sum(len)::BIGINT AS tokens, sum(ended)::BIGINT AS ended, string_agg(doc_id, ',' ORDER BY slot) AS members
   FROM b_fold JOIN b_slot USING (bucket, slot) GROUP BY ALL
 )"""
 

@@ -14,9 +14,13 @@ SETTING = ["mid", "distance_function", "normalize", "sample_many"]
 
 
 def confusion(df: DataFrame, by: list[str], threshold: Column, ratio: str = "ratio", label: str = "l") -> DataFrame:
-    """True and false positives and negatives at a threshold; a ratio up to it says the docstring fits."""
+    """True and false positives and negatives at a threshold; a ratio up to it says the docstring fits.
+
+    Rows without a ratio count nowhere, here as in ``threshold_curve``.
+    """
     fits = at_most(F.col(ratio), threshold)
     truth = F.col(label)
+    df = df.filter(F.col(ratio).isNotNull())
     return df.groupBy(*by).agg(
         F.count_if(truth & fits).alias("tp"), F.count_if(~truth & ~fits).alias("tn"),
         F.count_if(~truth & fits).alias("fp"), F.count_if(truth & ~fits).alias("fn"),
@@ -35,7 +39,7 @@ def threshold_curve(ratios: DataFrame, by: list[str] = SETTING, ratio: str = "ra
     leaves at most 201 cells per setting, and the counts of all 200 thresholds are sums over these.
     """
     cells = (
-        ratios.withColumn("grid_idx", grid_index(F.col(ratio)))
+        ratios.filter(F.col(ratio).isNotNull()).withColumn("grid_idx", grid_index(F.col(ratio)))
         .groupBy(*by, "grid_idx")
         .agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
     )

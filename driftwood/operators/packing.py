@@ -12,6 +12,19 @@ BLOCK_SIZE = 512
 BUCKET_ROWS = 1000
 
 
+def split_long(df: DataFrame, tokens: str = "input_ids", block_size: int = BLOCK_SIZE, piece: str = "piece") -> DataFrame:
+    """Sequences above the block size in pieces of it, numbered from 0; every token stays."""
+    last = F.greatest(F.ceil(F.size(tokens) / block_size).cast("int") - 1, F.lit(0))
+    return df.withColumn(piece, F.explode(F.sequence(F.lit(0), last))).withColumn(
+        tokens, F.slice(tokens, F.col(piece) * block_size + 1, F.lit(block_size)))
+
+
+def count_long(df: DataFrame, tokens: str = "input_ids", block_size: int = BLOCK_SIZE) -> DataFrame:
+    """One row: how many sequences, and tokens in them, ``drop_long`` leaves out."""
+    long = F.size(tokens) > block_size
+    return df.agg(F.count_if(long).alias("sequences"), F.coalesce(F.sum(F.when(long, F.size(tokens))), F.lit(0)).alias("tokens"))
+
+
 def drop_long(df: DataFrame, tokens: str = "input_ids", block_size: int = BLOCK_SIZE) -> DataFrame:
     return df.filter(F.size(tokens) <= block_size)
 
@@ -41,17 +54,24 @@ def _assign(rows: Column, block_size: int, overflow: str) -> Column:
 
 def assign_blocks(
     df: DataFrame, key: list[str], tokens: str = "input_ids", block_size: int = BLOCK_SIZE,
-    bucket_rows: int = BUCKET_ROWS, overflow: str = "carry", seed: int = 42,
+    bucket_rows: int = BUCKET_ROWS, overflow: str = "carry", seed: int = 42, long: str = "split",
 ) -> DataFrame:
     """Rows with bucket, slot and block, next-fit within buckets of ``bucket_rows`` rows in hash order.
 
     ``overflow`` says what becomes of a row that does not fit into the open block: ``carry`` starts the
-    next block with it, ``drop`` starts the next block without it. Only lengths are gathered per bucket,
+    next block with it, ``drop`` starts the next block without it. ``long`` says what becomes of a sequence longer
+    than a block: ``split`` cuts it into pieces, told apart by ``piece``, ``drop`` leaves it out (see ``count_long``). Only lengths are gathered per bucket,
     a thousand small structs; the tokens stay where they are.
     """
     if overflow not in ("carry", "drop"):
         raise ValueError("overflow must be 'carry' or 'drop'")
-    sized = drop_long(df, tokens, block_size).withColumn("_len", F.size(tokens))
+    if long not in ("split", "drop"):
+        raise ValueError("long must be 'split' or 'drop'")
+    if long == "split":
+        df, key = split_long(df, tokens, block_size), [*key, "piece"]
+    else:
+        df = drop_long(df, tokens, block_size)
+    sized = df.withColumn("_len", F.size(tokens))
     indexed = (
         dense_index(sized, key, seed, "_idx")
         .withColumn("bucket", F.floor(F.col("_idx") / bucket_rows))

@@ -20,19 +20,21 @@ def denormalise(
 ) -> DataFrame:
     """Version to function to file to repository as one table.
 
-    With ``check`` a missing parent raises while the rows are read: the joins are left joins, and a row
-    without a match calls ``raise_error``. That spares a second pass over the data for the check.
+    Functions, files and repositories are joined first, as they hold no texts; versions meet them once, by function.
+    With ``check`` a missing parent raises while the rows are read: the joins are left joins, and a filter on what
+    they found, which no choice of columns takes out, calls ``raise_error``. That spares a second pass for the check.
     """
     how = "left" if check else "inner"
     f = functions.select(F.col("id").alias("function"), F.col("name").alias("function_name"), "file")
     p = files.select(F.col("id").alias("file"), F.col("path").alias("filename"), "repo")
     metrics = ["size", "open_issues", "watchers", "contributors", "forks", "contributions", "stars"]
     r = repositories.select(F.col("id").alias("repo"), F.col("full_name").alias("repo_name"), *metrics)
-    wide = versions.join(f, "function", how).join(p, "file", how).join(r, "repo", how)
+    found = f.join(p, "file", how).join(r.withColumn("_found", F.lit(True)), "repo", how)
+    wide = versions.join(found, "function", how)
     if check:
-        missing = F.raise_error(F.concat(F.lit("no parent for version "), F.col("id").cast("string")))
-        wide = wide.withColumn("repo_name", F.when(F.col("repo_name").isNull(), missing).otherwise(F.col("repo_name")))
-    return wide
+        missing = F.raise_error(F.concat(F.lit("no parent for version "), F.col("id").cast("string"))).cast("boolean")
+        wide = wide.filter(F.when(F.col("_found").isNull(), missing).otherwise(F.lit(True)))
+    return wide.drop("_found")
 
 
 def wide_table(
@@ -55,9 +57,12 @@ def wide_table(
     )
 
 
-def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows without any null: removes the first version of every chain."""
-    return df.dropna("any")
+def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a null in ``columns``, by default those of the wide table that ``df`` has.
+
+    Removes the first version of every chain. Columns that the wide table does not have may be null.
+    """
+    return df.dropna("any", subset=[c for c in schemas.WIDE_COLUMNS if c in df.columns] if columns is None else columns)
 
 
 def hold_out(df: DataFrame, group: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +76,10 @@ def hold_out(df: DataFrame, group: str, held: DataFrame) -> tuple[DataFrame, Dat
 
 
 def attach_generations(items: DataFrame, generations: DataFrame) -> DataFrame:
-    """Items with the texts generated for them, one row per model, item and sample."""
-    return items.join(generations, "item_idx")
+    """Items with the texts generated for them, one row per model, item and sample; an item without one is an error."""
+    missing = F.raise_error(F.concat(F.lit("no text generated for item "), F.col("item_idx").cast("string"))).cast("boolean")
+    joined = items.join(generations, "item_idx", "left")
+    return joined.filter(F.when(F.col("mid").isNull(), missing).otherwise(F.lit(True)))
 
 
 def fan_out(items: DataFrame, models: list[str], samples: int) -> DataFrame:

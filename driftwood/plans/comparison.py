@@ -10,7 +10,7 @@ from driftwood.operators.votes import side_by_side, tally
 from driftwood.session import materialise
 
 
-def stale_batches(samples: DataFrame, key: list[str], n: int = 100, size: int = 25, seed: int = 42) -> DataFrame:
+def stale_batches(samples: DataFrame, key: list[str], n: int, size: int, seed: int = 42) -> DataFrame:
     stale = samples.filter(~F.col("l"))
     return batches(sample_rows(stale, key, n, seed), key, size, seed)
 

@@ -13,9 +13,6 @@ from driftwood.operators.profile import (
 from driftwood.operators.relations import wide_table
 from driftwood.session import materialise
 
-# Fixed value: rows profiled at most.
-PROFILE_ROWS = 100_000
-
 
 def _statistics(wide: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
     return [
@@ -26,11 +23,12 @@ def _statistics(wide: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
 
 def profiled_table(
     versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame,
-    n: int | None = PROFILE_ROWS, seed: int = 42,
+    n: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """The wide table of the versions to profile, as a stage table: ranges and densities read it several times.
 
-    A version makes one wide row, so the versions are sampled, and only the sample is joined and cleaned.
+    All versions unless a sample of ``n`` is asked for; a version makes one wide row, so then only the sample is
+    joined and cleaned.
     """
     sampled = versions if n is None else sample_rows(versions, ["id"], n, seed)
     return materialise(wide_table(sampled, functions, files, repositories), "profiled")

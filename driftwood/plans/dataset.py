@@ -32,20 +32,24 @@ def held_out_groups(df: DataFrame, group: str, key: list[str], k: int = 1, seed:
 
 
 def cut_dataset(
-    wide: DataFrame, n: int | None = 100_000, train_fraction: float = 0.8, held: int = 1, seed: int = 42,
-    group: str = "repo_name", key: list[str] | None = None,
+    wide: DataFrame, n: int | None = None, share: float | None = None, train_fraction: float = 0.8, held: int = 1,
+    seed: int = 42, group: str = "repo_name", key: list[str] | None = None,
 ) -> Dataset:
     """Held-out repositories, and a balanced sample of the others split into train and test.
 
-    ``n=None`` or an ``n`` above the number of rows takes all rows. Each step has a seed of its own: the
-    sample takes the lowest hashes of a group, and a split by the same hashes would put them all in one part.
+    All rows unless a sample of ``n`` rows, or of a ``share`` of what is not held out, is asked for; more rows than
+    there are is an error. Each step has a seed of its own: the sample takes the lowest hashes of a group, and a split by the same hashes would put them all in one part.
     """
     key = key or ["id"]
     # Stage tables, as several passes over single columns follow.
     clean = complete_rows(materialise(wide, "wide"))
     kept_out, rest = hold_out(clean, group, held_out_groups(clean, group, key, held, seed))
+    if n is not None and share is not None:
+        raise ValueError("give n or share, not both")
+    if share is not None:
+        n = int(rest.count() * share + 1e-9)
     if n is not None:
-        rest = materialise(balanced_sample(rest, group, key, n, seed + 1, at_most=True), "sample")
+        rest = materialise(balanced_sample(rest, group, key, n, seed + 1), "sample")
     train, test = split_by_hash(rest, key, train_fraction, seed + 2)
     return Dataset(kept_out, train, test)
 

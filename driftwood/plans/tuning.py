@@ -11,8 +11,8 @@ from driftwood.plans.scoring import setting_ratios
 from driftwood.session import materialise
 
 
-def labelled_ratios(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
-    return setting_ratios(embeddings).join(labels.select("item_idx", "l"), "item_idx")
+def labelled_ratios(embeddings: DataFrame, labels: DataFrame, settings: list[tuple[str, bool, bool]] | None = None) -> DataFrame:
+    return setting_ratios(embeddings, settings, labels.select("item_idx", "l"))
 
 
 def tune(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def best(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
 
 def confirm(
     embeddings: DataFrame, labels: DataFrame, threshold: float, distance_function: str, normalize: bool,
-    sample_many: bool, sample_size: int = 512, seed: int = 1337,
+    sample_many: bool, sample_size: int, seed: int = 1337,
 ) -> DataFrame:
     """Scores of a fixed threshold on a sample of items drawn with another seed; items are met by key.
 
@@ -34,8 +34,5 @@ def confirm(
     """
     drawn = materialise(sample_rows(labels, ["item_idx"], sample_size, seed), "drawn")
     items = embeddings.join(drawn.select("item_idx"), "item_idx", "left_semi")
-    chosen = labelled_ratios(items, drawn).filter(
-        (F.col("distance_function") == distance_function)
-        & (F.col("normalize") == normalize) & (F.col("sample_many") == sample_many)
-    )
+    chosen = labelled_ratios(items, drawn, [(distance_function, normalize, sample_many)])
     return with_scores(confusion(chosen, SETTING, F.lit(float(threshold))))

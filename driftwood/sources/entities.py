@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,21 +14,26 @@ from driftwood import schemas
 from driftwood.session import shared_dir
 
 
-def read_repository_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Repository metadata: JSON arrays of nested objects, one or more files."""
-    return spark.read.schema(schemas.REPOSITORY_METADATA).option("multiLine", True).json(path)
+def read_repository_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Repository metadata: JSON arrays of nested objects, an array per file in any layout, or with ``lines`` per line.
+
+    What does not parse is an error. Files with lines can be split over tasks.
+    """
+    reader = spark.read.schema(schemas.REPOSITORY_METADATA).option("mode", "FAILFAST")
+    return reader.option("multiLine", not lines).json(path)
 
 
-def pick_repositories(repositories: DataFrame, min_stars: int, language: str | None = None, cap: int = 1000,
+def pick_repositories(repositories: DataFrame, min_stars: int, language: str | None = None, cap: int | None = None,
                       stars: str = "stars", key: str = "id") -> DataFrame:
-    """The most starred repositories of a language, at most ``cap``."""
+    """The repositories of a language with enough stars, the most starred first; only ``cap`` of them if asked for."""
     picked = repositories.filter(F.col(stars) >= min_stars)
     if language is not None:
         picked = picked.filter(F.lower("language") == language.lower())
-    return picked.orderBy(F.desc(stars), key).limit(cap)
+    ordered = picked.orderBy(F.desc(stars), key)
+    return ordered if cap is None else ordered.limit(cap)
 
 
-def first_repositories(repositories: DataFrame, n: int = 10, key: str = "full_name") -> DataFrame:
+def first_repositories(repositories: DataFrame, n: int, key: str = "full_name") -> DataFrame:
     return repositories.orderBy(key).limit(n)
 
 
@@ -76,11 +81,18 @@ def last_per_id(df: DataFrame, ingest_order: str, key: str = "id") -> DataFrame:
 
 
 def stage(spark: SparkSession, name: str, parameters: dict, build) -> DataFrame:
-    """Computes a table once and reads it ever after; other parameters give another table."""
+    """Computes a table once and reads it ever after; other parameters give another table.
+
+    The table is published by renaming its folder when it is complete.
+    """
     digest = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
-    path = f"{shared_dir(spark)}/driftwood/stages/{name}-{digest}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/driftwood/stages")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{digest}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        # Whole tables only get the name: a write that is cut short leaves its folder under another.
+        fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{digest}-{uuid.uuid4().hex}")
+        build().write.parquet(str(fresh.toString()))
+        if not files.exists(place):
+            files.rename(fresh, place)
+    return spark.read.parquet(str(place.toString()))

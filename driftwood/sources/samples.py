@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood import schemas
 
@@ -17,9 +18,25 @@ def read_samples(spark: SparkSession, path: str, file_format: str = "json") -> D
 
 
 def read_prediction_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cache files, each one JSON object ``{model: [sample][item] -> text}``, as rows with a ``data`` map."""
-    lines = spark.read.text(path)
-    return lines.select(F.from_json("value", schemas.PREDICTION_CACHE).alias("data"))
+    """Cache files, each one JSON object ``{model: [sample][item] -> text}`` in any layout, as rows with a ``data`` map.
+
+    A file that does not parse is an error. A file is one row, so one task reads it.
+    """
+    return spark.read.option("wholetext", True).text(path).select(_parsed("value", schemas.PREDICTION_CACHE).alias("data"))
+
+
+def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Caches as lines ``{"first_item": n, "data": {model: [sample][item] -> text}}``; files can be split over tasks."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = _parsed("value", T.StructType([T.StructField("first_item", T.LongType()), T.StructField("data", schemas.PREDICTION_CACHE)]))
+    return lines.select(parsed.alias("_c")).select("_c.first_item", "_c.data")
+
+
+def _parsed(column: str, schema: T.DataType) -> Column:
+    """The JSON value of a text; a text that has none is an error."""
+    value = F.from_json(column, schema)
+    broken = F.raise_error(F.concat(F.lit("this is not JSON of the expected form: "), F.substring(column, 1, 80)))
+    return F.when(value.isNull(), broken).otherwise(value)
 
 
 def explode_predictions(caches: DataFrame, data: str = "data", offset: str | None = None) -> DataFrame:
@@ -47,20 +64,23 @@ def predictions_by_item(generations: DataFrame) -> DataFrame:
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Judge answers from JSON arrays of strings, indented or on one line.
 
-    Each line is parsed by itself: an indented file holds one answer per line, so it can be split. The
-    outer form of ``explode`` keeps Spark from parsing twice.
+    Each line is parsed by itself: an indented file holds one answer per line, so it can be split. Brackets and
+    commas may stand at either end of a line; one that holds anything else but strings is an error. A null answer is
+    left out. The outer form of ``explode`` keeps Spark from parsing twice.
     """
-    line = F.trim("value")
-    inner = F.regexp_replace(F.regexp_replace(line, r"\A\[", ""), r"[,\]]\z", "")
-    answers = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>")
-    return spark.read.text(path).select(F.explode_outer(answers).alias("answer")).filter(F.col("answer").isNotNull())
+    inner = F.regexp_replace(F.regexp_replace("value", r"\A[\s,]*(\[[\s,]*)?", ""), r"[\s,]*(\][\s,]*)?\z", "")
+    answers = F.from_json(F.concat(F.lit("["), F.col("_inner"), F.lit("]")), "array<string>")
+    broken = F.raise_error(F.concat(F.lit("this line is no part of a JSON array of strings: "), F.substring("value", 1, 80)))
+    checked = F.when((F.col("_inner") != "") & (answers.isNull() | (F.size(answers) == 0)), broken).otherwise(answers)
+    lines = spark.read.text(path).withColumn("_inner", inner)
+    return lines.select(F.explode_outer(checked).alias("answer")).filter(F.col("answer").isNotNull())
 
 
 def unpack_requests(requests: DataFrame, keep: list[str]) -> DataFrame:
     """One row per code and docstring of a request; lists of unequal length are an error."""
     pairs = F.when(
         F.size("codes") == F.size("docstrings"), F.arrays_zip("codes", "docstrings")
-    ).otherwise(F.raise_error(F.lit("The number of codes and docstrings must be equal.")))
+    ).otherwise(F.raise_error(F.lit("a request needs one docstring for each code")))
     return requests.select(*keep, F.posexplode(pairs).alias("pos", "_pair")).select(
         *keep, "pos", F.col("_pair.codes").alias("code"), F.col("_pair.docstrings").alias("docstring")
     )

@@ -65,7 +65,7 @@ def test_requests(spark):
     good = spark.createDataFrame([("m", ["c1", "c2"], ["d1", "d2"], "update"), ("m", [], [], "update")], schemas.REQUEST)
     assert [tuple(r) for r in samples.unpack_requests(good, ["mid"]).collect()] == [("m", 0, "c1", "d1"), ("m", 1, "c2", "d2")]
     bad = spark.createDataFrame([("m", ["c1", "c2"], ["d1"], "update")], schemas.REQUEST)
-    with pytest.raises(PySparkException, match="must be equal"):
+    with pytest.raises(PySparkException, match="one docstring for each code"):
         samples.unpack_requests(bad, ["mid"]).collect()
 
 
