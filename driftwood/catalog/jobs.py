@@ -16,7 +16,7 @@ from driftwood.operators import extract
 from driftwood.operators.relations import wide_table
 from driftwood.operators.tokens import inverse_log_frequency, token_frequencies, words
 from driftwood.plans import (
-    comparison, corpus_profile, corpus_rewrite, dataset, scoring, training_blocks, tuning, version_history,
+    comparison, corpus_check, corpus_profile, corpus_rewrite, dataset, scoring, training_blocks, tuning, version_history,
 )
 from driftwood.session import materialise
 
@@ -200,6 +200,33 @@ def e1(spark, sf):
     return result_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), "method")
 
 
+# --- the check ------------------------------------------------------------------------------------------
+
+CHECK_SQL = """
+WITH {expected}, b_scored_items AS ({scored})
+SELECT f.doc_id, f.name, f.start_line, coalesce(NOT s.out_of_date, false) AS up_to_date
+FROM b_found f LEFT JOIN b_scored_items s ON s.mid = 'base' AND s.item_idx = f.doc_id AND f.docstring <> ''
+"""
+
+
+def _check(spark, sf, method, *inputs):
+    """The number of a function's item is that of its document."""
+    files = sources(spark, sf)
+    items = files.select("doc_id", F.col("doc_id").alias("item_idx"))
+    checked = corpus_check.check_corpus(files, ["doc_id"], items, method, "base", *inputs)
+    return checked.select("doc_id", "name", "start_line", "up_to_date")
+
+
+@query("x14_corpus_check", CHECK_SQL.format(expected=EXPECTED, scored=f"WITH {views.VECTORS} {DISTANCE_RESULT}"))
+def x14(spark, sf):
+    return _check(spark, sf, "distance", views.embeddings(spark, sf)[0], vector_generations(spark, sf), DISTANCE)
+
+
+@query("x14_corpus_check_by_probability", CHECK_SQL.format(expected=EXPECTED, scored=PREDICTION_RESULT))
+def x14_by_probability(spark, sf):
+    return _check(spark, sf, "prediction", *prediction_inputs(spark, sf))
+
+
 # --- tuning and comparison ------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftwood.catalog import views
 from driftwood.catalog.registry import query, r6, table
 from driftwood.operators import profile, relations
-from driftwood.operators.chains import link_versions, with_last_version
+from driftwood.operators.chains import link_versions, long_chains, with_last_version
 from driftwood.operators.hashorder import sample_rows
 from driftwood.operators.tokens import token_weights
 from driftwood.plans.scoring import setting_ratios
@@ -34,7 +34,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 """)
 def j2(spark, sf):
     orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
-    linked = link_versions(orders, ["o_custkey"], ["o_orderdate", "id"])
+    linked = link_versions(orders, ["o_custkey"], ["o_orderdate", "id"], long_keys=long_chains(orders, ["o_custkey"]))
     return with_last_version(linked, "id", ["o_orderstatus", "o_totalprice"]).select(
         "id", "last_version", "last_o_orderstatus", "last_o_totalprice")
 

@@ -51,7 +51,7 @@ def w2(spark, sf):
 @query("w3_chain_pointer", f"WITH {KEPT_SQL} SELECT conv_id, seq, lag(seq) OVER (PARTITION BY conv_id ORDER BY seq) AS last_version FROM b_kept")
 def w3(spark, sf):
     kept = _kept(spark, sf)
-    return chains.link_versions(kept, CHAIN, ["seq"], "seq").select("conv_id", "seq", "last_version")
+    return chains.link_versions(kept, CHAIN, ["seq"], "seq", long_keys=chains.long_chains(kept, CHAIN)).select("conv_id", "seq", "last_version")
 
 
 @query("w4_first_versions", f"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.similarity import similarity
 from driftwood.functions.text import let
+from driftwood.session import materialise
 
 # A chain longer than this is cut into pieces; a piece is what one task sorts.
 LONG_CHAIN = 1_000_000
@@ -27,17 +28,13 @@ def _order(order: list[str], descending: bool) -> list[Column]:
 
 
 def long_chains(df: DataFrame, keys: list[str], limit: int = LONG_CHAIN) -> DataFrame | None:
-    """Keys of the chains that are too long for one task, None where there are none.
+    """Keys and ``_size`` of the chains that are too long for one task, None where there are none.
 
-    Only a chain holding at least a 4096th of all rows counts, so there are at most 4096 of them. Runs a
-    count over the key columns.
+    Runs a count over the key columns. The table is written, so that Spark knows from its size whether to broadcast it.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    candidates = sizes.filter(F.col("_size") > limit)
-    if candidates.isEmpty():
-        return None
-    share = sizes.agg((F.sum("_size") / 4096).alias("share"))
-    return candidates.filter(F.col("_size") >= share.scalar()).select(*keys)
+    found = materialise(sizes.filter(F.col("_size") > limit), "long-chains")
+    return None if found.isEmpty() else found
 
 
 def _search_width(pieces: int) -> int:
@@ -65,8 +62,9 @@ def with_previous(
 ) -> DataFrame:
     """Adds ``_prev_<value>`` from the row before in the same chain, and ``_has_prev``, false for the first row.
 
-    A chain usually fits one task, and a plain window does. The chains in ``long_keys`` do not: these are cut at quantiles of the first order column, each piece is a window
-    of its own, and the first row of a piece takes its value from the last row of the piece before.
+    A chain usually fits one task, and a plain window does. The chains in ``long_keys`` (see ``long_chains``) do not:
+    these are cut at quantiles of the first order column, which may have any type that can be ordered. Each piece is a
+    window of its own, and the first row of a piece takes its value from the last row of the piece before.
     """
     if not set(values) <= set(df.columns):
         raise ValueError("values must name columns of df")
@@ -80,17 +78,19 @@ def with_previous(
     if long_keys is None:
         return df.withColumns(look_back(W.partitionBy(*keys).orderBy(*by_order)))
 
-    # At most 4096 keys with `pieces` numbers each: small enough to broadcast.
-    shares = [i / pieces for i in range(1, pieces)]
+    # Of each chain a sample of about 16 values for a piece, in hash order of the rows; every so-manieth is a cut.
     lead = order[0]
-    cuts = (
-        df.select(*keys, F.col(lead)).join(F.broadcast(long_keys), keys, "left_semi")
-        .groupBy(*keys).agg(F.percentile_approx(lead, shares, 10 * pieces).alias("_cuts"))
-        .select(*keys, _search_table(F.col("_cuts"), pieces).alias("_cuts"))
+    share = F.col("_size") / (16.0 * pieces)
+    drawn = (
+        df.select(*keys, F.col(lead).alias("_value"), F.pmod(F.xxhash64(*order), F.lit(1 << 30)).alias("_draw"))
+        .join(long_keys, keys).filter((F.col("_draw") * share < (1 << 30)) & F.col("_value").isNotNull())
+        .groupBy(*keys).agg(F.sort_array(F.collect_list("_value")).alias("_drawn"))
     )
+    place = F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)), lambda i: F.get("_drawn", F.floor(i * F.size("_drawn") / pieces).cast("int")))
+    cuts = materialise(drawn.select(*keys, _search_table(place, pieces).alias("_cuts")), "chain-cuts")
     # The cuts sort upwards and rows equal to a cut lie below it, so a piece is one stretch of the chain.
     piece = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_cuts_below(F.col("_cuts"), F.col(lead), pieces))
-    cut_up = df.join(F.broadcast(cuts), keys, "left").withColumn("_piece", piece).drop("_cuts")
+    cut_up = df.join(cuts, keys, "left").withColumn("_piece", piece).drop("_cuts")
     inner = W.partitionBy(*keys, "_piece").orderBy(*by_order)
     marked = cut_up.withColumns({**look_back(inner), "_last": F.lead(F.lit(1)).over(inner).isNull()})
     seam = (F.col("_piece") >= 0) & (~F.col("_has_prev") | F.col("_last"))

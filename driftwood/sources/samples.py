@@ -34,7 +34,7 @@ def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _parsed(column: str, schema: T.DataType) -> Column:
     """The JSON value of a text; a text that has none is an error."""
-    value = F.from_json(column, schema)
+    value = F.from_json(column, schema, {"mode": "FAILFAST"})
     broken = F.raise_error(F.concat(F.lit("this is not JSON of the expected form: "), F.substring(column, 1, 80)))
     return F.when(value.isNull(), broken).otherwise(value)
 
