@@ -22,7 +22,7 @@ def read_prediction_cache(spark: SparkSession, path: str) -> DataFrame:
 
     A file that does not parse is an error. A file is one row, so one task reads it.
     """
-    return spark.read.option("wholetext", True).text(path).select(_parsed("value", schemas.PREDICTION_CACHE).alias("data"))
+    return spark.read.text(path, wholetext=True).select(_parsed("value", schemas.PREDICTION_CACHE).alias("data"))
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
