@@ -178,6 +178,21 @@ def a15(spark, sf):
     return bins.withColumn("x_bin", F.col("x_bin").cast("long")).withColumn("y_bin", F.col("y_bin").cast("long"))
 
 
+SMOOTH_SQL = """
+ps AS (SELECT metric_x, metric_y, count(*) AS n, (max(x) - min(x)) / 50 / (stddev_samp(x) * pow(count(*)::DOUBLE, -1.0::DOUBLE / 6)) AS xs,
+  (max(y) - min(y)) / 50 / (stddev_samp(y) * pow(count(*)::DOUBLE, -1.0::DOUBLE / 6)) AS ys FROM p GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(x) > 0 AND stddev_samp(y) > 0),
+sx AS (SELECT metric_x, metric_y, g.i AS x_bin, y_bin, ys, sum(rows::DOUBLE / n * xs / sqrt(2.0::DOUBLE * pi()) * exp(-0.5::DOUBLE * ((g.i - x_bin) * xs) * ((g.i - x_bin) * xs))) AS v
+  FROM pair_bins JOIN ps USING (metric_x, metric_y), range(50) g(i) GROUP BY ALL),
+smooth AS (SELECT metric_x, metric_y, x_bin, g.i AS y_bin, sum(v * ys / sqrt(2.0::DOUBLE * pi()) * exp(-0.5::DOUBLE * ((g.i - y_bin) * ys) * ((g.i - y_bin) * ys))) AS density
+  FROM sx, range(50) g(i) GROUP BY ALL)"""
+
+
+@query("a15_smoothed_pair_density", f"WITH {ORDER_SQL}, {PAIR_SQL}, {PAIR_BIN_SQL}, {SMOOTH_SQL} SELECT metric_x, metric_y, x_bin, y_bin, round(density, 8) AS density FROM smooth")
+def a15_smooth(spark, sf):
+    smooth = profile.smoothed_pair_density(profile.metric_pairs(order_metrics(spark, sf), ORDER_METRICS))
+    return smooth.select("metric_x", "metric_y", F.col("x_bin").cast("long").alias("x_bin"), F.col("y_bin").cast("long").alias("y_bin"), F.round("density", 8).alias("density"))
+
+
 @query("a15_pair_correlation", f"WITH {ORDER_SQL}, {PAIR_SQL} SELECT metric_x, metric_y, round(corr(x, y), 6) AS correlation FROM p GROUP BY ALL")
 def a15_corr(spark, sf):
     return profile.pair_correlation(profile.metric_pairs(order_metrics(spark, sf), ORDER_METRICS)).withColumn("correlation", r6("correlation"))

@@ -213,7 +213,7 @@ def _check(spark, sf, method, *inputs):
     """The number of a function's item is that of its document."""
     files = sources(spark, sf)
     items = files.select("doc_id", F.col("doc_id").alias("item_idx"))
-    checked = corpus_check.check_corpus(files, ["doc_id"], items, method, "base", *inputs)
+    checked = corpus_check.check_corpus(files, ["doc_id", "start_line"], items, ["doc_id"], method, "base", *inputs)
     return checked.select("doc_id", "name", "start_line", "up_to_date")
 
 

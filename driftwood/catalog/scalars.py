@@ -89,13 +89,14 @@ def c7(spark, sf):
 
 @query("c8_remove_docstring", f"""
 WITH {views.CODE}
-SELECT doc_id, E'def f(x):\\n    ' || E'\\n    return x' || CASE WHEN doc_id % 4 = 2 THEN ' + \"\"\"y\"\"\"' ELSE '' END AS code FROM b_code WHERE doc_id % 4 <> 3
+SELECT doc_id, E'def f(x):\\n    ' || E'\\n    # ' || regexp_replace(text, '["''\\n\\r]+', ' ', 'g') || E'\\n    return x' || CASE WHEN doc_id % 4 = 2 THEN ' + \"\"\"y\"\"\"' ELSE '' END AS code FROM b_code WHERE doc_id % 4 <> 3
 """)
 def c8(spark, sf):
-    """Both delimiters, a second quoted text, and a docstring that never ends."""
+    """Both delimiters, a second quoted text, and a docstring that never ends; the document's text follows it."""
     kind = F.col("doc_id") % 4
     mark = F.when(kind == 1, text.TRIPLE_SINGLE).otherwise(text.TRIPLE)
-    code = F.concat(F.lit("def f(x):\n    "), mark, "d", F.when(kind == 3, "").otherwise(mark), F.lit("\n    return x"),
+    code = F.concat(F.lit("def f(x):\n    "), mark, "d", F.when(kind == 3, "").otherwise(mark), F.lit("\n    # "),
+                    F.regexp_replace("text", r"""["'\n\r]+""", " "), F.lit("\n    return x"),
                     F.when(kind == 2, ' + """y"""').otherwise(""))
     return views.code(spark, sf).select("doc_id", text.remove_docstring(code).alias("code")).filter(F.col("code").isNotNull())
 

@@ -58,13 +58,19 @@ def s2(spark, sf):
 
 
 @query("s3_last_row_per_id", """
-SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
-FROM orders
+SELECT md5(o_custkey || '|' || o_orderkey) AS id, o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN ' again' ELSE '' END AS name, md5(CAST(o_custkey AS VARCHAR)) AS file FROM orders
 """)
 def s3(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").withColumn("_at", F.lit(0))
-    again = orders.filter(F.col("o_orderkey") % 3 == 0).withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("_at", F.lit(1))
-    return entities.last_per_id(orders.unionByName(again), "_at", "o_orderkey").drop("_at")
+    """Orders as functions of their customers; a third is ingested again with another name."""
+    orders = table(spark, sf, "orders")
+    functions = orders.select(
+        entity_id(F.col("o_custkey").cast("string"), F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("name"),
+        F.md5(F.col("o_custkey").cast("string")).alias("file"), (F.col("o_orderkey") % 3 == 0).alias("_again"))
+    path = fresh_path(spark, "functions")
+    entities.write_entity(functions.drop("_again"), path, "functions")
+    again = functions.filter("_again").drop("_again").withColumn("name", F.concat("name", F.lit(" again")))
+    entities.write_entity(again, path, "functions", ingest=1)
+    return entities.read_entity(spark, path, schemas.FUNCTION)
 
 
 @query("s4_stage_table", "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")

@@ -14,14 +14,14 @@ def documented_items(located: DataFrame, key: list[str]) -> DataFrame:
     return located.filter("has_docstring").select(*key)
 
 
-def check_corpus(files: DataFrame, key: list[str], items: DataFrame, method: str, mid: str, *inputs) -> DataFrame:
+def check_corpus(files: DataFrame, key: list[str], items: DataFrame, item_key: list[str], method: str, mid: str, *inputs) -> DataFrame:
     """All functions of ``files`` with their lines, docstring, and ``up_to_date``.
 
-    ``items`` gives documented functions, by ``key``, their ``item_idx``; ``inputs`` are what the scoring ``method`` takes, keyed
+    ``key`` tells functions apart; ``items`` gives the documented ones, by ``item_key``, their ``item_idx``. ``inputs`` are what the scoring ``method`` takes, keyed
     by that number, of which the results of model ``mid`` count. A function that was not scored, for want of a
     docstring or of an item, is not up to date, nor is one that the method does not decide on.
     """
     located = materialise(located_functions(extract_functions(files)), "located")
     scored = scorer(method)(*inputs).filter(f"mid = '{mid}'").select("item_idx", "out_of_date")
-    decided = documented_items(located, key).join(items, key).join(scored, "item_idx").select(*key, "out_of_date")
+    decided = documented_items(located, key).join(items, item_key).join(scored, "item_idx").select(*key, "out_of_date")
     return scatter_results(located, decided, key)

@@ -14,6 +14,9 @@ from driftwood import schemas
 from driftwood.session import shared_dir
 
 
+INGEST = "ingest"    # column that orders the writes of an entity
+
+
 def read_repository_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Repository metadata: JSON arrays of nested objects, an array per file in any layout, or with ``lines`` per line.
 
@@ -48,16 +51,16 @@ def repositories_from_metadata(metadata: DataFrame) -> DataFrame:
     )
 
 
-def write_entity(df: DataFrame, path: str, entity: str, file_format: str = "parquet") -> None:
+def write_entity(df: DataFrame, path: str, entity: str, file_format: str = "parquet", ingest: int = 0) -> None:
     """Writes an entity in its fixed number of shards, a row's shard following from its id.
 
-    With many rows per shard, ``maxRecordsPerFile`` keeps single files readable in parallel.
+    ``ingest`` numbers the writes and is stored with the rows; a number above 0 adds to what is there. With many rows per shard, ``maxRecordsPerFile`` keeps single files readable in parallel.
     """
     shards = schemas.SHARDS[entity]
     (
-        df.withColumn("shard", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(shards)).cast("int"))
+        df.withColumn(INGEST, F.lit(ingest)).withColumn("shard", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(shards)).cast("int"))
         .repartition("shard", F.pmod(F.xxhash64("id"), F.lit(_spread(df))))
-        .write.mode("errorifexists").option("maxRecordsPerFile", 5_000_000)
+        .write.mode("append" if ingest else "errorifexists").option("maxRecordsPerFile", 5_000_000)
         .partitionBy("shard").format(file_format).save(path)
     )
 
@@ -68,9 +71,9 @@ def _spread(df: DataFrame) -> int:
 
 
 def read_entity(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet") -> DataFrame:
-    """All shards present below ``path``; a shard without rows is simply not there."""
-    full = T.StructType([*schema.fields, T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(full).format(file_format).load(path).drop("shard")
+    """All shards present below ``path``, of rows with one id the last ingested; a shard without rows is not there."""
+    full = T.StructType([*schema.fields, T.StructField(INGEST, T.IntegerType()), T.StructField("shard", T.IntegerType())])
+    return last_per_id(spark.read.schema(full).format(file_format).load(path).drop("shard"), INGEST).drop(INGEST)
 
 
 def last_per_id(df: DataFrame, ingest_order: str, key: str = "id") -> DataFrame:
