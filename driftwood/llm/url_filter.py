@@ -110,7 +110,8 @@ def fit(spark: SparkSession, labelled: DataFrame) -> list[float]:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(labelled_rows(), "url string, label int")
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label in labelled_rows()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def url_verdicts(pages: DataFrame, rules: list[str], weights: list[float], key: str = "page_id", column: str = "url") -> DataFrame:

@@ -21,8 +21,9 @@ def stages(spark):
     docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
     kept["documents"] = docs.collect()
     for name, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect() or [], stage(spark, docs, SF).schema)
-        kept[name] = docs.collect()
+        out = stage(spark, docs, SF)
+        kept[name] = out.collect()
+        docs = spark.createDataFrame(kept[name], out.schema)
     return kept
 
 
