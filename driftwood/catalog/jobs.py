@@ -67,7 +67,8 @@ b_test AS (SELECT *, row_number() OVER (ORDER BY md5('45|' || id)) - 1 AS i FROM
 b_samples AS (
   SELECT 'train' AS part, true AS l, c, docstring AS d FROM b_parts WHERE is_train
   UNION ALL SELECT 'test', true, c, docstring FROM b_test
-  UNION ALL SELECT 'test', false, a.c, b.docstring FROM b_test a JOIN b_test b ON b.i = (a.i + 1) % (SELECT count(*) FROM b_test) WHERE a.docstring <> b.docstring
+  UNION ALL SELECT 'test', false, a.c, CASE WHEN a.docstring <> b.docstring THEN b.docstring WHEN a.docstring = lo THEN hi ELSE lo END
+  FROM b_test a JOIN b_test b ON b.i = (a.i + 1) % (SELECT count(*) FROM b_test), (SELECT min(docstring) AS lo, max(docstring) AS hi FROM b_test) WHERE a.docstring <> b.docstring OR lo <> hi
 )"""
 
 

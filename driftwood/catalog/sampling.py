@@ -61,8 +61,9 @@ def r4_exact(spark, sf):
 
 @query("r5_negative_pairs", f"""
 WITH {views.CODE}, i AS (SELECT doc_id, c, d, row_number() OVER (ORDER BY md5('42|' || doc_id)) - 1 AS idx FROM b_code),
-n AS (SELECT a.doc_id, a.c, b.d, a.d AS own FROM i a JOIN i b ON b.idx = (a.idx + 1) % (SELECT count(*) FROM i))
-SELECT doc_id, c, d, true AS label FROM b_code UNION ALL SELECT doc_id, c, d, false FROM n WHERE d <> own
+e AS (SELECT min(d) AS lo, max(d) AS hi FROM b_code),
+n AS (SELECT a.doc_id, a.c, CASE WHEN b.d <> a.d THEN b.d WHEN a.d = lo THEN hi ELSE lo END AS d FROM i a JOIN i b ON b.idx = (a.idx + 1) % (SELECT count(*) FROM i), e WHERE b.d <> a.d OR lo <> hi)
+SELECT doc_id, c, d, true AS label FROM b_code UNION ALL SELECT doc_id, c, d, false FROM n
 """)
 def r5(spark, sf):
     return hashorder.with_negatives(views.code(spark, sf).select("doc_id", "c", "d"), DOC, "d")

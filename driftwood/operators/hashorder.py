@@ -189,11 +189,16 @@ def mismatched_pairs(df: DataFrame, key: list[str], column: str, seed: int = 42)
 def with_negatives(df: DataFrame, key: list[str], column: str, seed: int = 42, keep_equal: bool = False) -> DataFrame:
     """Positives (label true) and their mismatches (label false).
 
-    A mismatch that got a text equal to its own would be a false negative; ``keep_equal`` keeps those too.
+    A mismatch that got a text equal to its own would be a false negative: it gets the first or last of all texts
+    instead, whichever is another. So there are as many negatives as positives wherever there are two different
+    texts; where there is only one there are none, or with ``keep_equal`` the equal ones.
     """
     negatives = mismatched_pairs(df, key, column, seed)
     if not keep_equal:
-        negatives = negatives.filter(~F.col("_same"))
+        ends = df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+        first, last = ends.select("first").scalar(), ends.select("last").scalar()
+        other = F.when(F.col(column) == first, last).otherwise(first)
+        negatives = negatives.withColumn(column, F.when(F.col("_same"), other).otherwise(F.col(column))).filter(~F.col("_same") | (first != last))
     negatives = negatives.drop("_same")
     return df.withColumn("label", F.lit(True)).unionByName(negatives.withColumn("label", F.lit(False)))
 
