@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def parts_of(batch: pa.RecordBatch, column: str = "text", size: int = 500_000):
+    """Slices of a batch that hold about ``size`` bytes of text, or one longer text, each with its texts.
+
+    A worker holds one slice's texts as Python strings, however long the batch.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(lengths, dtype=np.int64), 0
+    while begin < len(lengths):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        end = min(end, begin + 5_000)
+        part = batch.slice(begin, end - begin)
+        yield part, texts_of(part, column)
+        begin = end
+
+
 def fold(key: Column, n: int = 5) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n)), F.lit(0))

@@ -12,12 +12,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import texts_of
+from driftwood.llm.common import parts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = "▁"          # fixed value: the vocabulary's mark for a space
-REMEMBERED = 300_000      # segments whose ids a worker keeps at hand
+REMEMBERED = 100_000      # segments whose ids a worker keeps at hand
 LONGEST_REMEMBERED = 64
 SHORT = 40                # characters up to which segments of one length merge together
 NEVER = np.int32(1 << 30)
@@ -49,7 +49,7 @@ class PieceVocabulary:
         self.place = {piece: steps[score] for piece, score in self.scores.items()}
         self._tabulate()
         self.known: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.fresh: dict[str, bytes] = {}
         self.check_supported()
 
     def _tabulate(self) -> None:
@@ -232,7 +232,7 @@ class PieceVocabulary:
         fresh = list(set().union(*cut).difference(self.known))
         packed = dict(zip(fresh, self.merged_together(fresh)))
         self.known.update((s, p) for s, p in packed.items() if len(s) <= LONGEST_REMEMBERED)
-        self.fresh = fresh
+        self.fresh = packed
         look = self.known.get
         return [np.frombuffer(b"".join([look(s) or packed[s] for s in x]), dtype="<i4") for x in cut]
 
@@ -244,9 +244,9 @@ class PieceVocabulary:
         others = [s for s in self.fresh if s[0] != " "]
         theirs = self.library.encode([s[1:] for s in spaced] + [CUTS[1] + s for s in others], num_threads=1)
         skipped = len(self.library.encode(CUTS[1]))
-        for n, (segment, mine) in enumerate(zip(spaced + others, self.merged_together(spaced + others))):
+        for n, segment in enumerate(spaced + others):
             ids = theirs[n] if n < len(spaced) else theirs[n][skipped:]
-            if np.array(ids, dtype="<i4").tobytes() != mine:
+            if np.array(ids, dtype="<i4").tobytes() != self.fresh[segment]:
                 raise ValueError(f"ids of a segment of {len(segment)} characters differ from the library's")
 
     def decode_many(self, ids: list[np.ndarray]) -> list[str]:
@@ -275,25 +275,18 @@ def _coded(batches, model, check: str, part: int):
     if vocabulary is None:
         vocabulary = held["vocabulary"] = PieceVocabulary(held["model"])
     for batch in batches:
-        texts, begin = texts_of(batch), 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size < part):
-                size += len(texts[end])
-                end += 1
-            some = texts[begin:end]
-            ids = vocabulary.encode_many(some)
+        for rows, texts in parts_of(batch, size=part):
+            ids = vocabulary.encode_many(texts)
             decoded = vocabulary.decode_many(ids)
             if check == "segments":
                 vocabulary.check_fresh()
             elif check == "texts":
-                _compare(vocabulary.library, some, ids, decoded)
+                _compare(vocabulary.library, texts, ids, decoded)
             ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())],
+                [rows.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())],
                 names=["id", "ids", "decoded"],
             )
-            begin = end
 
 
 def _compare(library, texts: list[str], ids: list[np.ndarray], decoded: list[str]) -> None:
@@ -304,7 +297,7 @@ def _compare(library, texts: list[str], ids: list[np.ndarray], decoded: list[str
         raise ValueError("a decoded text differs from the library's")
 
 
-def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 2_000_000) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``ids`` (no begin or end ids) and ``decoded``, the text read back from them.
 
     Null texts are empty and have no ids. Each worker merges the segments, words with the spaces before them, that are new
