@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import connected_components, groups_in, mix64, texts_of, unit, words_of
+from driftwood.llm.common import connected_components, groups_in, mix64, parts_of, unit, words_of
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,6 +23,7 @@ BANDS = 25
 ROWS = 5             # a pair at 0.8 misses all 25 bands with a chance of 5 in 100,000
 CHUNK_TEXTS = 1024   # texts of a bucket that one block holds
 CHUNK_ITEMS = 2_000_000
+REMEMBERED = 200_000 # words whose hashes a task keeps at hand
 _PARTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                    0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -31,7 +32,7 @@ def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     try:
         return np.array([known[w] for w in words], dtype=np.uint64)
     except KeyError:
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in words:
             if w not in known:
@@ -110,16 +111,8 @@ def _throw(items, weights, owner, limit, k, seed, kept) -> None:
 def _signature_batches(batches, key: str, size: int, weights: str, bands: int, rows: int, seed: int):
     known: dict[bytes, int] = {}
     for batch in batches:
-        texts = texts_of(batch)
-        begin = 0
-        while begin < len(texts):
-            # Parts of about a million characters keep the arrays small.
-            end, chars = begin, 0
-            while end < len(texts) and (end == begin or chars < 1_000_000):
-                chars += len(texts[end])
-                end += 1
-            yield _signed(batch.slice(begin, end - begin), key, texts[begin:end], size, weights, bands, rows, seed, known)
-            begin = end
+        for part, texts in parts_of(batch):
+            yield _signed(part, key, texts, size, weights, bands, rows, seed, known)
 
 
 def _signed(batch, key, texts, size, weights, bands, rows, seed, known) -> pa.RecordBatch:
@@ -162,12 +155,12 @@ def _content(items: np.ndarray, weights: np.ndarray) -> bytes:
 
 def _item_batches(batches, size: int, weights: str):
     known: dict[bytes, int] = {}
-    for batch in batches:
-        parts = [weighted_elements(t, size, weights, known) for t in texts_of(batch)]
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        parts = [weighted_elements(t, size, weights, known) for t in texts]
         # A shingle's n-th occurrence is an item of its own, so that shared items are the sum of the minima.
         rows = [np.sort(np.concatenate([mix64(a[b > i] + np.uint64(i)) for i in range(int(b.max(initial=0)))] or [a]).view(np.int64)) for a, b in parts]
         content = pa.array([_content(*p) for p in parts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), content, pa.array(rows, pa.list_(pa.int64()))], names=["id", "content", "items"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), content, pa.array(rows, pa.list_(pa.int64()))], names=["id", "content", "items"])
 
 
 def items_of(docs: DataFrame, key: str, size: int, weights: str) -> DataFrame:

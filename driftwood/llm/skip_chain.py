@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import texts_of
+from driftwood.llm.common import parts_of
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,7 +150,7 @@ def _observed(batches):
     """Counts of shapes with labels, of labels side by side, and of labels of linked tokens."""
     counts: Counter = Counter()
     for batch in batches:
-        for text in texts_of(batch):
+        for text in (t for _, texts in parts_of(batch) for t in texts):
             _, places, tokens, labels = _table(text)
             for i, token in enumerate(tokens):
                 shape = "".join("01"[bool(f)] for f in features(token, tokens[i - 1] if i else ""))
@@ -275,13 +275,13 @@ def find(text: str, field: dict) -> tuple[list[tuple[int, int, int]], list[tuple
 
 
 def _found(batches, field):
-    for batch in batches:
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
         rows = []
-        for text in texts_of(batch):
+        for text in texts:
             spans, added = find(text, field)
             rows.append([{"kind": k, "start": a, "end": b, "exact": exact} for some, exact in ((spans, True), (added, False)) for k, a, b in some])
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("exact", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, kind)], names=["id", "spans"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kind)], names=["id", "spans"])
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import fold, texts_of, words_of
+from driftwood.llm.common import fold, parts_of, words_of
 from driftwood.llm.minhash import shingles
 from driftwood.session import materialise
 
@@ -35,6 +35,8 @@ LEXICON = 5_000          # most entries that are learned
 EVENTS = "iqjazhg"       # insult, quoted, negated, aimed at a target, threat at a target, other threat, one taken back
 # Weights before any label is seen: intercept, then one per event; fitting starts and is held there.
 PRIOR = np.array([-3.0, 4.0, 1.0, 0.5, 4.5, 4.0, 0.5, 0.0])
+OTHER = ("o", 0.0)
+REMEMBERED = 100_000    # words whose class a task keeps at hand
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n|\"«»]")
 _BREAK = frozenset(".!?;:\n|")
 _QUOTE = frozenset("\"«»")
@@ -143,7 +145,7 @@ class Lexicon:
     def of(self, word: str) -> tuple[str, float]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             found = self.known[word] = self._of(word)
         return found
@@ -153,7 +155,7 @@ class Lexicon:
             if word in classes:
                 return symbol, 1.0
         weight = max([self.words.get(word, 0.0)] + [self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n])
-        return ("i", weight) if weight > 0 else ("o", 0.0)
+        return ("i", weight) if weight > 0 else OTHER
 
 
 def clauses(tokens: list[str]):
@@ -197,16 +199,16 @@ def _features(found: np.ndarray) -> np.ndarray:
 
 def _sketched(batches):
     known: dict[bytes, int] = {}
-    for batch in batches:
-        runs = [shingles(words_of(t), 5, known) for t in texts_of(batch)]
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        runs = [shingles(words_of(t), 5, known) for t in texts]
         least = [int(r.min()) - 2**63 if len(r) else 0 for r in runs]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "label", "sketch"])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], names=["text", "label", "sketch"])
 
 
 def _vocabulary(batches):
     counts: Counter = Counter()
-    for batch in batches:
-        for text, label in zip(texts_of(batch), batch.column("label").to_pylist()):
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        for text, label in zip(texts, part.column("label").to_pylist()):
             words = {t for t in _TOKEN.findall(text.lower()) if len(t) > 2}
             counts.update((w, label) for w in words)
             counts.update({(w[:n] + "-", label) for w in words for n in STEMS if len(w) >= n})
@@ -218,9 +220,9 @@ def _vocabulary(batches):
 
 def _evidence_batches(batches, learned, columns):
     lexicon, machine = Lexicon(learned), Grammar()
-    for batch in batches:
-        found = [evidence(t, lexicon, machine) for t in texts_of(batch)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([f.tolist() for f in found], pa.list_(pa.float64()))], names=[*columns, "evidence"])
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        found = [evidence(t, lexicon, machine) for t in texts]
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array([f.tolist() for f in found], pa.list_(pa.float64()))], names=[*columns, "evidence"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> tuple[dict[str, float], np.ndarray]:
@@ -277,11 +279,11 @@ def _regression(rows, steps: int = 400, hold: float = 2.0) -> np.ndarray:
 
 def _scored(batches, learned, weights):
     lexicon, machine = Lexicon(learned), Grammar()
-    for batch in batches:
-        found = [evidence(t, lexicon, machine) for t in texts_of(batch)]
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        found = [evidence(t, lexicon, machine) for t in texts]
         scores = [1 / (1 + math.exp(-min(max(float(_features(f) @ weights), -30.0), 30.0))) for f in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(scores), pa.array([int(f[-1]) for f in found], pa.int64())], names=["id", "score", "matched"])
+            [part.column("id"), pa.array(scores), pa.array([int(f[-1]) for f in found], pa.int64())], names=["id", "score", "matched"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
@@ -297,9 +299,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
 
 def _clean(batches, learned, weights):
     lexicon, machine = Lexicon(learned), Grammar()
-    for batch in batches:
-        keep = [float(_features(evidence(t, lexicon, machine)) @ weights) < 0 for t in texts_of(batch)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    for part, texts in (p for batch in batches for p in parts_of(batch)):
+        keep = [float(_features(evidence(t, lexicon, machine)) @ weights) < 0 for t in texts]
+        yield part.filter(pa.array(keep, pa.bool_()))
 
 
 def only_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
