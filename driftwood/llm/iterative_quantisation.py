@@ -59,8 +59,8 @@ def fit_rotations(sample: np.ndarray, codes: int, rounds: int = 50, seed: int =
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     centred = unit - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
-    components = axes[:min(64, sample.shape[1])].T
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    components = axes[:, ::-1][:, :min(64, sample.shape[1])]
     low = centred @ components
     generator, projections = np.random.default_rng(seed), []
     for _ in range(codes):
@@ -210,7 +210,7 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embed
         members.join(materialise(links, label), "rep", "left").join(materialise(components, label), "rep", "left")
         .select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = materialise(linked.dropDuplicates(["id"]), label)
+    linked = materialise(linked.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), label)
     return alone.join(linked, "id", "left").select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
