@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5          # of all words
 LIMIT = 2            # times that a document may be taken
 CAPACITY = 1 << 17   # words that the knapsack fits exactly; the lengths before that are taken in proportion
-STRETCHES = 1 << 14  # of hashes; a group of equal length is only sorted within one
+STRETCH_BITS = 10    # of hashes; documents of one length are only sorted within one of so many stretches
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple = WEIGHTS, share: f
     Documents meet by source, length and stretch of hashes only, so a source or a length that holds a third of all
     rows lies in many tasks; one task fits a source's lengths, of which there are far fewer than documents.
     """
-    stretch = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 50)
+    stretch = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - STRETCH_BITS)
     rows = docs.withColumns({
         "_key": F.coalesce("source", F.lit("")), "_no_source": F.col("source").isNull(),
         "mix_size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
