@@ -20,7 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FIT_ROWS = 20_000    # vectors that the rotations are fitted on
 BUCKET = 8           # vectors that a bucket of evenly spread codes would hold
 LEAST_BITS = 12      # of a table's part of a code
-RECALL = 0.95        # aimed at for a pair just at the threshold, as if codes were random
+RECALL = 0.95        # aimed at for a pair just at the threshold
+PLACING = 28         # comparisons that cost as much as placing a vector in one more table
+PROBES = 1000        # vectors of the sample whose partners at the threshold are looked at
+PROBE_CODES = 4      # codes that tell how often these agree
 CHUNK = 1024         # vectors of a bucket that one block holds
 
 
@@ -74,7 +77,7 @@ def fit_rotations(sample: np.ndarray, codes: int, rounds: int = 50, seed: int =
 
 
 def table_plan(rows: int, width: int, threshold: float) -> tuple[int, int]:
-    """Bits of a table and number of tables.
+    """Bits of a table and number of tables, were codes those of random planes through the origin.
 
     A table's bits follow the logarithm of the rows, so that buckets of spread codes keep their size; the number of
     tables follows from the chance that a pair at the threshold agrees in all bits of one.
@@ -85,19 +88,99 @@ def table_plan(rows: int, width: int, threshold: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))) if agree < 1 else 1
 
 
-def _bucketed(batches, mean, projections, bits: int, tables: int):
+def threshold_pairs(unit: np.ndarray, mean: np.ndarray, threshold: float, seed: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and partners at the threshold's cosine, as far from the mean as they are: once towards other rows, once anywhere.
+
+    Where all that is as far from the mean has a higher cosine, the partner lies on the other side of the mean.
+    """
+    generator = np.random.default_rng(seed)
+    x = unit[generator.permutation(len(unit))[:PROBES]]
+    found = []
+    for towards in (unit[generator.integers(0, len(unit), len(x))] - mean, generator.normal(size=x.shape)):
+        own = x - mean
+        far = np.linalg.norm(own, axis=1, keepdims=True)
+        own = own / np.maximum(far, 1e-300)
+        away = towards - (towards * own).sum(axis=1, keepdims=True) * own
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        good = (far > 1e-9).ravel() & (length > 1e-9).ravel()
+        one, own, far, away = x[good], own[good], far[good], away[good] / length[good]
+        low, high = np.zeros((len(one), 1)), np.full((len(one), 1), np.pi)
+        for _ in range(40):
+            angle = (low + high) / 2
+            two = mean + far * (np.cos(angle) * own + np.sin(angle) * away)
+            above = (one * two).sum(axis=1, keepdims=True) >= threshold * np.linalg.norm(two, axis=1, keepdims=True)
+            low, high = np.where(above, angle, low), np.where(above, high, angle)
+        found.append((one, mean + far * (np.cos(low) * own + np.sin(low) * away)))
+    return found
+
+
+def _tables_for(agree: list[np.ndarray], bits: int, most: int) -> int | None:
+    """The least number of tables with the recall aimed at, by the pairs' shares of equal bits; None if above ``most``."""
+    def enough(tables):
+        return all((1 - (1 - a**bits) ** tables).mean() >= RECALL for a in agree)
+
+    if not enough(most):
+        return None
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def sampled_plan(sample: np.ndarray, rows: int, threshold: float) -> tuple[int, int, np.ndarray, list[np.ndarray]]:
+    """Bits of a table, number of tables, mean and projections.
+
+    Codes are signs around the mean, and vectors that share a direction are closer to each other than their parts
+    around the mean are. So the bits that pairs at the threshold have in common are counted in the sample. Where
+    ``table_plan`` gives these pairs too little recall, there are more tables, with fewer bits if that is cheaper, down
+    to none: one bucket, where all vectors are compared.
+    """
+    width = sample.shape[1]
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    bits, tables = table_plan(rows, width, threshold)
+    mean, projections = fit_rotations(sample, PROBE_CODES)
+    planes = np.concatenate(projections, axis=1)
+
+    def shares(one, two):
+        return (((one - mean) @ planes >= 0) == ((two - mean) @ planes >= 0)).mean(axis=1)
+
+    agree = [shares(one, two) for one, two in threshold_pairs(unit, mean, threshold) if len(one)]
+    if _tables_for(agree, bits, tables) is None:
+        places = np.random.default_rng(3).integers(0, len(unit), (2, 20 * PROBES))
+        others = shares(*unit[places[:, places[0] != places[1]]])
+        best, most_bits = PLACING + rows, bits
+        bits, tables = 0, 1
+        for b in range(1, most_bits + 1):
+            each = PLACING + rows * (others**b).mean()
+            needed = _tables_for(agree, b, max(1, int(best / each)))
+            if needed is not None and needed * each < best:
+                best, bits, tables = needed * each, b, needed
+    if not bits:
+        return 0, 1, mean, []
+    codes = math.ceil(tables / (projections[0].shape[1] // bits))
+    return bits, tables, mean, projections[:codes] if codes <= PROBE_CODES else fit_rotations(sample, codes)[1]
+
+
+def bucket_keys(unit: np.ndarray, bits: int, tables: int, mean: np.ndarray, projections: list[np.ndarray]) -> np.ndarray:
+    """Each vector's bucket in every table. Parts of one code follow each other; a part never runs over two codes."""
+    if not bits:
+        return np.zeros((len(unit), tables), dtype=np.int64)
     weights = 1 << np.arange(bits, dtype=np.int64)
+    signs = np.concatenate([(unit - mean) @ p >= 0 for p in projections], axis=1)
+    per_code = projections[0].shape[1] // bits
+    starts = [(t // per_code) * projections[0].shape[1] + (t % per_code) * bits for t in range(tables)]
+    return np.stack([signs[:, s:s + bits].astype(np.int64) @ weights for s in starts], axis=1)
+
+
+def _bucketed(batches, plan):
     for batch in batches:
         if not batch.num_rows:
             continue
         x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        signs = np.concatenate([(x - mean) @ p >= 0 for p in projections], axis=1)
-        # Parts of one code follow each other; a part never runs over two codes.
-        per_code = projections[0].shape[1] // bits
-        starts = [(t // per_code) * projections[0].shape[1] + (t % per_code) * bits for t in range(tables)]
-        keys = np.stack([signs[:, s:s + bits].astype(np.int64) @ weights for s in starts], axis=1)
-        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
+        keys = bucket_keys(x, *plan)
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1])
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("n"), batch.column("vector"), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
             names=["id", "n", "vector", "buckets"],
@@ -163,8 +246,8 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embed
     nor rows without an id; each is a component of its own. Equal vectors are one class that counts with its number
     of rows.
 
-    Rotations are fitted on at most ``rows`` vectors, the first in hash order of their ids; every vector is coded and
-    indexed. A bucket is compared in blocks of bounded size by matrix products, and only sums and joining links leave
+    Rotations are fitted on at most ``rows`` vectors, the first in hash order of their ids, and the tables planned by
+    them; every vector is coded and indexed. A bucket is compared in blocks of bounded size by matrix products, and only sums and joining links leave
     a block, never its pairs.
     """
     label = "itq"
@@ -181,11 +264,9 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embed
     members = materialise(usable.select("id", "content").join(classes, "content").select("id", "rep", "n"), label)
     reps = usable.join(classes, "content").filter("id = rep").select("id", "n", "vector").dropDuplicates(["id"])
     reps = materialise(reps, label)
-    bits, tables = table_plan(reps.count(), width, threshold)
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(rows).select("vector").toArrow()["vector"].to_pylist()
-    per_code = min(64, width) // bits
-    mean, projections = fit_rotations(np.frombuffer(b"".join(sample), dtype=np.float64).reshape(-1, width), math.ceil(tables / per_code))
-    coded = reps.mapInArrow(lambda b: _bucketed(b, mean, projections, bits, tables), "id long, n long, vector binary, buckets array<long>")
+    plan = sampled_plan(np.frombuffer(b"".join(sample), dtype=np.float64).reshape(-1, width), reps.count(), threshold)
+    coded = reps.mapInArrow(lambda b: _bucketed(b, plan), "id long, n long, vector binary, buckets array<long>")
     coded = materialise(coded, label)
     placed = coded.select("id", F.posexplode("buckets").alias("slot", "bucket"))
     sizes = placed.groupBy("slot", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")

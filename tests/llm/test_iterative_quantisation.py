@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from driftwood.llm.iterative_quantisation import fit_rotations, linked_vectors, table_plan
+from driftwood.llm.iterative_quantisation import bucket_keys, fit_rotations, linked_vectors, sampled_plan, table_plan
 from driftwood.llm.queries import QUERIES
 
 
@@ -93,3 +93,37 @@ def test_query_equals_brute_force(spark):
     wanted = by_force([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op10_itq_embedding_dedup"](spark, sf).collect()}
     assert got == wanted
+
+
+def with_partners(seed, rows, common, low=0.92, high=0.97, width=64):
+    """Unit vectors whose mean pairwise cosine is ``common``, and a partner of each at a cosine from ``low`` to ``high``."""
+    g = np.random.default_rng(seed)
+    shared = np.eye(width)[0]
+
+    def around(n):
+        x = g.normal(size=(n, width)) * (np.arange(width) > 0)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    own, other = around(rows), around(rows)
+    other -= (other * own).sum(axis=1, keepdims=True) * own
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    inner = (g.uniform(low, high, (rows, 1)) - common) / (1 - common)
+    partner = inner * own + np.sqrt(1 - inner**2) * other
+    return [np.sqrt(common) * shared + np.sqrt(1 - common) * x for x in (own, partner)]
+
+
+@pytest.mark.parametrize("rows, common", [(12_000, 0.0), (12_000, 0.5), (12_000, 0.8), (12_000, 0.87), (10**6, 0.5)])
+def test_tables_keep_the_recall_of_vectors_that_share_a_direction(rows, common):
+    one, two = with_partners(4, 3000, common, 0.9001, 0.9002)
+    plan = sampled_plan(np.concatenate([one, two]), rows, 0.9)
+    met = (bucket_keys(one, *plan) == bucket_keys(two, *plan)).any(axis=1)
+    assert met.mean() >= 0.93, plan[:2]
+
+
+def test_links_of_vectors_that_share_a_direction(spark):
+    vectors = np.concatenate(with_partners(5, 1500, 0.8)).tolist()
+    ids = list(range(len(vectors)))
+    got = result(linked_vectors(spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")))
+    wanted = by_force(ids, vectors)
+    assert all(got[i][0] <= wanted[i][0] for i in ids)
+    assert sum(got[i][0] for i in ids) >= 0.95 * sum(wanted[i][0] for i in ids)
