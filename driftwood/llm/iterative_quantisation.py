@@ -25,6 +25,7 @@ PLACING = 28         # comparisons that cost as much as placing a vector in one
 PROBES = 1000        # vectors of the sample whose partners at the threshold are looked at
 PROBE_CODES = 4      # codes that tell how often these agree
 CHUNK = 1024         # vectors of a bucket that one block holds
+FEW = 256            # vectors of one length that are compared whole, without codes
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
@@ -146,6 +147,8 @@ def sampled_plan(sample: np.ndarray, rows: int, threshold: float) -> tuple[int,
         return (((one - mean) @ planes >= 0) == ((two - mean) @ planes >= 0)).mean(axis=1)
 
     agree = [shares(one, two) for one, two in threshold_pairs(unit, mean, threshold) if len(one)]
+    if not agree:
+        return 0, 1, mean, []
     if _tables_for(agree, bits, tables) is None:
         places = np.random.default_rng(3).integers(0, len(unit), (2, 20 * PROBES))
         others = shares(*unit[places[:, places[0] != places[1]]])
@@ -173,18 +176,22 @@ def bucket_keys(unit: np.ndarray, bits: int, tables: int, mean: np.ndarray, proj
     return np.stack([signs[:, s:s + bits].astype(np.int64) @ weights for s in starts], axis=1)
 
 
-def _bucketed(batches, plan):
+def _bucketed(batches, plans):
+    """Each vector with its buckets, by its length's plan; vectors of a length without one share a bucket."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        keys = bucket_keys(x, *plan)
-        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("n"), batch.column("vector"), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-            names=["id", "n", "vector", "buckets"],
-        )
+        widths = batch.column("width").to_numpy()
+        for width in np.unique(widths).tolist():
+            some = batch.take(pa.array(np.flatnonzero(widths == width)))
+            x = np.frombuffer(b"".join(some.column("vector").to_pylist()), dtype=np.float64).reshape(some.num_rows, -1)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            keys = bucket_keys(x, *plans.get(width, (0, 1, None, [])))
+            ends = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in ("id", "n", "width", "vector")), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                names=["id", "n", "width", "vector", "buckets"],
+            )
 
 
 def _compared(batches, threshold: float):
@@ -192,7 +199,7 @@ def _compared(batches, threshold: float):
 
     A pair counts in the first table that brings it together, so that no link counts twice.
     """
-    for group in groups_in(batches, ["slot", "bucket", "left", "right"]):
+    for group in groups_in(batches, ["width", "slot", "bucket", "left", "right"]):
         ids, n, chunk = (group[c].to_numpy() for c in ("id", "n", "chunk"))
         slot, left, right = (group[c][0].as_py() for c in ("slot", "left", "right"))
         x = np.frombuffer(b"".join(group["vector"].to_pylist()), dtype=np.float64).reshape(len(ids), -1)
@@ -242,42 +249,41 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embed
     """One row per row of ``vectors``: ``id``, ``n_links``, ``component_id`` and ``kept``.
 
     Vectors link at a cosine of ``threshold`` or more, in double precision. Null and empty vectors, zero vectors and
-    those with null or non-finite components link with nothing, nor do vectors whose length is not the commonest one,
-    nor rows without an id; each is a component of its own. Equal vectors are one class that counts with its number
-    of rows.
-
-    Rotations are fitted on at most ``rows`` vectors, the first in hash order of their ids, and the tables planned by
-    them; every vector is coded and indexed. A bucket is compared in blocks of bounded size by matrix products, and only sums and joining links leave
-    a block, never its pairs.
+    those with null or non-finite components link with nothing, nor do rows without an id; each is a component of its
+    own. Vectors link with those of their own length only. Equal vectors are one class that counts with its number of
+    rows.
+
+    For each length, rotations are fitted on at most ``rows`` vectors, the first in hash order of their ids, and the
+    tables planned by them; every vector is coded and indexed. Up to ``FEW`` vectors of one length are one bucket. A
+    bucket is compared in blocks of bounded size by matrix products, and only sums and joining links leave a block,
+    never its pairs.
     """
     label = "itq"
     given = vectors.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("embedding"))
     usable = given.filter("id is not null").mapInArrow(_contents, "id long, content binary, width int, vector binary")
     usable = materialise(usable, label)
-    width = usable.groupBy("width").count().orderBy(F.desc("count"), "width").first()
     alone = given.select("id")
-    if width is None:
-        return alone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    width = width["width"]
-    usable = usable.filter(F.col("width") == width)
     classes = materialise(usable.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), label)
     members = materialise(usable.select("id", "content").join(classes, "content").select("id", "rep", "n"), label)
-    reps = usable.join(classes, "content").filter("id = rep").select("id", "n", "vector").dropDuplicates(["id"])
+    reps = usable.join(classes, "content").filter("id = rep").select("id", "n", "width", "vector").dropDuplicates(["id"])
     reps = materialise(reps, label)
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(rows).select("vector").toArrow()["vector"].to_pylist()
-    plan = sampled_plan(np.frombuffer(b"".join(sample), dtype=np.float64).reshape(-1, width), reps.count(), threshold)
-    coded = reps.mapInArrow(lambda b: _bucketed(b, plan), "id long, n long, vector binary, buckets array<long>")
+    plans = {}
+    for r in reps.groupBy("width").count().filter(F.col("count") > FEW).orderBy("width").collect():
+        width = r["width"]
+        sample = reps.filter(F.col("width") == width).orderBy(F.xxhash64("id"), "id").limit(rows).select("vector").toArrow()["vector"].to_pylist()
+        plans[width] = sampled_plan(np.frombuffer(b"".join(sample), dtype=np.float64).reshape(-1, width), r["count"], threshold)
+    coded = reps.mapInArrow(lambda b: _bucketed(b, plans), "id long, n long, width int, vector binary, buckets array<long>")
     coded = materialise(coded, label)
-    placed = coded.select("id", F.posexplode("buckets").alias("slot", "bucket"))
-    sizes = placed.groupBy("slot", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sizes = materialise(sizes.select("slot", "bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), label)
-    block = ["slot", "bucket", "left", "right"]
+    placed = coded.select("id", "width", F.posexplode("buckets").alias("slot", "bucket"))
+    sizes = placed.groupBy("width", "slot", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = materialise(sizes.select("width", "slot", "bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), label)
+    block = ["width", "slot", "bucket", "left", "right"]
     spread = (
-        placed.join(sizes, ["slot", "bucket"])
+        placed.join(sizes, ["width", "slot", "bucket"])
         .withColumn("chunk", F.pmod(F.xxhash64("id", "slot"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("slot", "bucket", "id", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-        .join(coded, "id")
+        .select("width", "slot", "bucket", "id", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+        .join(coded.drop("width"), "id")
     )
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (

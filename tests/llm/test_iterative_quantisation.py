@@ -127,3 +127,15 @@ def test_links_of_vectors_that_share_a_direction(spark):
     wanted = by_force(ids, vectors)
     assert all(got[i][0] <= wanted[i][0] for i in ids)
     assert sum(got[i][0] for i in ids) >= 0.95 * sum(wanted[i][0] for i in ids)
+
+
+def test_every_length_finds_its_links(spark):
+    small = [v[:32] for v in clusters(7, 4, 25, 0.05)]
+    vectors = clusters(6, 12, 25, 0.05) + small + [[1.0, 2.0], [2.0, 4.0], [1.0, 2.1], [3.0]]
+    ids = list(range(len(vectors)))
+    got = result(linked_vectors(spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")))
+    wanted = {}
+    for width in {len(v) for v in vectors}:
+        own = [i for i in ids if len(vectors[i]) == width]
+        wanted |= by_force(own, [vectors[i] for i in own])
+    assert got == wanted
