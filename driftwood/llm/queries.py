@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.common import documents, fold
 from driftwood.llm.content_sort import exact_duplicates
+from driftwood.llm.conversation_repair import damage, repair, text_digests
 from driftwood.llm.conversations import as_events, digests, fold_events, render
 from driftwood.llm.iterative_quantisation import linked_vectors
 from driftwood.llm.log_bilinear import held_out, language_scores
@@ -143,3 +144,88 @@ def op9_sentencepiece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_itq_embedding_dedup")
 def op10_itq_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linked_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+# crc32 of the ASCII text ``key``, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _least(*ways: str) -> str:
+    """The least of ways ``{c: cost, a: audit}``; a way from a state that was not reached has no cost."""
+    return f"list_aggregate(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL), 'min')"
+
+
+def _way(state: str, cost: str, letter: str, condition: str = "true") -> str:
+    return f"{{'c': CASE WHEN {condition} THEN {state}.c + {cost} END, 'a': {state}.a || '{letter}'}}"
+
+
+STAYS, LATE = "fault IN (0, 3)", "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+
+
+@query("op11_conversation_repair", rf"""
+    WITH RECURSIVE keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+        FROM conversations),
+    kinds AS (SELECT * EXCLUDE (key), {CRC32} % 20 AS kind FROM keyed),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM kinds WHERE kind <> 0),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM numbered),
+    coded AS (
+        SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+            CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN nth > 1 THEN 2
+                WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault
+        FROM placed),
+    steps AS (
+        SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS b, {{'c': NULL::INT, 'a': ''}} AS s,
+            {{'c': NULL::INT, 'a': ''}} AS o, {{'c': NULL::INT, 'a': ''}} AS d
+        FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT conv_id, i, {_way("b", "2", "D")},
+            coalesce({_least(_way("s", "2", "D"), _way("b", LATE, "K", STAYS + " AND initial = 's'"))}, {{'c': NULL, 'a': ''}}),
+            {_least(_way("p", "2", "D"), *[_way(x, LATE, "K", STAYS + " AND initial = 'u'") for x in "bsq"], *[_way(x, f"1 + {LATE}", "R", STAYS) for x in "bsq"])},
+            {_least(_way("q", "2", "D"), _way("p", LATE, "K", STAYS + " AND initial = 'a'"), _way("p", f"1 + {LATE}", "R", STAYS))}
+        FROM (
+            SELECT *, {_least("d", _way("p", "5", "I"))} AS q
+            FROM (
+                SELECT steps.conv_id, coded.i, b, s, d, initial, fault,
+                    {_least("o", *[_way(x, "5", "I") for x in "bsd"])} AS p
+                FROM steps JOIN coded ON coded.conv_id = steps.conv_id AND coded.i = steps.i + 1))),
+    ends AS (
+        SELECT conv_id, {_least("b", "d", _way("o", "5", "I"), _way("s", "10", "II"))} AS best
+        FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+    letters AS (SELECT conv_id, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS j FROM ends),
+    edits AS (
+        SELECT conv_id, j, substr(audit, j, 1) AS edit, length(translate(audit, 'D', '')) AS n,
+            length(translate(left(audit, j), 'I', '')) AS i, length(translate(left(audit, j), 'D', '')) AS place
+        FROM letters),
+    lines AS (
+        SELECT e.conv_id, j,
+            CASE WHEN edit = 'K' THEN role WHEN (place - n % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+        FROM edits e LEFT JOIN coded r ON r.conv_id = e.conv_id AND r.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+    texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS repaired FROM lines GROUP BY conv_id),
+    neighbours AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM coded),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+            count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM neighbours GROUP BY conv_id)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+        sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM ends LEFT JOIN counted USING (conv_id) LEFT JOIN texts USING (conv_id)
+""")
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    mended, summary = repair(damage(spark.read.parquet(f"{sf}/conversations.parquet")))
+    digests_ = text_digests(mended).withColumnRenamed("conversation", "_conversation")
+    met = summary.join(digests_, F.col("conversation").eqNullSafe(F.col("_conversation")), "left").drop("_conversation")
+    return met.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))).withColumnRenamed("conversation", "conv_id")
