@@ -51,6 +51,34 @@ def parts_of(batch: pa.RecordBatch, column: str = "text", size: int = 500_000):
         begin = end
 
 
+class Remembered:
+    """What was made of short keys, in two generations: what is asked for again stays, the rest goes with the older one."""
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.limit, self.longest = limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, wanted: set, make) -> tuple[dict, dict]:
+        """A mapping that holds all of ``wanted``, and the part of it that ``make`` (keys to values) was called for."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        known, old = self.young, self.old
+        missing = wanted.difference(known)
+        again = {key: old[key] for key in missing if key in old}
+        fresh = list(missing.difference(again))
+        made = dict(zip(fresh, make(fresh)))
+        known.update(again)
+        long = {key: value for key, value in made.items() if len(key) > self.longest}
+        known.update(made)
+        if not long:
+            return known, made
+        everything = dict(known)
+        for key in long:
+            del known[key]
+        return everything, made
+
+
 def fold(key: Column, n: int = 5) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n)), F.lit(0))

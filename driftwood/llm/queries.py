@@ -16,11 +16,14 @@ from driftwood.llm.iterative_quantisation import linked_vectors
 from driftwood.llm.log_bilinear import held_out, language_scores
 from driftwood.llm.minhash import near_duplicates
 from driftwood.llm.mixing import mix
+from driftwood.llm.retrieval_packing import pack
 from driftwood.llm.sentencepieces import encode_texts
 from driftwood.llm.skip_chain import KINDS, personal_data
+from driftwood.llm.spelling_variants import counted_words, spelling_variants
 from driftwood.llm.toxicity import toxicity
 from driftwood.llm.url_filter import fit, labelled_urls, url_verdicts
 
+WORD_PIECES = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -146,9 +149,10 @@ def op10_itq_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linked_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 
-# crc32 of the ASCII text ``key``, bit by bit.
+# crc32 of the text ``key`` of code points below 256, bit by bit.
 CRC32 = """xor(4294967295, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(key, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + unicode(c) % 64] END))),
     lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
@@ -229,3 +233,44 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     digests_ = text_digests(mended).withColumnRenamed("conversation", "_conversation")
     met = summary.join(digests_, F.col("conversation").eqNullSafe(F.col("_conversation")), "left").drop("_conversation")
     return met.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))).withColumnRenamed("conversation", "conv_id")
+
+
+@query("op12_retrieval_packing")
+def op12_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(documents(spark, sf), public_tokenizers.path(WORD_PIECES)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling_variants", rf"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+        FROM documents),
+    distinct_runs AS (
+        SELECT run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs GROUP BY doc_id, run),
+    hashed AS (SELECT run, times, {CRC32} AS hash FROM distinct_runs),
+    spelt AS (
+        SELECT times, CASE WHEN hash % 199 = 0 THEN left(run, hash % length(run)) || substr(run, hash % length(run) + 2) ELSE run END AS word
+        FROM hashed),
+    words AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+    shorter AS (
+        SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    pairs AS (
+        SELECT s.word, w.word AS other FROM shorter s JOIN words w ON w.word = s.rest
+        UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.rest
+        UNION SELECT a.word, b.word FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+    ranked AS (
+        SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+            row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place
+        FROM pairs p JOIN words o ON o.word = p.other),
+    formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+            CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+    followed AS (
+        SELECT word, word AS reached FROM formed
+        UNION ALL SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.reached WHERE g.form IS NOT NULL)
+    SELECT word, n, n_near, form, form_n, reached AS root
+    FROM followed JOIN formed USING (word) WHERE reached IN (SELECT word FROM formed WHERE form IS NULL)
+""")
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(counted_words(documents(spark, sf)))
