@@ -46,53 +46,69 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     )
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
-    """How many documents of each length to take so that the lengths sum up to ``budget``, or just below.
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, limit: int = LIMIT, capacity: int = CAPACITY) -> np.ndarray:
+    """How many documents of each length to take, a document up to ``limit`` times, so that their lengths sum up to
+    ``target``, or to the nearest sum there is; of two equally near the smaller.
 
-    All but ``capacity`` words of the budget, with room for the longest document, are taken in proportion to the
-    counts, longest first; a bounded knapsack over what is left of each length fits the rest, exactly if any
-    choice does.
+    All documents are taken as often as the target allows. All but ``capacity`` words of what is left, with room for the
+    longest document, are taken in proportion to the counts, longest first. A bounded knapsack over what may still be taken
+    of each length, first copies before further ones, fits the rest: below the capacity no choice comes nearer.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
     whole = int((lengths * counts).sum())
-    if budget >= whole:
-        return counts.copy()
-    left = int(budget)
+    if not whole:
+        return take
+    passes = min(limit, int(target // whole))
+    take += passes * counts
+    if passes == limit:
+        return take
+    order = np.argsort(-lengths, kind="stable")
+    left = target - passes * whole
     if left > capacity:
-        part = (left - capacity) / whole
-        take = np.floor(counts * part).astype(np.int64)
-        left -= int((take * lengths).sum())
+        part = np.floor(counts * ((left - capacity) / whole)).astype(np.int64)
+        take += part
+        left -= int((part * lengths).sum())
         for i in order:
             # Rounding down may leave many words of long documents.
             if left <= capacity:
                 break
             if 0 < lengths[i] <= left:
-                more = min(int(counts[i] - take[i]), (left - capacity // 2) // int(lengths[i])) if left > capacity // 2 else 0
+                more = int(min((passes + 1) * counts[i] - take[i], (left - capacity // 2) // lengths[i])) if left > capacity // 2 else 0
                 more = max(more, 0)
                 take[i] += more
                 left -= more * int(lengths[i])
-    small = [i for i in order if 0 < lengths[i] <= left and counts[i] > take[i]]
-    reached = np.zeros(left + 1, dtype=bool)
+    # A sum above twice what is left is further away than taking nothing.
+    room = 2 * int(left) + 1
+    reached = np.zeros(room + 1, dtype=bool)
     reached[0] = True
-    via = np.full(left + 1, -1, dtype=np.int32)
+    via = np.full(room + 1, -1, dtype=np.int32)
     items: list[tuple[int, int]] = []
-    for i in small:
-        spare, size = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
-        while spare > 0 and not reached[left]:
-            # Powers of two of one length make up every number of it.
-            n = min(size, spare)
-            step = n * int(lengths[i])
-            if step <= left:
+    exact = int(left) if left == int(left) else None
+    for copies in range(passes + 1, limit + 1):
+        for i in order:
+            length = int(lengths[i])
+            spare, size = int(counts[i]), 1
+            if copies == passes + 1:
+                spare = int(copies * counts[i] - take[i])
+            if not 0 < length <= room:
+                continue
+            spare = min(spare, room // length)
+            while spare > 0:
+                # Powers of two of one length make up every number of it.
+                n = min(size, spare)
+                step = n * length
                 new = reached[:-step] & ~reached[step:]
                 via[step:][new] = len(items)
                 reached[step:] |= new
                 items.append((i, n))
-            spare -= n
-            size *= 2
-        if reached[left]:
+                spare -= n
+                size *= 2
+            if exact is not None and reached[exact]:
+                break
+        if exact is not None and reached[exact]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - left))])
     while at:
         i, n = items[via[at]]
         take[i] += n
@@ -100,22 +116,23 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity:
     return take
 
 
-def _fit(group: pd.DataFrame) -> pd.DataFrame:
+def _fit(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     group = group.sort_values("size")
     lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
-    total, target = int((lengths * counts).sum()), float(group["target"].iloc[0])
-    passes = int(target // total) if total else 0
-    budget = round(target - passes * total)
-    extra = fit_lengths(lengths, counts, budget) if total and budget > 0 else np.zeros(len(group), dtype=np.int64)
-    return group.assign(passes=passes, extra=extra)[["key", "no_source", "size", "passes", "extra"]]
+    take = fit_lengths(lengths, counts, float(group["target"].iloc[0]), limit)
+    # Documents without words are taken as often as the source as a whole.
+    whole = int((lengths * counts).sum())
+    take[lengths == 0] = counts[lengths == 0] * (min(limit, int(group["target"].iloc[0] // whole)) if whole else 0)
+    return group.assign(passes=(take // counts).astype(np.int32), extra=take % counts)[["key", "no_source", "size", "passes", "extra"]]
 
 
 def mix(docs: DataFrame, key: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = 1) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_copies`` and ``mix_taken``.
 
     A document's size is its number of words; null texts have none. A source is taken as often as a whole as its
-    target allows, and the rest of the target is fitted from its counts of documents by exact length; of each length
-    the documents first in the seeded hash order of their ids are taken once more. ``mix_copies`` says how often a
+    target allows, and the rest of the target is fitted from its counts of documents by exact length, to the nearest sum
+    that up to ``limit`` copies make; of each length the documents first in the seeded hash order of their ids are taken
+    once more than the others. ``mix_copies`` says how often a
     document is in the mix and ``mix_taken`` how many words that makes. Documents without words are taken as often as
     their source as a whole. Rows with equal ids stand side by side in that order, and either may be the last.
 
@@ -138,7 +155,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple = WEIGHTS, share: f
     targets = materialise(targets.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("no_source"), "source_size", "target"), "mix-targets")
     plan = (
         lengths.join(targets, ["key", "no_source"]).groupBy("key", "no_source")
-        .applyInPandas(_fit, "key string, no_source boolean, size long, passes int, extra long")
+        .applyInPandas(lambda group: _fit(group, limit), "key string, no_source boolean, size long, passes int, extra long")
         .join(targets, ["key", "no_source"])
         .select(F.col("key").alias("_key"), F.col("no_source").alias("_no_source"), F.col("size").alias("mix_size"),
                 "passes", "extra", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))

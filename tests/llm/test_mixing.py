@@ -30,23 +30,41 @@ def size_of(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def nearest_by_force(sizes, target, limit=2):
+    """How near to the target any choice of up to ``limit`` copies of each document comes."""
+    sums = 1
+    for size in sizes:
+        for _ in range(limit):
+            sums |= sums << size
+    return min((abs(s - target) for s in range(sums.bit_length()) if sums >> s & 1), default=0)
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_lengths_fit_the_budget(seed):
+def test_lengths_fit_the_target(seed):
     g = np.random.default_rng(seed)
     lengths = np.unique(g.integers(1, 4000, 60))
     counts = g.integers(1, 50, len(lengths))
-    for budget in (0, 1, 7777, int((lengths * counts).sum()) // 3, int((lengths * counts).sum()) - 5, 10**9):
-        take = fit_lengths(lengths, counts, budget, capacity=1 << 14)
-        assert (take >= 0).all() and (take <= counts).all()
-        reached, whole = int((take * lengths).sum()), int((lengths * counts).sum())
-        assert reached <= budget and (reached == min(budget, whole) or min(budget, whole) - reached < lengths.min())
-
-
-def test_small_budgets_are_fitted_as_well_as_any_choice_could():
-    lengths, counts = np.array([6, 10, 15]), np.array([2, 1, 2])
-    for budget in range(60):
-        best = max(s for s in (6 * a + 10 * b + 15 * c for a in range(3) for b in range(2) for c in range(3)) if s <= budget)
-        assert int((fit_lengths(lengths, counts, budget) * lengths).sum()) == best
+    whole = int((lengths * counts).sum())
+    for target in (0, 1, 7777, whole // 3, whole - 5, whole * 1.3, 1.99 * whole, 2.0 * whole):
+        take = fit_lengths(lengths, counts, target, capacity=1 << 14)
+        assert (take >= 0).all() and (take <= 2 * counts).all()
+        assert abs(int((take * lengths).sum()) - target) <= (0.5 if target > 10 else lengths.min())
+
+
+def test_small_targets_are_fitted_as_well_as_any_choice_could():
+    lengths, counts = np.array([0, 6, 10, 15]), np.array([3, 2, 1, 2])
+    for target in [x / 2 for x in range(220)]:
+        take = fit_lengths(lengths, counts, target)
+        assert (take <= 2 * counts).all()
+        assert abs(int((take * lengths).sum()) - target) == nearest_by_force([6, 6, 10, 15, 15], target)
+
+
+def test_further_copies_and_sums_above_are_used():
+    sizes = [2, 16, 47, 71, 275, 350, 636, 665, 2770]
+    take = fit_lengths(np.array(sizes), np.ones(9, dtype=np.int64), 2330.0)
+    assert int((take * np.array(sizes)).sum()) == 2330 and take.max() <= 2
+    assert fit_lengths(np.array([100]), np.array([1]), 60.0).tolist() == [1]
+    assert fit_lengths(np.array([100]), np.array([1]), 50.0).tolist() == [0]
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 7, None: 50}, {"z": 0, "é": 0}, {"a": 10}, {"b": 0, "a": 9, "c": 1000, "d": 3}])
