@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import sys
 
@@ -12,13 +13,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import parts_of
+from driftwood.llm.common import Remembered, parts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = "▁"          # fixed value: the vocabulary's mark for a space
-REMEMBERED = 100_000      # segments whose ids a worker keeps at hand
-LONGEST_REMEMBERED = 64
+REMEMBERED = 250_000      # segments of a generation whose ids a worker keeps at hand
 SHORT = 40                # characters up to which segments of one length merge together
 NEVER = np.int32(1 << 30)
 CUTS = "\t\n\r"          # characters before and behind which a text is cut if no longer piece has them
@@ -31,7 +31,9 @@ class PieceVocabulary:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        size = self.library.get_piece_size()
+        self.size = size = self.library.get_piece_size()
+        # Ids are remembered as narrow as the vocabulary allows.
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<i4")
         special = [self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) for i in range(size)]
         self.ids = {self.library.id_to_piece(i): i for i in range(size) if not special[i]}
         self.scores = {piece: self.library.get_score(i) for piece, i in self.ids.items()}
@@ -48,7 +50,7 @@ class PieceVocabulary:
         steps = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.place = {piece: steps[score] for piece, score in self.scores.items()}
         self._tabulate()
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         self.fresh: dict[str, bytes] = {}
         self.check_supported()
 
@@ -59,7 +61,7 @@ class PieceVocabulary:
         ``unknown`` and their code point.
         """
         number = dict(self.ids)
-        size = self.library.get_piece_size()
+        size = self.size
         self.inner_chars: dict[int, str] = {}
         for char in sorted({c for piece in self.ids for c in piece}):
             if char not in number:
@@ -181,7 +183,7 @@ class PieceVocabulary:
         for length, members in by_length.items():
             if length > SHORT:
                 for i in members:
-                    done[i] = np.array(self.merged(segments[i]), dtype="<i4").tobytes()
+                    done[i] = np.array(self.merged(segments[i]), dtype=self.kind).tobytes()
                 continue
             codes = np.frombuffer("".join([segments[i] for i in members]).replace(" ", BLANK).encode("utf-32-le"), dtype=np.uint32)
             self._merge_rows(self.of_char[codes].reshape(-1, length), np.array(members), segments, done)
@@ -189,7 +191,6 @@ class PieceVocabulary:
 
     def _merge_rows(self, symbols: np.ndarray, members: np.ndarray, segments: list[str], done: list[bytes]) -> None:
         place, piece = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        size = self.library.get_piece_size()
         while len(members):
             rows = np.arange(len(members))
             best = place.argmin(axis=1) if place.shape[1] else np.zeros(len(members), dtype=np.int64)
@@ -197,8 +198,8 @@ class PieceVocabulary:
             if not live.all():
                 ended = np.flatnonzero(~live)
                 ids = symbols[ended]
-                plain = (ids < size).all(axis=1)
-                packed, width = ids.astype("<i4").tobytes(), 4 * ids.shape[1]
+                plain = (ids < self.size).all(axis=1)
+                packed, width = ids.astype(self.kind).tobytes(), self.kind.itemsize * ids.shape[1]
                 for n, (i, whole) in enumerate(zip(members[ended].tolist(), plain.tolist())):
                     done[i] = packed[n * width:(n + 1) * width] if whole else self._with_bytes(ids[n].tolist())
                 symbols, place, piece, members, best = symbols[live], place[live], piece[live], members[live], best[live]
@@ -217,24 +218,18 @@ class PieceVocabulary:
 
     def _with_bytes(self, symbols: list[int]) -> bytes:
         """Characters without a piece become their bytes."""
-        size, found = self.library.get_piece_size(), []
+        found = []
         for i in symbols:
-            found.extend([i] if i < size else [self.bytes[b] for b in self.char_of(i).encode()])
-        return np.array(found, dtype="<i4").tobytes()
+            found.extend([i] if i < self.size else [self.bytes[b] for b in self.char_of(i).encode()])
+        return np.array(found, dtype=self.kind).tobytes()
 
     def char_of(self, symbol: int) -> str:
         return self.inner_chars[symbol] if symbol < self.unknown else chr(symbol - self.unknown)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.segments(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = list(set().union(*cut).difference(self.known))
-        packed = dict(zip(fresh, self.merged_together(fresh)))
-        self.known.update((s, p) for s, p in packed.items() if len(s) <= LONGEST_REMEMBERED)
-        self.fresh = packed
-        look = self.known.get
-        return [np.frombuffer(b"".join([look(s) or packed[s] for s in x]), dtype="<i4") for x in cut]
+        known, self.fresh = self.known.look_up(set().union(*cut), self.merged_together)
+        return [np.frombuffer(b"".join(map(known.__getitem__, x)), dtype=self.kind) for x in cut]
 
     def check_fresh(self) -> None:
         """Holds the segments merged by the last call against the library; fails on any difference."""
@@ -244,14 +239,16 @@ class PieceVocabulary:
         others = [s for s in self.fresh if s[0] != " "]
         theirs = self.library.encode([s[1:] for s in spaced] + [CUTS[1] + s for s in others], num_threads=1)
         skipped = len(self.library.encode(CUTS[1]))
-        for n, segment in enumerate(spaced + others):
-            ids = theirs[n] if n < len(spaced) else theirs[n][skipped:]
-            if np.array(ids, dtype="<i4").tobytes() != self.fresh[segment]:
-                raise ValueError(f"ids of a segment of {len(segment)} characters differ from the library's")
+        theirs[len(spaced):] = [ids[skipped:] for ids in theirs[len(spaced):]]
+        mine = [self.fresh[s] for s in spaced + others]
+        lengths = np.fromiter(map(len, theirs), dtype=np.int64, count=len(theirs))
+        flat = np.fromiter(itertools.chain.from_iterable(theirs), dtype=np.int64, count=int(lengths.sum())).astype(self.kind)
+        if (lengths * self.kind.itemsize).tolist() != list(map(len, mine)) or flat.tobytes() != b"".join(mine):
+            raise ValueError("the ids of a segment differ from the library's")
 
     def decode_many(self, ids: list[np.ndarray]) -> list[str]:
         """Surfaces joined, bytes read as UTF-8, without the first space; control ids have no surface."""
-        flat = np.concatenate([*ids, np.empty(0, dtype="<i4")]).astype(np.int64)
+        flat = np.concatenate([*ids, np.empty(0, dtype=self.kind)]).astype(np.int64)
         lengths = self.surface_length[flat]
         ends = np.cumsum(lengths)
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.surface_start[flat] - ends + lengths, lengths)
@@ -280,11 +277,12 @@ def _coded(batches, model, check: str, part: int):
             decoded = vocabulary.decode_many(ids)
             if check == "segments":
                 vocabulary.check_fresh()
+                _compare_decoded(vocabulary.library, ids, decoded)
             elif check == "texts":
                 _compare(vocabulary.library, texts, ids, decoded)
             ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())],
+                [rows.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), pa.array(decoded, pa.string())],
                 names=["id", "ids", "decoded"],
             )
 
@@ -293,16 +291,20 @@ def _compare(library, texts: list[str], ids: list[np.ndarray], decoded: list[str
     for text, mine, theirs in zip(texts, ids, library.encode(texts, num_threads=1)):
         if mine.tolist() != theirs:
             raise ValueError(f"ids differ from the library's for a text of {len(text)} characters")
+    _compare_decoded(library, ids, decoded)
+
+
+def _compare_decoded(library, ids: list[np.ndarray], decoded: list[str]) -> None:
     if decoded != library.decode([i.tolist() for i in ids], num_threads=1):
         raise ValueError("a decoded text differs from the library's")
 
 
-def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 500_000) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 1_500_000) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``ids`` (no begin or end ids) and ``decoded``, the text read back from them.
 
     Null texts are empty and have no ids. Each worker merges the segments, words with the spaces before them, that are new
-    in a part of an Arrow batch side by side, and remembers a bounded number of short ones. ``check`` holds the work of each Arrow batch against the
-    library and fails on any difference: "segments" those merged anew, "texts" all whole texts and their decoding,
+    in a part of an Arrow batch side by side, and remembers a bounded number of short ones, those asked for again before others. ``check`` holds the work of each Arrow batch against the
+    library and fails on any difference: "segments" those merged anew and every decoded text, "texts" all whole texts and their decoding,
     "none" nothing. ``part`` bounds the characters whose ids are held at a time; a longer text is a part of its own.
     """
     if check not in ("segments", "texts", "none"):
