@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 
@@ -22,7 +23,9 @@ END = 1                  # closes each document
 K1, B = 1.2, 0.75        # of BM25
 QUERY = 32               # a seed asks for its heaviest distinct tokens
 SHARD = 1 << 20          # tokens of one shard of the index
-REMEMBERED = 250_000     # words whose ids a worker keeps at hand
+REMEMBERED = 500_000     # words of a generation whose ids a worker keeps at hand
+JOINED = 500             # words that the library reads as one text
+MARKS = ".,;:!?"         # may close a word without a change to the ids of its letters
 SPREAD = 4               # shards that one task packs
 
 
@@ -40,6 +43,10 @@ class WordTokens:
         self.library = Tokenizer.from_str(model)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Remembered(REMEMBERED)
+        # Letters that neither composition nor lower-casing turns into several, with the marks behind them.
+        self.plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)").fullmatch
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         if any(content.content.split() != [content.content] for content in self.library.get_added_tokens_decoder().values()):
             raise ValueError("a special token of the vocabulary holds white space")
         probe = "A word,  and\tanother's\n\n3 <|x|> é ﬁ"
@@ -47,8 +54,20 @@ class WordTokens:
             raise ValueError("the vocabulary keeps white space, so its words cannot be told apart")
 
     def _made(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        """Plain words go to the library many at a time, a piece that ends a word parts them; others go one by one."""
+        texts = [w.decode() for w in words]
+        parts = [m.groups() if m else None for m in map(self.plain, texts)]
+        letters, of = list({p[0] for p in parts if p}), {}
+        joined = self.library.encode_batch_fast([" ".join(letters[i:i + JOINED]) for i in range(0, len(letters), JOINED)], add_special_tokens=False)
+        for i, found in enumerate(joined):
+            ids = np.array(found.ids, dtype=self.kind)
+            stops = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
+            here, packed = letters[i * JOINED:(i + 1) * JOINED], ids.tobytes()
+            if len(stops) == len(here) + 1:
+                of.update(zip(here, [packed[a:b] for a, b in zip(stops, stops[1:])]))
+        alone = list({p[1] for p in parts if p} | {t for t, p in zip(texts, parts) if p is None or p[0] not in of})
+        of.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)))
+        return [of[p[0]] + of[p[1]] if p and p[0] in of else of[t] for t, p in zip(texts, parts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.encode().split() for t in texts]
@@ -95,7 +114,10 @@ class Lexicon:
 
     def query(self, terms: np.ndarray, impacts: np.ndarray, size: int = QUERY) -> np.ndarray:
         """The heaviest terms, heaviest first, of equals the smaller token."""
-        return terms[np.lexsort((terms, -impacts))[:size]]
+        heavy = np.arange(len(impacts))
+        if len(impacts) > size:
+            heavy = np.flatnonzero(impacts >= np.partition(impacts, -size)[-size])
+        return terms[heavy[np.argsort(-impacts[heavy], kind="stable")[:size]]]
 
 
 def token_weights(holding: np.ndarray, documents: int) -> np.ndarray:
@@ -166,17 +188,27 @@ class Shard:
             yield item, 0
 
 
-def _signed(batches, kind: str, lexicon):
-    """Adds each document's three heaviest tokens, by which documents are dealt out to shards."""
-    weights = Lexicon(*lexicon.value)
+def _signed(batches, kind: str, lexicon, shard: int):
+    """Adds each document's three heaviest tokens, of those that it shares, and the share of the first one that it is in.
+
+    Where the documents that hold a token may fill several shards, they are dealt round so many shares.
+    """
+    from pyspark import TaskContext
+
+    weights = Lexicon(*lexicon.value[:2])
+    shares = np.maximum(1, lexicon.value[2] * weights.mean_length // shard).astype(np.int64)
+    alone = lexicon.value[2] < 2
+    number = TaskContext.get().partitionId()
     for batch in batches:
         tops = []
         for packed in batch.column("ids").to_pylist():
-            ids = np.frombuffer(packed, dtype=kind)
-            top = weights.query(*weights.terms(ids), 3).tolist()
-            tops.append(top + [-1] * (3 - len(top)))
-        columns = [pa.array(c, pa.int32()) for c in zip(*tops)] if tops else [pa.array([], pa.int32())] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), *columns], names=["id", "ids", "t1", "t2", "t3"])
+            terms, impacts = weights.terms(np.frombuffer(packed, dtype=kind))
+            impacts[alone[terms]] = 0
+            top = weights.query(terms, impacts, 3).tolist()
+            number += 1
+            tops.append([*top, *[-1] * (3 - len(top)), number % int(shares[top[0]])])
+        columns = [pa.array(c, pa.int32()) for c in zip(*tops)] if tops else [pa.array([], pa.int32())] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), *columns], names=["id", "ids", "t1", "t2", "t3", "share"])
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -189,7 +221,7 @@ def _packed(batches, kind: str, lexicon, window: int, shard: int, run: int):
     """
     from pyspark import TaskContext
 
-    weights = Lexicon(*lexicon.value)
+    weights = Lexicon(*lexicon.value[:2])
     number = (run << 60) + (TaskContext.get().partitionId() << 34)
     items, held, id_type = [], 0, None
 
@@ -258,9 +290,9 @@ def pack(docs: DataFrame, model_path: str, key: str = "doc_id", window: int = WI
     in one piece; rows that repeat a document are packed each for itself. Sequences hold ``window`` tokens, but for the
     last of a task of the second run. An empty table gives no rows.
 
-    Documents are ordered by their three heaviest tokens, weighed over all documents, and dealt out by sampled splitters,
-    ties by hash, so neighbours in vocabulary come together and no key is too common. A task cuts its stretch of that order
-    into shards of about ``shard`` tokens, each with an inverted index of its own. The next unused document is a seed; BM25
+    Documents are dealt out by the heaviest token that they share with others, weighed over all documents, a token of very
+    many documents in several shares, and ordered by their three heaviest ones, so neighbours in vocabulary come together.
+    A task cuts its documents into shards of about ``shard`` tokens, each with an inverted index of its own. The next unused document is a seed; BM25
     finds the unused documents of the shard that share one of the seed's heaviest tokens, and these fill the window from
     the best downwards. What does not fit of the last one seeds the next window. Where no neighbour is left, the next
     document in order follows. Windows still open at the ends of tasks are packed once more among themselves.
@@ -284,11 +316,11 @@ def pack(docs: DataFrame, model_path: str, key: str = "doc_id", window: int = WI
         return spark.createDataFrame([], pieces).drop("ids")
     holding = np.zeros(size, dtype=np.int64)
     holding[list(counts)] = list(counts.values())
-    lexicon = spark.sparkContext.broadcast((token_weights(holding, documents), total / documents))
+    lexicon = spark.sparkContext.broadcast((token_weights(holding, documents), total / documents, holding))
     partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 16), total // (SPREAD * shard))
-    signed = coded.mapInArrow(lambda batches: _signed(batches, kind, lexicon), f"id {id_kind}, ids binary, t1 int, t2 int, t3 int")
-    by = ["t1", "t2", "t3", F.xxhash64("id", "ids")]
-    dealt = signed.repartitionByRange(partitions, *by).sortWithinPartitions(*by).select("id", "ids")
+    signed = coded.mapInArrow(
+        lambda batches: _signed(batches, kind, lexicon, shard), f"id {id_kind}, ids binary, t1 int, t2 int, t3 int, share int")
+    dealt = signed.repartition(partitions, "t1", "share").sortWithinPartitions("t1", "share", "t2", "t3", F.xxhash64("id", "ids")).select("id", "ids")
     first = materialise(dealt.mapInArrow(lambda batches: _packed(batches, kind, lexicon, window, shard, 0), pieces), "packed")
     # One open window per task at most.
     left = first.filter("ids is not null").select("id", "ids", "start", "doc_tokens")
