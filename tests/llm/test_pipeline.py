@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from cases import odd, rows
 from test_minhash import classes_by_force
-from test_mixing import size_of, targets_by_force
+from test_mixing import nearest_by_force, size_of, targets_by_force
 
 import corpus_pipeline
 from driftwood.llm.queries import PIECES
@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
-    kept["documents"] = docs.collect()
+    kept["documents"], kept["schema"] = docs.collect(), docs.schema
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         kept[name] = out.collect()
@@ -49,19 +49,31 @@ def test_near_copies_go(stages):
     assert sorted(r["doc_id"] for r in stages["minhash_near_dedup"]) == sorted(set(classes.values()))
 
 
-def test_mix_comes_near_its_targets(stages):
+def test_mix_comes_as_near_its_targets_as_two_copies_can(stages):
     sizes, taken = {}, {}
     for r in stages["minhash_near_dedup"]:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + size_of(r["text"])
+        sizes.setdefault(r["source"], []).append(size_of(r["text"]))
     for r in stages["mix_sources"]:
         taken[r["source"]] = taken.get(r["source"], 0) + size_of(r["text"])
-    target = targets_by_force(sizes)
-    smallest = min(size_of(r["text"]) for r in stages["minhash_near_dedup"])
-    assert all(abs(taken.get(s, 0) - target[s]) <= max(1, 40 * smallest) for s in target)
+    target = targets_by_force({s: sum(found) for s, found in sizes.items()})
+    for source, found in sizes.items():
+        assert abs(taken.get(source, 0) - target[source]) <= nearest_by_force(found, target[source]) + 1e-6
     times = [r["doc_id"] for r in stages["mix_sources"]]
     assert max(map(times.count, set(times))) <= 2
 
 
+def test_a_repeated_id_neither_loses_a_text_nor_keeps_two(spark, stages):
+    from cases import words
+    import random
+    g = random.Random(9)
+    a, b, c = words(g, 200), words(g, 200), words(g, 200)
+    near = lambda text: text + " tail"
+    made = [(3, near(a)), (7, a), (7, b), (2, c), (2, b + " other end"), (9, near(c)), (None, c), (11, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], stages["schema"])
+    got = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, near(a)), (2, c), (2, b + " other end"), (11, "alone here")])
+
+
 def test_encoding_is_the_librarys(stages):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
     wanted = sorted((r["doc_id"], library.encode(r["text"] or "")) for r in stages["mix_sources"])
