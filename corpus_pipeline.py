@@ -27,9 +27,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest ``doc_id`` stays; rows without an id all stay."""
-    kept = near_duplicates(docs).filter("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """Of each group of near-duplicates the row with the smallest ``doc_id`` stays, a null one last.
+
+    Rows are numbered, as a ``doc_id`` may stand on several texts; of rows with one ``doc_id`` in a group any may stay.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    classes = near_duplicates(numbered, "_row").select(F.col("id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first")
+    kept = numbered.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first).select("first._row")
+    return numbered.join(kept, "_row", "left_semi").drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
