@@ -13,8 +13,10 @@ from driftwood.operators.confusion import threshold_curve, with_scores
 from driftwood.operators.relations import stage_counts, sum_of_optional, wide_table
 from driftwood.operators.tokens import count_tokens, geometric_means, token_weights, vocabulary
 from driftwood.operators.votes import tally
-from driftwood.plans.scoring import pair_similarities, lower_median
+from driftwood.operators.selection import group_lower_medians
+from driftwood.plans.scoring import pair_similarities
 from driftwood.plans.training_blocks import token_weight_table
+from driftwood.session import materialise
 from driftwood.plans.tuning import labelled_ratios
 
 
@@ -47,6 +49,23 @@ def a3(spark, sf):
     return profile.repository_statistics(wide_table(*views.chain_tables(spark, sf))).select("repo_name", "functions", "versions")
 
 
+@query("a3_distinct_sketches", f"SELECT repo_name, true AS functions_near, true AS versions_near FROM ({REPOSITORY_SQL})")
+def a3_sketches(spark, sf):
+    """Counts of sketches that were kept per shard and united, against the exact ones: within three standard errors."""
+    wide = wide_table(*views.chain_tables(spark, sf))
+    exact = profile.repository_statistics(wide).select("repo_name", "functions", "versions")
+    shards = wide.withColumn("shard", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(8)))
+    kept = materialise(profile.distinct_sketches(shards, ["shard", "repo_name"], {"functions": "function_name", "versions": "id"}), "distinct-sketches")
+    united = profile.united_sketches(kept, ["repo_name"], ["functions", "versions"])
+    both = exact.join(united.select("repo_name", F.col("functions").alias("f"), F.col("versions").alias("v")), "repo_name")
+    allowed = 3 * profile.sketch_error()
+
+    def near(estimate, count):
+        return F.abs(F.col(estimate) - F.col(count)) <= F.greatest(F.lit(0.5), F.col(count) * allowed)
+
+    return both.select("repo_name", near("f", "functions").alias("functions_near"), near("v", "versions").alias("versions_near"))
+
+
 @query("a4_distinct_groups", "SELECT count(DISTINCT source) AS distinct_values FROM documents")
 def a4(spark, sf):
     return profile.distinct_values(table(spark, sf, "documents"), "source")
@@ -79,7 +98,7 @@ SELECT mid, item_idx, round(quantile_disc(cg, 0.5), 6) AS cosine, round(quantile
 """)
 def a8(spark, sf):
     pairs = pair_similarities(views.embeddings(spark, sf)[0]).filter(F.col("role") == "gen")
-    medians = pairs.groupBy("mid", "item_idx").agg(lower_median("cosine").alias("cosine"), lower_median("euclidean").alias("euclidean"))
+    medians = group_lower_medians(pairs, ["mid", "item_idx"], ["cosine", "euclidean"])
     return medians.withColumn("cosine", r6("cosine")).withColumn("euclidean", r6("euclidean"))
 
 
@@ -120,8 +139,7 @@ b_scores AS (
 
 @query("a11_weighted_geometric_mean", f"WITH {WEIGHTED_SQL} SELECT item_idx, role, round(score, 6) AS score FROM b_scores")
 def a11(spark, sf):
-    weights = token_weight_table(views.code(spark, sf))
-    weighted = token_weights(views.token_probabilities(spark, sf), weights, ["mid", "item_idx", "role"], 0.3, 0.7)
+    weighted = token_weights(*views.token_inputs(spark, sf), ["mid", "item_idx", "role"], 0.3, 0.7)
     return geometric_means(weighted, ["item_idx", "role"]).withColumn("score", r6("score"))
 
 
@@ -174,7 +192,7 @@ pair_bins AS (SELECT metric_x, metric_y, coalesce(least(floor((x - xl) / nullif(
 
 @query("a15_pair_density", f"WITH {ORDER_SQL}, {PAIR_SQL}, {PAIR_BIN_SQL} SELECT * FROM pair_bins")
 def a15(spark, sf):
-    bins = profile.pair_density(profile.metric_pairs(order_metrics(spark, sf), ORDER_METRICS))
+    bins = profile.pair_density(order_metrics(spark, sf), ORDER_METRICS)
     return bins.withColumn("x_bin", F.col("x_bin").cast("long")).withColumn("y_bin", F.col("y_bin").cast("long"))
 
 
@@ -189,7 +207,7 @@ smooth AS (SELECT metric_x, metric_y, x_bin, g.i AS y_bin, sum(v * ys / sqrt(2.0
 
 @query("a15_smoothed_pair_density", f"WITH {ORDER_SQL}, {PAIR_SQL}, {PAIR_BIN_SQL}, {SMOOTH_SQL} SELECT metric_x, metric_y, x_bin, y_bin, round(density, 8) AS density FROM smooth")
 def a15_smooth(spark, sf):
-    smooth = profile.smoothed_pair_density(profile.metric_pairs(order_metrics(spark, sf), ORDER_METRICS))
+    smooth = profile.smoothed_pair_density(order_metrics(spark, sf), ORDER_METRICS)
     return smooth.select("metric_x", "metric_y", F.col("x_bin").cast("long").alias("x_bin"), F.col("y_bin").cast("long").alias("y_bin"), F.round("density", 8).alias("density"))
 
 

@@ -13,8 +13,7 @@ from driftwood.catalog.registry import query, r6, table
 from driftwood.catalog.windows import packing_sql
 from driftwood.functions import text
 from driftwood.operators import extract
-from driftwood.operators.relations import wide_table
-from driftwood.operators.tokens import inverse_log_frequency, token_frequencies, words
+from driftwood.operators.tokens import words
 from driftwood.plans import (
     comparison, corpus_check, corpus_profile, corpus_rewrite, dataset, scoring, training_blocks, tuning, version_history,
 )
@@ -76,15 +75,14 @@ b_samples AS (
 SELECT part, l, c, d, '<|fim_prefix|>' || split_part(c, E'\n', 1) || E'\n\n    \"\"\"<|fim_suffix|>\"\"\"\n    ' || split_part(c, E'\n', 2) || '<|fim_middle|>' || d || '<|file_separator|>' AS e FROM b_samples
 """)
 def x3(spark, sf):
-    wide = wide_table(*views.chain_tables(spark, sf), complete_only=True)
-    cut = dataset.cut_dataset(wide, share=1 / 3)
+    cut = dataset.cut_entities(*views.chain_tables(spark, sf), share=1 / 3)
     train = dataset.training_samples(cut.train).withColumn("part", F.lit("train"))
     return train.unionByName(dataset.test_samples(cut.test).withColumn("part", F.lit("test")))
 
 
 @query("x3_held_out", DATASET_SQL + "SELECT repo_name, count(*) AS rows FROM b_clean WHERE id NOT IN (SELECT id FROM b_rest) GROUP BY repo_name")
 def x3_held(spark, sf):
-    cut = dataset.cut_dataset(wide_table(*views.chain_tables(spark, sf), complete_only=True))
+    cut = dataset.cut_entities(*views.chain_tables(spark, sf))
     return cut.held_out.groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -169,9 +167,7 @@ def prediction_inputs(spark, sf):
     generated = table(spark, sf, "documents").select(
         F.lit("base").alias("mid"), F.lit(0).alias("sample_idx"), F.col("doc_id").alias("item_idx"),
         F.concat(F.lit(text.MIDDLE), "text", F.lit('"""')).alias("text"))
-    counted, vocab = views.counted_tokens(spark, sf)
-    weights = inverse_log_frequency(token_frequencies(counted, vocab))
-    return views.token_probabilities(spark, sf, vocab), weights, generated, scoring.PredictionParameters(1.0, 0.3, 0.7)
+    return *views.token_inputs(spark, sf), generated, scoring.PredictionParameters(1.0, 0.3, 0.7)
 
 
 @query("x6_probability_scoring", PREDICTION_RESULT)

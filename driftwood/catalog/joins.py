@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from driftwood.catalog import views
 from driftwood.catalog.registry import query, r6, table
 from driftwood.operators import profile, relations
-from driftwood.operators.chains import link_versions, long_chains, with_last_version
+from driftwood.operators.chains import link_versions, with_last_version
 from driftwood.operators.hashorder import sample_rows
 from driftwood.operators.tokens import token_weights
 from driftwood.plans.scoring import setting_ratios
-from driftwood.plans.training_blocks import token_weight_table
 
 WIDE = ["id", "code_updated", "last_version", "function_name", "filename", "repo_name", "size", "open_issues", "watchers",
         "contributors", "forks", "contributions", "stars"]
@@ -34,7 +33,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 """)
 def j2(spark, sf):
     orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
-    linked = link_versions(orders, ["o_custkey"], ["o_orderdate", "id"], long_keys=long_chains(orders, ["o_custkey"]))
+    linked = link_versions(orders, ["o_custkey"], ["o_orderdate", "id"])
     return with_last_version(linked, "id", ["o_orderstatus", "o_totalprice"]).select(
         "id", "last_version", "last_o_orderstatus", "last_o_totalprice")
 
@@ -49,13 +48,18 @@ def j3(spark, sf):
     return held.withColumn("held", F.lit(True)).unionByName(rest.withColumn("held", F.lit(False))).select("doc_id", "source", "held")
 
 
-@query("j4_items_with_generations", f"""
-WITH {views.GENERATIONS}
-SELECT c.conv_id AS item_idx, c.turn, c.text AS c, g.mid, g.sample_idx, g.text AS g FROM conversations c JOIN b_gen g ON g.item_idx = c.conv_id
-""")
+# Two turns make an item: its text is the first one's, and either is a text generated for it.
+ITEM_TURNS = """
+g AS (SELECT conv_id * 1048576 + turn // 2 AS item_idx, turn, role AS mid, turn % 2 AS sample_idx, text FROM conversations),
+items AS (SELECT item_idx, min(turn) AS turn, arg_min(text, turn) AS c FROM g GROUP BY item_idx)"""
+
+
+@query("j4_items_with_generations", f"WITH {ITEM_TURNS} SELECT item_idx, items.turn, c, mid, sample_idx, text AS g FROM items JOIN g USING (item_idx)")
 def j4(spark, sf):
-    items = table(spark, sf, "conversations").select(F.col("conv_id").alias("item_idx"), "turn", F.col("text").alias("c"))
-    return relations.attach_generations(items, views.generations(spark, sf).withColumnRenamed("text", "g"))
+    turns = table(spark, sf, "conversations").withColumn("item_idx", F.col("conv_id") * 1048576 + F.floor(F.col("turn") / 2))
+    items = turns.groupBy("item_idx").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("c"))
+    generated = turns.select("item_idx", F.col("role").alias("mid"), (F.col("turn") % 2).alias("sample_idx"), F.col("text").alias("g"))
+    return relations.attach_generations(items, generated)
 
 
 @query("j5_setting_grid", f"""
@@ -85,8 +89,7 @@ WITH {views.TOKENS}
 SELECT item_idx, role, count(*) AS tokens, round(sum(weight), 6) AS weight FROM b_probs GROUP BY ALL
 """)
 def j8(spark, sf):
-    weights = token_weight_table(views.code(spark, sf))
-    looked_up = token_weights(views.token_probabilities(spark, sf), weights, ["mid", "item_idx", "role"], 0.5, 1.0)
+    looked_up = token_weights(*views.token_inputs(spark, sf), ["mid", "item_idx", "role"], 0.5, 1.0)
     return looked_up.groupBy("item_idx", "role").agg(F.count(F.lit(1)).alias("tokens"), r6(F.sum("weight")).alias("weight"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.catalog.registry import table
-from driftwood.operators.tokens import count_tokens, explode_tokens, vocabulary, words
+from driftwood.operators.lookup import lookup_join
+from driftwood.operators.tokens import count_tokens, explode_tokens, inverse_log_frequency, token_frequencies, vocabulary, words
 from driftwood.session import materialise
 
 # --- code and docstring of each document -------------------------------------------------------------
@@ -240,19 +241,17 @@ def counted_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return counted, materialise(vocabulary(counted), "vocabulary")
 
 
-def token_ids(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
-    vocab = counted_tokens(spark, sf)[1] if vocab is None else vocab
-    return tokens(spark, sf).join(vocab, "token", "left")
-
-
-def token_probabilities(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
-    roles = F.array(
-        F.struct(F.lit("doc").alias("role"), (F.lit(1.0) / (2 + F.col("token_id") % 97)).alias("prob")),
-        F.struct(F.lit("gen").alias("role"), (F.lit(1.0) / (2 + F.col("token_id") * 7 % 89)).alias("prob")),
-    )
-    return token_ids(spark, sf, vocab).select(
-        F.lit("base").alias("mid"), F.col("doc_id").alias("item_idx"), "pos", "n_tokens", "token_id", F.explode(roles).alias("_r")
+def token_inputs(spark: SparkSession, sf: str, roles: tuple[str, ...] = ("doc", "gen")) -> tuple[DataFrame, DataFrame]:
+    """A model's probabilities of all tokens in each role, and the weights of the tokens; the texts are counted once."""
+    counted, vocab = counted_tokens(spark, sf)
+    weights = materialise(inverse_log_frequency(token_frequencies(counted, vocab)), "token-weights")
+    probability = {"doc": F.lit(1.0) / (2 + F.col("token_id") % 97), "gen": F.lit(1.0) / (2 + F.col("token_id") * 7 % 89)}
+    each = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), probability[role].alias("prob")) for role in roles]))
+    numbered = lookup_join(tokens(spark, sf), weights.select("token", "token_id", "frequency"), "token", "frequency")
+    probabilities = numbered.select(
+        F.lit("base").alias("mid"), F.col("doc_id").alias("item_idx"), "pos", "n_tokens", "token_id", each.alias("_r")
     ).select("mid", "item_idx", "_r.role", "pos", "n_tokens", "token_id", "_r.prob")
+    return probabilities, weights
 
 
 # --- requests, generations, ratings ------------------------------------------------------------------

@@ -13,7 +13,6 @@ from driftwood.operators.confusion import best_thresholds, marked_curve
 from driftwood.operators.hashorder import batches
 from driftwood.operators.packing import assign_blocks, fill_blocks
 from driftwood.operators.tokens import normalised_weights, position_weight, token_weights, words
-from driftwood.plans.training_blocks import token_weight_table
 from driftwood.plans.tuning import tune
 
 CHAIN = ["conv_id"]
@@ -25,7 +24,7 @@ SELECT conv_id, seq, code FROM (SELECT *, lag(code) OVER (PARTITION BY conv_id O
 """)
 def w1(spark, sf):
     history = views.history(spark, sf)
-    return chains.collapse_unchanged(history, CHAIN, ["seq"], "code", long_keys=chains.long_chains(history, CHAIN)).select("conv_id", "seq", "code")
+    return chains.collapse_unchanged(history, CHAIN, ["seq"], "code").select("conv_id", "seq", "code")
 
 
 KEPT_SQL = views.HISTORY + f""",
@@ -40,7 +39,7 @@ b_kept AS (
 
 def _kept(spark, sf):
     history = views.history(spark, sf)
-    return chains.flag_changes(history, CHAIN, ["seq"], long_keys=chains.long_chains(history, CHAIN))
+    return chains.flag_changes(history, CHAIN, ["seq"])
 
 
 @query("w2_flagged_changes", f"WITH {KEPT_SQL} SELECT conv_id, seq, code_updated, docstring_updated FROM b_kept")
@@ -50,8 +49,8 @@ def w2(spark, sf):
 
 @query("w3_chain_pointer", f"WITH {KEPT_SQL} SELECT conv_id, seq, lag(seq) OVER (PARTITION BY conv_id ORDER BY seq) AS last_version FROM b_kept")
 def w3(spark, sf):
-    kept = _kept(spark, sf)
-    return chains.link_versions(kept, CHAIN, ["seq"], "seq", long_keys=chains.long_chains(kept, CHAIN)).select("conv_id", "seq", "last_version")
+    kept = _kept(spark, sf).select("conv_id", "seq")
+    return chains.link_versions(kept, CHAIN, ["seq"], "seq").select("conv_id", "seq", "last_version")
 
 
 @query("w4_first_versions", f"""
@@ -93,8 +92,7 @@ WITH {WEIGHTED_SQL}
 SELECT item_idx, pos, token_id, round(pw * fw / nullif(sum(pw * fw) OVER (PARTITION BY item_idx), 0) * 100, 6) AS percent FROM b_raw WHERE role = 'doc'
 """)
 def w7(spark, sf):
-    probabilities = views.token_probabilities(spark, sf).filter(F.col("role") == "doc")
-    weighted = token_weights(probabilities, token_weight_table(views.code(spark, sf)), ["item_idx"], 0.3, 0.7)
+    weighted = token_weights(*views.token_inputs(spark, sf, ("doc",)), ["item_idx"], 0.3, 0.7)
     return normalised_weights(weighted, ["item_idx"]).select(
         "item_idx", F.col("pos").cast("long").alias("pos"), "token_id", r6(F.col("norm_weight") * 100).alias("percent"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import dense_index
+from driftwood.operators.lookup import lookup_join
 from driftwood.session import materialise
 
 # Fixed value: keeps the decay away from the poles of the tangent.
@@ -92,16 +94,20 @@ def token_weights(
 ) -> DataFrame:
     """Adds ``raw_weight``: position weight times frequency weight. A token without a weight is an error.
 
-    ``n_tokens`` is taken from the input where it has it, and counted otherwise.
+    ``n_tokens`` is taken from the input where it has it, and counted otherwise. Where ``weights`` have the ``frequency``
+    they were made from, frequent tokens are looked up where they lie and only rare ones are shuffled.
     """
     if "n_tokens" not in probabilities.columns:
         size = F.max("pos") + 1
         probabilities = with_text_totals(probabilities, text, [size.alias("n_tokens")], size)
     unknown = F.raise_error(F.concat(F.lit("no weight for token "), F.col("token_id").cast("string")))
     found = F.when(F.col("weight").isNull(), unknown).otherwise(F.col("weight"))
+    if "frequency" in weights.columns:
+        met = lookup_join(probabilities, weights.select("token_id", "weight", "frequency"), "token_id", "frequency")
+    else:
+        met = probabilities.join(weights.select("token_id", "weight"), "token_id", "left")
     return (
-        probabilities.join(weights.select("token_id", "weight"), "token_id", "left")
-        .withColumn("weight", found)
+        met.withColumn("weight", found)
         .withColumn("position_weight", position_weight(F.col("pos"), F.col("n_tokens"), weight_decay))
         .withColumn("raw_weight", F.col("position_weight") * frequency_weight(F.col("weight"), frequency_importance))
     )
@@ -110,11 +116,10 @@ def token_weights(
 def normalised_weights(weighted: DataFrame, text: list[str]) -> DataFrame:
     """Adds ``norm_weight``, the weights of each text summing to 1.
 
-    The weighted tokens are written first, as the sums and the tokens both need them.
+    The tokens of a text came from one cell, so a window holds them; it spills where that cell is very large.
     """
-    weighted = materialise(weighted, "weighted-tokens")
-    total = with_text_totals(weighted, text, [F.sum("raw_weight").alias("_total")], F.max("pos") + 1)
-    return total.withColumn("norm_weight", F.col("raw_weight") / F.nullif(F.col("_total"), F.lit(0.0))).drop("_total")
+    total = F.sum("raw_weight").over(W.partitionBy(*text))
+    return weighted.withColumn("norm_weight", F.col("raw_weight") / F.nullif(total, F.lit(0.0)))
 
 
 def geometric_means(weighted: DataFrame, text: list[str], name: str = "score") -> DataFrame:
