@@ -9,7 +9,7 @@ from driftwood.catalog.python_sources import EXPECTED, sources
 from driftwood.catalog.registry import query, r6, table
 from driftwood.functions.text import has_min_newlines
 from driftwood.operators import extract
-from driftwood.operators.chains import flag_changes, link_versions, long_chains
+from driftwood.operators.chains import flag_changes, link_versions
 from driftwood.operators.packing import drop_long
 from driftwood.operators.relations import complete_rows
 from driftwood.operators.tokens import words
@@ -77,9 +77,8 @@ FROM linked WHERE last_version IS NOT NULL
 @query("f7_complete_rows", F7_SQL)
 def f7(spark, sf):
     history, chain = views.history(spark, sf), ["conv_id"]
-    long_keys = long_chains(history, chain)
-    flagged = flag_changes(history, chain, ["seq"], long_keys=long_keys)
-    linked = link_versions(flagged, chain, ["seq"], "seq", long_keys=long_keys)
+    flagged = flag_changes(history, chain, ["seq"]).select("conv_id", "seq", "code_updated", "docstring_updated")
+    linked = link_versions(flagged, chain, ["seq"], "seq")
     dated = linked.withColumn("commit", F.when(F.col("seq") % 4 > 0, F.concat(F.lit("c"), F.col("seq").cast("string")))).withColumn(
         "date", F.when(F.col("seq") % 3 > 0, F.date_add(F.lit("2020-01-01").cast("date"), F.col("seq").cast("int"))))
     return complete_rows(dated.select("conv_id", "seq", "last_version", "code_updated", "docstring_updated", "commit", "date"))

@@ -11,7 +11,7 @@ from driftwood.catalog.windows import KEPT_SQL, _kept
 from driftwood.functions import metrics, text
 from driftwood.functions.similarity import similarity
 from driftwood.functions.vectors import cosine, euclidean, l2_normalise, norm, unit_euclidean
-from driftwood.operators.chains import long_chains, with_previous
+from driftwood.operators.chains import with_previous
 from driftwood.operators.extract import extract_functions, located_functions
 from driftwood.sources.history import iso_date
 
@@ -54,7 +54,7 @@ SELECT doc_id, round({ratio_sql('text', 'other')}, 6) AS similarity FROM n WHERE
 """)
 def c4_documents(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source", "text")
-    linked = with_previous(rows, ["source"], ["doc_id"], ["text"], descending=True, long_keys=long_chains(rows, ["source"]))
+    linked = with_previous(rows, ["source"], ["doc_id"], ["text"], descending=True)
     return linked.filter("_has_prev").select("doc_id", r6(similarity("text", "_prev_text")).alias("similarity"))
 
 

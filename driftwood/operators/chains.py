@@ -6,19 +6,20 @@ first, so "previous" means the newer neighbour; pass ``newest_first=False`` for
 
 from __future__ import annotations
 
-import math
+import sys
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from driftwood.functions.similarity import similarity
-from driftwood.functions.text import let
 from driftwood.session import materialise
 
-# A chain longer than this is cut into pieces; a piece is what one task sorts.
-LONG_CHAIN = 1_000_000
-PIECES = 1024
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _order(order: list[str], descending: bool) -> list[Column]:
@@ -27,103 +28,94 @@ def _order(order: list[str], descending: bool) -> list[Column]:
     return [lead.desc() if descending else lead.asc(), *[F.col(c).asc() for c in order[1:]]]
 
 
-def long_chains(df: DataFrame, keys: list[str], limit: int = LONG_CHAIN) -> DataFrame | None:
-    """Keys and ``_size`` of the chains that are too long for one task, None where there are none.
-
-    Runs a count over the key columns. The table is written, so that Spark knows from its size whether to broadcast it.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    found = materialise(sizes.filter(F.col("_size") > limit), "long-chains")
-    return None if found.isEmpty() else found
-
-
-def _search_width(pieces: int) -> int:
-    return max(2, math.isqrt(pieces))
+def _same(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Whether values are equal; null equals null."""
+    nulls = pc.and_(pc.is_null(left), pc.is_null(right))
+    return pc.or_(nulls, pc.fill_null(pc.equal(left, right), False))
 
 
-def _search_table(cuts: Column, pieces: int) -> Column:
-    """Sorted cuts in groups, and the last cut of each group, for a search in two short steps."""
-    width = _search_width(pieces)
-    ends = range(width - 1, pieces - 1, width)
-    coarse = F.array(*[F.get(cuts, F.lit(i)) for i in ends]) if ends else F.slice(cuts, 1, 0)
-    fine = F.array(*[F.slice(cuts, g * width + 1, width) for g in range(len(ends) + 1)])
-    return F.struct(coarse.alias("coarse"), fine.alias("fine"))
+def _shifted(batches, keys: list[str], values: list[str]):
+    """Sorted rows with the values of the row before where it is of the same chain; marks the first and the last row.
 
-
-def _cuts_below(table: Column, value: Column, pieces: int) -> Column:
-    """How many cuts are below a value."""
-    group = F.size(F.filter(table["coarse"], lambda cut: cut < value))
-    return let(group, lambda g: g * _search_width(pieces) + F.size(F.filter(F.get(table["fine"], g), lambda cut: cut < value)))
+    Works on whole columns; of the rows passed only one batch is held back, until it is known not to be the last.
+    """
+    before, waiting = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        if waiting is not None:
+            yield waiting
+        shifted = {}
+        for name in dict.fromkeys([*keys, *values]):
+            column = batch.column(name)
+            first = pa.nulls(1, column.type) if before is None else before[name]
+            shifted[name] = pa.concat_arrays([first, column.slice(0, n - 1)])
+        inside = pa.array([before is not None, *[True] * (n - 1)])
+        for key in keys:
+            inside = pc.and_(inside, _same(batch.column(key), shifted[key]))
+        columns = [pc.if_else(inside, shifted[v], pa.nulls(n, shifted[v].type)) for v in values]
+        edge = pa.array([before is None, *[False] * (n - 1)])
+        before = {name: batch.column(name).slice(n - 1, 1) for name in shifted}
+        names = [*batch.schema.names, *[f"_prev_{v}" for v in values], "_has_prev", "_first", "_last"]
+        done = pa.RecordBatch.from_arrays([*batch.columns, *columns, inside, edge, pa.array([False] * n)], names=names)
+        waiting = done.slice(n - 1, 1)
+        if n > 1:
+            yield done.slice(0, n - 1)
+    if waiting is not None:
+        yield pa.RecordBatch.from_arrays([*waiting.columns[:-1], pa.array([True])], names=waiting.schema.names)
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = False,
-    long_keys: DataFrame | None = None, pieces: int = PIECES,
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], descending: bool = False, partitions: int | None = None
 ) -> DataFrame:
     """Adds ``_prev_<value>`` from the row before in the same chain, and ``_has_prev``, false for the first row.
 
-    A chain usually fits one task, and a plain window does. The chains in ``long_keys`` (see ``long_chains``) do not:
-    these are cut at quantiles of the first order column, which may have any type that can be ordered. Each piece is a
-    window of its own, and the first row of a piece takes its value from the last row of the piece before.
+    Sampled splitters deal the rows out by the keys and all order columns, so a chain of any length, whatever ties its
+    order columns have, lies in as many partitions as it needs. Each partition looks back within itself; its first row
+    then takes the values of the last row of the partition before, a table of one row per partition. Null keys are keys.
     """
     if not set(values) <= set(df.columns):
         raise ValueError("values must name columns of df")
-    by_order = _order(order, descending)
-    named = {f"_prev_{v}": v for v in values}
-
-    def look_back(window):
-        columns = {name: F.lag(v).over(window) for name, v in named.items()}
-        return {**columns, "_has_prev": F.row_number().over(window) > 1}
-
-    if long_keys is None:
-        return df.withColumns(look_back(W.partitionBy(*keys).orderBy(*by_order)))
-
-    # Of each chain a sample of about 16 values for a piece, in hash order of the rows; every so-manieth is a cut.
-    lead = order[0]
-    share = F.col("_size") / (16.0 * pieces)
-    drawn = (
-        df.select(*keys, F.col(lead).alias("_value"), F.pmod(F.xxhash64(*order), F.lit(1 << 30)).alias("_draw"))
-        .join(long_keys, keys).filter((F.col("_draw") * share < (1 << 30)) & F.col("_value").isNotNull())
-        .groupBy(*keys).agg(F.sort_array(F.collect_list("_value")).alias("_drawn"))
-    )
-    place = F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)), lambda i: F.get("_drawn", F.floor(i * F.size("_drawn") / pieces).cast("int")))
-    cuts = materialise(drawn.select(*keys, _search_table(place, pieces).alias("_cuts")), "chain-cuts")
-    # The cuts sort upwards and rows equal to a cut lie below it, so a piece is one stretch of the chain.
-    piece = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_cuts_below(F.col("_cuts"), F.col(lead), pieces))
-    cut_up = df.join(cuts, keys, "left").withColumn("_piece", piece).drop("_cuts")
-    inner = W.partitionBy(*keys, "_piece").orderBy(*by_order)
-    marked = cut_up.withColumns({**look_back(inner), "_last": F.lead(F.lit(1)).over(inner).isNull()})
-    seam = (F.col("_piece") >= 0) & (~F.col("_has_prev") | F.col("_last"))
-    # At most two rows per piece. Only the first row of a piece takes over what it sees here.
-    across = look_back(W.partitionBy(*keys).orderBy(*by_order))
-    seen = marked.filter(seam).withColumns({f"_over{name}": column for name, column in across.items()})
-    stitched = seen.withColumns({
-        name: F.when(F.col("_has_prev"), F.col(name)).otherwise(F.col(f"_over{name}")) for name in named
-    }).withColumn("_has_prev", F.col("_has_prev") | F.col("_over_has_prev")).drop(*[f"_over{name}" for name in across])
-    helpers = ["_piece", "_last"]
-    return marked.filter(~seam).unionByName(stitched).drop(*helpers)
+    by_order = [*[F.col(k).asc() for k in keys], *_order(order, descending)]
+    number = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(number, *by_order).sortWithinPartitions(*by_order).withColumn("_part", F.spark_partition_id())
+    added = [*[StructField(f"_prev_{v}", df.schema[v].dataType) for v in values], *[StructField(m, BooleanType()) for m in ("_has_prev", "_first", "_last")]]
+    shifted = materialise(dealt.mapInArrow(lambda batches: _shifted(batches, keys, values), StructType([*dealt.schema.fields, *added])), "chains")
+    ends = shifted.filter("_first OR _last").groupBy("_part").agg(
+        F.first(F.when(F.col("_last"), F.struct(*keys, *[F.col(v).alias(f"_v_{v}") for v in values])), ignorenulls=True).alias("_end"))
+    # At most one row per partition.
+    seams = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_end")).withColumn("_first", F.lit(True))
+    met = shifted.drop("_last").join(F.broadcast(seams), ["_part", "_first"], "left")
+    over = F.col("_end").isNotNull()
+    for key in keys:
+        over = over & F.col(key).eqNullSafe(F.col("_end")[key])
+    return met.withColumns({
+        **{f"_prev_{v}": F.when(over, F.col("_end")[f"_v_{v}"]).otherwise(F.col(f"_prev_{v}")) for v in values},
+        "_has_prev": F.col("_has_prev") | over,
+    }).drop("_part", "_first", "_end")
 
 
 def collapse_unchanged(
-    df: DataFrame, keys: list[str], order: list[str], content: str, newest_first: bool = True, long_keys: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], content: str, newest_first: bool = True
 ) -> DataFrame:
     """Keeps the first of each run of equal contents; compares digests, so no content is carried along."""
     digested = df.withColumn("_digest", F.sha2(F.col(content).cast("binary"), 256))
-    linked = with_previous(digested, keys, order, ["_digest"], descending=not newest_first, long_keys=long_keys)
+    linked = with_previous(digested, keys, order, ["_digest"], descending=not newest_first)
     changed = ~F.col("_has_prev") | ~F.col("_prev__digest").eqNullSafe(F.col("_digest"))
     return linked.filter(changed).drop("_has_prev", "_prev__digest", "_digest")
 
 
 def flag_changes(
     df: DataFrame, keys: list[str], order: list[str], code: str = "code", docstring: str = "docstring",
-    newest_first: bool = True, long_keys: DataFrame | None = None,
+    newest_first: bool = True,
 ) -> DataFrame:
     """Drops versions equal to the one before, flags what changed in the rest, and measures by how much.
 
     A dropped row equals its predecessor, so comparing with the previous row is the same as comparing with
     the previous kept row. The first version of a chain has null flags and similarities.
     """
-    linked = with_previous(df, keys, order, [code, docstring], descending=not newest_first, long_keys=long_keys)
+    linked = with_previous(df, keys, order, [code, docstring], descending=not newest_first)
     first = ~F.col("_has_prev")
     old_code, old_doc = F.col(f"_prev_{code}"), F.col(f"_prev_{docstring}")
     return (
@@ -137,10 +129,10 @@ def flag_changes(
 
 
 def link_versions(
-    df: DataFrame, keys: list[str], order: list[str], id_column: str = "id", newest_first: bool = True, long_keys: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], id_column: str = "id", newest_first: bool = True
 ) -> DataFrame:
     """Adds ``last_version``, the id of the version before, null for the first."""
-    linked = with_previous(df, keys, order, [id_column], descending=not newest_first, long_keys=long_keys)
+    linked = with_previous(df, keys, order, [id_column], descending=not newest_first)
     return linked.withColumnRenamed(f"_prev_{id_column}", "last_version").drop("_has_prev")
 
 

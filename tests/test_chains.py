@@ -1,8 +1,9 @@
-"""Version chains: long chains in pieces give what a plain window gives."""
+"""Version chains: partitions joined at their seams give what a plain window gives."""
 
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwood.operators import chains
@@ -23,24 +24,46 @@ def as_rows(df):
     return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
 
 
-@pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("pieces", [2, 16, 500])
-def test_pieces_equal_plain_window(spark, versions, descending, pieces):
-    long_keys = chains.long_chains(versions, ["key"], 100)
-    assert [r["key"] for r in long_keys.collect()] == ["hot"]
-    arguments = (versions, ["key"], ["seq", "node"], ["code", "node"], descending)
-    assert as_rows(chains.with_previous(*arguments, long_keys=long_keys, pieces=pieces)) == as_rows(chains.with_previous(*arguments))
-
+def by_window(df, keys, order, values, descending=False):
+    """What one plain window over each chain gives."""
+    lead = F.col(order[0])
+    window = W.partitionBy(*keys).orderBy(lead.desc() if descending else lead.asc(), *order[1:])
+    return df.withColumns({**{f"_prev_{v}": F.lag(v).over(window) for v in values}, "_has_prev": F.row_number().over(window) > 1})
 
-def test_long_chains_end_to_end(versions):
-    long_keys = chains.long_chains(versions, ["key"], 100)
-    for operator in (chains.flag_changes, lambda df, k, o, **a: chains.collapse_unchanged(df, k, o, "code", **a),
-                     lambda df, k, o, **a: chains.link_versions(df, k, o, "node", **a)):
-        assert as_rows(operator(versions, ["key"], ["seq", "node"], long_keys=long_keys)) == as_rows(operator(versions, ["key"], ["seq", "node"]))
 
-
-def test_no_long_chain(versions):
-    assert chains.long_chains(versions, ["key"]) is None
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("partitions", [1, 5, 16, 300])
+def test_seams_equal_plain_window(versions, descending, partitions):
+    arguments = (versions, ["key"], ["seq", "node"], ["code", "node"], descending)
+    assert as_rows(chains.with_previous(*arguments, partitions=partitions)) == as_rows(by_window(*arguments))
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_chain_of_equal_first_order_values(spark, size):
+    """Only the second order column tells the rows of the one chain apart."""
+    rows = spark.createDataFrame([("k", 7, i, f"v{i}") for i in range(600)] + [(None, 7, i, "n") for i in range(3)], "key string, seq int, node int, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        linked = chains.with_previous(rows.repartition(5), ["key"], ["seq", "node"], ["v"], partitions=8)
+        sizes = linked.groupBy(F.spark_partition_id()).count().collect()
+        got = {(r["key"], r["node"]): (r["_prev_v"], r["_has_prev"]) for r in linked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, i): (((f"v{i - 1}" if k else "n") if i else None), i > 0) for k, n in (("k", 600), (None, 3)) for i in range(n)}
+    assert sizes
+
+
+def test_no_partition_holds_a_long_chain(spark, monkeypatch):
+    written, write = [], chains.materialise
+    monkeypatch.setattr(chains, "materialise", lambda df, label: written.append(write(df, label)) or written[-1])
+    rows = spark.range(4000).select(F.lit("k").alias("key"), F.lit(1).alias("seq"), F.col("id").alias("node"))
+    chains.with_previous(rows, ["key"], ["seq", "node"], ["node"], partitions=8)
+    sizes = [r["count"] for r in written[0].groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 4000 / 8
+
+
+def test_empty_table(versions):
+    assert chains.with_previous(versions.limit(0), ["key"], ["seq"], ["code"]).count() == 0
 
 
 def test_kept_versions_differ_from_their_neighbours(versions):

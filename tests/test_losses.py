@@ -125,7 +125,6 @@ def test_long_sequences_keep_every_token(spark):
 
 def test_a_text_column_orders_a_long_chain(spark):
     rows = spark.createDataFrame([("k", f"{i:05d}", i) for i in range(500)] + [("l", "a", 1)], "key string, at string, v int")
-    long_keys = chains.long_chains(rows, ["key"], 100)
-    got = chains.with_previous(rows, ["key"], ["at"], ["v"], long_keys=long_keys, pieces=8).collect()
+    got = chains.with_previous(rows, ["key"], ["at"], ["v"], partitions=8).collect()
     assert {(r["v"], r["_prev_v"]) for r in got if r["key"] == "k"} == {(i, i - 1 if i else None) for i in range(500)}
     assert [r["_has_prev"] for r in got if r["key"] == "l"] == [False]
