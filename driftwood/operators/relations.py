@@ -57,6 +57,16 @@ def wide_table(
     )
 
 
+def sample_keys(versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
+    """``id`` and ``repo_name`` of the versions whose rows of the wide table have no null.
+
+    Texts are looked at where they are read and not carried along. A missing parent is an error.
+    """
+    code = clean_code(F.col("code"))
+    whole = complete_rows(versions.withColumn("code", code).withColumn("body_begin", body_begin(F.col("code"))))
+    return complete_rows(denormalise(whole.select("id", "function"), functions, files, repositories)).select("id", "repo_name")
+
+
 def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows without a null in ``columns``, by default those of the wide table that ``df`` has.
 

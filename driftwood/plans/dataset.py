@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.functions.hashing import hash_of
 from driftwood.functions.text import training_prompt
 from driftwood.operators.hashorder import balanced_sample, sample_rows, split_by_hash, with_negatives
-from driftwood.operators.relations import complete_rows, hold_out
+from driftwood.operators.relations import complete_rows, hold_out, sample_keys, wide_table
 from driftwood.session import materialise
 
 
@@ -54,6 +55,36 @@ def cut_dataset(
     return Dataset(kept_out, train, test)
 
 
+def cut_entities(
+    versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame, n: int | None = None,
+    share: float | None = None, train_fraction: float = 0.8, held: int = 1, seed: int = 42,
+) -> Dataset:
+    """What ``cut_dataset`` gives for the complete rows of the wide table, decided before that table is built.
+
+    Groups, quotas and cuts come from the ids of complete versions and their repositories. Only the versions that are
+    drawn meet their functions, so the cost of all but the pass over ids follows the sample; no wide table is written.
+    """
+    if n is not None and share is not None:
+        raise ValueError("give n or share, not both")
+    keys = materialise(sample_keys(versions, functions, files, repositories), "sample-keys")
+    kept_out, rest = hold_out(keys, "repo_name", held_out_groups(keys, "repo_name", ["id"], held, seed))
+    if share is not None:
+        n = int(rest.count() * share + 1e-9)
+    drawn = versions
+    if n is not None:
+        rest = materialise(balanced_sample(rest, "repo_name", ["id"], n, seed + 1), "drawn-keys")
+        # No version above the last hash drawn can be in the sample; these go before any join.
+        digest = hash_of(seed + 1, F.col("id"))
+        last = rest.agg(F.max(digest).alias("last"))
+        drawn = versions.filter(digest <= F.coalesce(last.scalar(), F.lit("")))
+
+    def rows(candidates: DataFrame, ids: DataFrame) -> DataFrame:
+        return wide_table(candidates.join(ids.select("id"), "id", "left_semi"), functions, files, repositories)
+
+    train, test = split_by_hash(rest, ["id"], train_fraction, seed + 2)
+    return Dataset(rows(versions, kept_out), rows(drawn, train), rows(drawn, test))
+
+
 def training_samples(train: DataFrame) -> DataFrame:
     return samples(train.withColumn("label", F.lit(True)))
 
