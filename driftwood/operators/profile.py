@@ -41,6 +41,29 @@ def distinct_values(df: DataFrame, column: str, approximate: bool = False) -> Da
     return df.agg(count.alias("distinct_values"))
 
 
+SKETCH_BITS = 14   # a sketch has two to this power of registers
+
+
+def distinct_sketches(df: DataFrame, by: list[str], columns: dict[str, str], bits: int = SKETCH_BITS) -> DataFrame:
+    """Per group a sketch of the distinct values of each column, ``{name: column}``, to be kept in a stage table.
+
+    Sketches of any parts unite to that of the whole, so a new shard costs a pass over itself. A column without values
+    has an empty sketch.
+    """
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), bits).alias(name) for name, c in columns.items()])
+
+
+def united_sketches(sketches: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Estimated distinct values per group from kept sketches, within ``sketch_error`` in two of three cases."""
+    united = sketches.groupBy(*by).agg(*[F.hll_union_agg(name).alias(name) for name in names])
+    return united.select(*by, *[F.hll_sketch_estimate(name).alias(name) for name in names])
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The relative standard error of a united sketch."""
+    return 1.04 / 2 ** (bits / 2)
+
+
 def contributor_totals(df: DataFrame, repository: str, contributions: Column) -> DataFrame:
     """Contributors and the sum of their contributions per repository, 0 where none counts."""
     return df.groupBy(repository).agg(
@@ -118,37 +141,71 @@ def density(metrics: DataFrame, grid: int = DENSITY_GRID, bins: int = HISTOGRAM_
     )
 
 
-def pair_density(pairs: DataFrame, bins: int = PAIR_BINS) -> DataFrame:
-    """Two-dimensional histogram of every metric pair, on equal-width bins over each metric's range."""
+def pair_statistics(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row per pair of metrics, the first before the second in ``metrics``: rows that have both, and range and spread
+    of either over these.
+
+    One aggregate over the rows as they are, without spelling out a pair.
+    """
+    def of(value: str, other: str, name: str) -> list[Column]:
+        both = F.when(F.col(other).isNotNull(), F.col(value).cast("double"))
+        return [F.min(both).alias(f"{name}_low"), F.max(both).alias(f"{name}_high"), F.stddev_samp(both).alias(f"{name}_sd")]
+
+    pairs = [
+        F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.count(F.when(F.col(b).isNotNull(), F.col(a))).alias("n"), *of(a, b, "x"), *of(b, a, "y"))
+        for n, a in enumerate(metrics) for b in metrics[n + 1:]
+    ]
+    return df.agg(F.array(*pairs).alias("_p")).select(F.inline("_p")).filter("n > 0")
+
+
+def pair_density(df: DataFrame, metrics: list[str], bins: int = PAIR_BINS, statistics: DataFrame | None = None) -> DataFrame:
+    """Two-dimensional histogram of every ordered pair of metrics, on equal-width bins over the ranges of rows that have both.
+
+    Each unordered pair is counted once, in the row it stands in, and mirrored when only bins are left.
+    """
     by_pair = ["metric_x", "metric_y"]
-    ranges = pairs.groupBy(*by_pair).agg(
-        F.min("x").alias("x_low"), F.max("x").alias("x_high"), F.min("y").alias("y_low"), F.max("y").alias("y_high"),
-    )
-    return (
-        pairs.join(F.broadcast(ranges), by_pair)
+    ranges = pair_statistics(df, metrics) if statistics is None else statistics
+    values = [
+        F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for n, a in enumerate(metrics) for b in metrics[n + 1:]
+    ]
+    pairs = df.select(F.explode(F.array(*values)).alias("_p")).select("_p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # One row per pair of metric names.
+    counted = (
+        pairs.join(F.broadcast(ranges.select(*by_pair, "x_low", "x_high", "y_low", "y_high")), by_pair)
         .groupBy(
             *by_pair, _bin(F.col("x"), F.col("x_low"), F.col("x_high"), bins).alias("x_bin"),
             _bin(F.col("y"), F.col("y_low"), F.col("y_high"), bins).alias("y_bin"),
         )
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    return _mirrored(counted, ["metric", "bin"], "rows")
+
+
+def _mirrored(df: DataFrame, both: list[str], *kept: str) -> DataFrame:
+    """Rows of unordered pairs in either order; ``both`` are read as ``metric_x`` and ``metric_y``, or ``x_bin`` and ``y_bin``."""
+    def sides(x: str, y: str) -> Column:
+        named = [(f"{both[0]}_x", f"{both[0]}_{x}"), (f"{both[0]}_y", f"{both[0]}_{y}")]
+        named += [pair for c in both[1:] for pair in ((f"x_{c}", f"{x}_{c}"), (f"y_{c}", f"{y}_{c}"))]
+        return F.struct(*[F.col(source).alias(name) for name, source in named])
+
+    return df.select(F.explode(F.array(sides("x", "y"), sides("y", "x"))).alias("_s"), *kept).select("_s.*", *kept)
 
 
-def smoothed_pair_density(pairs: DataFrame, bins: int = PAIR_BINS) -> DataFrame:
-    """Gaussian density of every metric pair at the centres of a grid of bins, as the share that falls into a cell.
+def smoothed_pair_density(df: DataFrame, metrics: list[str], bins: int = PAIR_BINS) -> DataFrame:
+    """Gaussian density of every ordered pair of metrics at the centres of a grid of bins, as the share in a cell.
 
     The rows are counted into bins once; the counts are then smoothed axis by axis, so the cost is ``bins`` to the
     power of three per pair whatever the number of rows. Bandwidths by Scott's rule for two dimensions. A pair with a
     constant metric has no density.
     """
     by_pair = ["metric_x", "metric_y"]
-    spread = pairs.groupBy(*by_pair).agg(
-        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max), ("sd", F.stddev_samp))]
-    ).filter((F.col("n") > 1) & (F.col("x_sd") > 0) & (F.col("y_sd") > 0))
+    statistics = pair_statistics(df, metrics)
+    spread = _mirrored(statistics.filter((F.col("n") > 1) & (F.col("x_sd") > 0) & (F.col("y_sd") > 0)), ["metric", "low", "high", "sd"], "n")
     steps = {c: (F.col(f"{c}_high") - F.col(f"{c}_low")) / bins / (F.col(f"{c}_sd") * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 6))) for c in ("x", "y")}
     # One row per pair of metric names.
     ranges = F.broadcast(spread.select(*by_pair, "n", *[step.alias(f"{c}_step") for c, step in steps.items()]))
-    smoothed = pair_density(pairs, bins).join(ranges, by_pair).withColumn("share", F.col("rows") / F.col("n"))
+    smoothed = pair_density(df, metrics, bins, statistics).join(ranges, by_pair).withColumn("share", F.col("rows") / F.col("n"))
     for axis, other in (("x", "y"), ("y", "x")):
         cell, step = F.col(f"{axis}_cell"), F.col(f"{axis}_step")
         distance = (cell - F.col(f"{axis}_bin")) * step

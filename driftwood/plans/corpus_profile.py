@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import sample_rows
 from driftwood.operators.profile import (
-    REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, metric_pairs, pair_density, repository_statistics,
+    REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, pair_density, repository_statistics,
     version_statistics,
 )
 from driftwood.operators.relations import wide_table
@@ -40,5 +40,5 @@ def densities(wide: DataFrame) -> DataFrame:
 
 
 def pair_densities(wide: DataFrame) -> DataFrame:
-    parts = [pair_density(metric_pairs(df, names)).withColumn("level", F.lit(level)) for level, df, names in _statistics(wide)]
+    parts = [pair_density(df, names).withColumn("level", F.lit(level)) for level, df, names in _statistics(wide)]
     return parts[0].unionByName(parts[1])
