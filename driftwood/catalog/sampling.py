@@ -40,6 +40,20 @@ def r2(spark, sf):
     return sample.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("r2_draws_with_replacement", """
+WITH n AS (SELECT count(*) AS n FROM orders),
+placed AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1 AS idx FROM orders),
+hits AS (SELECT ('0x' || substr(md5('43|' || i), 1, 15))::BIGINT % (SELECT n FROM n) AS idx FROM range((SELECT n // 2 FROM n)) r(i))
+SELECT o_orderkey, o_custkey, 1 + count(hits.idx) AS copies FROM placed LEFT JOIN hits USING (idx) GROUP BY ALL
+""")
+def r2_replace(spark, sf):
+    """Half as many rows again as there are: each once, the rest drawn with replacement."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    n = orders.count()
+    sample = hashorder.balanced_sample(orders, "o_custkey", ["o_orderkey"], n + n // 2, replace=True)
+    return sample.groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("r3_held_out_groups", "SELECT DISTINCT source FROM (SELECT source FROM documents ORDER BY md5('42|' || doc_id) LIMIT 5)")
 def r3(spark, sf):
     return held_out_groups(documents(spark, sf), "source", DOC, 5)

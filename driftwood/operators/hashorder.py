@@ -115,14 +115,15 @@ def fill_level(sizes: DataFrame, n: int) -> tuple[int, int]:
 
 def balanced_sample(
     df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, at_most: bool = False,
-    max_broadcast_groups: int = 200_000,
+    max_broadcast_groups: int = 200_000, replace: bool = False,
 ) -> DataFrame:
     """Exactly ``n`` rows, spread over the groups as evenly as their sizes allow.
 
     Every group gives the same number of rows or all it has; what is missing is taken one row each from the
     first groups in key order. Inside a group the rows come in hash order. A group of any size works: its
     rows are counted per hash prefix, and only the prefix holding the last row to take is sorted. Too large
-    an ``n`` is an error, or with ``at_most`` gives all rows.
+    an ``n`` is an error, or with ``at_most`` gives all rows; with ``replace`` all rows and as many draws from them with
+    replacement as are missing.
     """
     if n <= 0:
         if n < 0:
@@ -131,8 +132,14 @@ def balanced_sample(
     hashed = df.select(F.col(group), hash_of(seed, *[F.col(k) for k in key]).alias("_hash"))
     # One row per group, read several times below.
     sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
-    if at_most and sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()["n"] <= n:
-        return df
+    if at_most or replace:
+        rows = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()["n"]
+        if rows <= n and (at_most or rows in (0, n)):
+            return df
+        if rows < n:
+            again = draws_with_replacement(df, key, n - rows, seed)
+            copies = again.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+            return df.unionByName(copies.select(*df.columns))
     level, extra = fill_level(sizes, n)
     last = sizes.filter(F.col("_size") > level).select(group).orderBy(group).limit(extra).agg(F.max(group).alias("last"))
     quota = F.lit(level) if extra == 0 else F.when(F.col(group) <= last.scalar(), F.lit(level + 1)).otherwise(F.lit(level))
@@ -168,6 +175,21 @@ def balanced_sample(
     )
 
 
+def draws_with_replacement(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``copies`` of the rows that ``n`` independent draws hit; rows never hit are left out, an empty table gives none.
+
+    Draw ``i`` hits the row at the hash of ``i`` in hash order, so the draws add up exactly and a rerun repeats them.
+    They are counted per place before they meet the rows; places are spread evenly whatever the data.
+    """
+    if n < 0:
+        raise ValueError("n must not be negative")
+    indexed = dense_index(df, key, seed, "_idx")
+    rows = df.agg(F.count(F.lit(1)).alias("n"))
+    number = F.conv(F.substring(hash_of(seed + 1, F.col("id")), 1, 15), 16, 10).cast("long")
+    hits = df.sparkSession.range(n).select(F.pmod(number, F.greatest(rows.scalar(), F.lit(1))).alias("_idx"))
+    return indexed.join(hits.groupBy("_idx").agg(F.count(F.lit(1)).alias("copies")), "_idx").drop("_idx")
+
+
 def mismatched_pairs(df: DataFrame, key: list[str], column: str, seed: int = 42) -> DataFrame:
     """Each row with ``column`` of the next row in hash order, the last with the first: no row keeps its own.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,16 +88,52 @@ def last_per_id(df: DataFrame, ingest_order: str, key: str = "id") -> DataFrame:
 def stage(spark: SparkSession, name: str, parameters: dict, build) -> DataFrame:
     """Computes a table once and reads it ever after; other parameters give another table.
 
-    The table is published by renaming its folder when it is complete.
+    A table is complete in a folder of its own before a marker names that folder. The marker is created without
+    overwriting, so of several writers one publishes and all read its table; the others' folders are left behind, and
+    so is one whose writer was cut short. Nothing is renamed, which folders in object stores cannot be in one step.
     """
     digest = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/driftwood/stages")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{digest}")
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        # Whole tables only get the name: a write that is cut short leaves its folder under another.
-        fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{digest}-{uuid.uuid4().hex}")
-        build().write.parquet(str(fresh.toString()))
-        if not files.exists(place):
-            files.rename(fresh, place)
-    return spark.read.parquet(str(place.toString()))
+    folder = f"{shared_dir(spark)}/driftwood/stages"
+    marker = f"{folder}/{name}-{digest}.complete"
+    published = _read_marker(spark, marker)
+    if published is None:
+        fresh = f"{name}-{digest}-{uuid.uuid4().hex}"
+        build().write.parquet(f"{folder}/{fresh}")
+        published = fresh if _create_marker(spark, marker, fresh) else _read_marker(spark, marker)
+    return spark.read.parquet(f"{folder}/{published}")
+
+
+def _file(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _create_marker(spark: SparkSession, path: str, content: str) -> bool:
+    """Whether this call created the file; False where it was there."""
+    marker, files = _file(spark, path)
+    try:
+        out = files.create(marker, False)
+    except Py4JJavaError:
+        if files.exists(marker):
+            return False
+        raise
+    out.writeBytes(content + "\n")
+    out.close()
+    return True
+
+
+def _read_marker(spark: SparkSession, path: str, patience: float = 30.0) -> str | None:
+    """What the marker says, None where there is none. One that was just created gets its line within moments."""
+    marker, files = _file(spark, path)
+    until = time.monotonic() + patience
+    while files.exists(marker):
+        java = spark.sparkContext._jvm.java.io
+        reader = java.BufferedReader(java.InputStreamReader(files.open(marker)))
+        line = reader.readLine()
+        reader.close()
+        if line:
+            return line
+        if time.monotonic() > until:
+            raise RuntimeError(f"{path} is empty: its writer was cut short; delete it to build the table again")
+        time.sleep(0.05)
+    return None
