@@ -42,6 +42,23 @@ def test_a_run_longer_than_a_partition_is_one_group(spark):
     assert sum(r["kept"] for r in got) == 201
 
 
+def test_two_equal_runs_over_several_partitions(spark):
+    """Each of two texts fills several partitions, another lies between them, and long texts share their beginning."""
+    made = [(i, "a" * 100 + "x" * (i % 2)) for i in range(3000)] + [(9000, "a" * 100 + "w"), (9001, "a" * 100), (9002, " a" * 100)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(9)
+    got = exact_duplicates(docs)
+    found = {r["id"]: (r["keep_id"], r["group_size"]) for r in got.collect()}
+    assert {found[i] for i in range(0, 3000, 2)} | {found[9001], found[9002]} == {(9002, 1502)}
+    assert {found[i] for i in range(1, 3000, 2)} == {(1, 1500)} and found[9000] == (9000, 1)
+    assert sorted(r["doc_id"] for r in without_duplicates(docs).collect()) == [1, 9000, 9002]
+
+
+def test_groups_come_from_runs_not_from_the_digest(spark):
+    plan = exact_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert not any("digest" in line.split("]")[0] for line in keys)
+
+
 def test_one_whole_row_stays_for_each_text(spark):
     stays = without_duplicates(odd(spark))
     assert stays.columns == odd(spark).columns
