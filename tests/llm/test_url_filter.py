@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.queries import QUERIES, URL_RULES
 from driftwood.llm.url_filter import (
+    ALLOWED, BLOCKED,
     BUCKETS, EPOCHS, RATE, SHRINK, SIZES, fit, host_and_path, labelled_rows, labelled_urls, n_grams, parse_rule, url_verdicts,
 )
 
@@ -71,6 +72,19 @@ def test_fits_its_table_and_new_paths(spark, weights):
     assert sum(got[i] == bool(label) for i, (_, label) in enumerate(made)) >= 0.97 * len(made)
 
 
+def test_labels_are_not_taken_from_the_table(spark):
+    hosts = {parsed(r["url"])[0] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert not [h for h in hosts if any(name in h.split(".") for name in (*BLOCKED, *ALLOWED))]
+
+
+def test_verdicts_on_hosts_that_neither_the_labels_nor_the_table_hold(spark, weights):
+    spam = ["casino-night", "mega-casino", "pills-direct", "best-pills", "spam-mill", "ads-server", "big-bets", "adult-zone"]
+    plain = ["orchestra", "wetland", "pottery", "hiking-trails", "newsroom", "dictionary", "orchard", "telescope"]
+    frame = spark.createDataFrame([(i, f"https://www.{n}.example.org/en/12") for i, n in enumerate(spam + plain)], "page_id long, url string")
+    got = {r["id"]: r["verdict"] for r in url_verdicts(frame, [], weights).collect()}
+    assert sum(got[i] == "block" for i in range(8)) >= 7 and sum(got[i] == "allow" for i in range(8, 16)) >= 7
+
+
 def test_plan_has_no_python(spark):
     plan = QUERIES["op3_url_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
