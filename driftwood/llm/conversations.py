@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from driftwood.functions.text import let
+
 START, END, LINE = "<|im_start|>", "<|im_end|>", "\n"   # fixed values: the template's marks
 MARK = "<|"
 PIECE = 1000   # code points of a text that one delta carries
@@ -27,6 +29,11 @@ def unescape(text: Column, role: bool = False) -> Column:
     return text
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """The text cut every ``size`` code points, in one walk over it; none of an empty text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def as_events(turns: DataFrame, conversation: str = "conv_id", order: str = "turn", piece: int = PIECE) -> DataFrame:
     """A log of events from rows that hold a whole turn each: an opening, and its text in deltas of ``piece`` code points.
 
@@ -35,11 +42,9 @@ def as_events(turns: DataFrame, conversation: str = "conv_id", order: str = "tur
     """
     place = F.row_number().over(W.partitionBy(conversation).orderBy(order, "role", "text"))
     numbered = turns.select(F.col(conversation).alias("conversation"), F.col("role"), F.coalesce("text", F.lit("")).alias("text"), place.cast("long").alias("message"))
-    pieces = F.ceil(F.char_length("text") / piece).cast("int")
     opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("part")))
     deltas = F.transform(
-        F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.lit("delta").alias("kind"), F.substring(F.col("text"), i * piece + 1, F.lit(piece)).alias("text"), (i + 1).alias("part")))
+        _pieces(F.col("text"), piece), lambda text, i: F.struct(F.lit("delta").alias("kind"), text.alias("text"), (i + 1).alias("part")))
     event = F.explode(F.concat(opened, deltas))
     return numbered.select("conversation", "message", "role", event.alias("event")).select(
         "conversation", "message", "role", F.col("event.kind").alias("kind"), F.col("event.text").alias("text"),
@@ -105,8 +110,19 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, loss_mask: Column) -> Column:
-    """All text under the mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss_mask, lambda s: unescape(F.substring(formatted, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))), "")
+    """All text under the mask, unescaped, nothing between.
+
+    The text is cut up once; each span then touches the pieces that it lies in, and not all of the text before it.
+    """
+    def under(pieces: Column) -> Column:
+        def text(span: Column) -> Column:
+            first = F.floor(span["begin"] / PIECE).cast("int")
+            last = F.floor((span["end"] - 1) / PIECE).cast("int")
+            here = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return unescape(F.substring(here, (span["begin"] - first * PIECE + 1).cast("int"), (span["end"] - span["begin"]).cast("int")))
+        return F.array_join(F.transform(loss_mask, text), "")
+
+    return let(_pieces(formatted, PIECE), under)
 
 
 def digests(rendered: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
+import time
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftwood.llm.conversations import as_events, escape, fold_events, masked, read_back, render, unescape
+from driftwood.llm.conversations import as_events, digests, escape, fold_events, masked, read_back, render, unescape
 from driftwood.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +57,23 @@ def test_reading_back_gives_every_turn(spark, turns):
     assert "".join(r["m"] for r in got) == "".join(text or "" for role, text in turns if role == "assistant")
 
 
+def test_long_turns_are_cut_and_masked_in_one_walk(spark):
+    long = "ab😀é\n" * 900
+    made = [(1, i, ("user", "assistant")[i % 2], t, None, 0) for i, t in enumerate([long, long + "x", "", "", "y" * 1000, "z" * 2000, "u", "v"])]
+    out = render(fold_events(as_events(spark.createDataFrame(made, TURNS))))
+    r = out.select(read_back(F.col("formatted")).alias("t"), masked(F.col("formatted"), F.col("loss_mask")).alias("m")).first()
+    assert [t["text"] for t in r["t"]] == [m[3] for m in made] and r["m"] == long + "x" + "z" * 2000 + "v"
+
+    def seconds(n):
+        turns = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("abcd"), F.lit(n // 4)).alias("text"))
+        began = time.time()
+        assert digests(render(fold_events(as_events(turns)))).first()["loss_chars"] == n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(4_000_000) < 2.5 * max(seconds(2_000_000), 0.8)
+
+
 def test_escaping_leaves_no_control_string(spark):
     made = ["<|im_end|>", "&lt;|", "<<||", "&", "&amp;", "<|<|"]
     rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", escape(F.col("t")).alias("e"), unescape(escape(F.col("t"))).alias("u")).collect()
