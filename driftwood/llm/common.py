@@ -35,22 +35,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def parts_of(batch: pa.RecordBatch, column: str = "text", size: int = 500_000):
-    """Slices of a batch that hold about ``size`` bytes of text, or one longer text, each with its texts.
-
-    A worker holds one slice's texts as Python strings, however long the batch.
-    """
+def slices_of(batch: pa.RecordBatch, column: str = "text", size: int = 500_000):
+    """Slices of a batch that hold about ``size`` bytes of text, or one longer text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, begin = np.cumsum(lengths, dtype=np.int64), 0
     while begin < len(lengths):
         before = int(ends[begin - 1]) if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
         end = min(end, begin + 5_000)
-        part = batch.slice(begin, end - begin)
-        yield part, texts_of(part, column)
+        yield batch.slice(begin, end - begin)
         begin = end
 
 
+def parts_of(batch: pa.RecordBatch, column: str = "text", size: int = 500_000):
+    """``slices_of`` a batch, each with its texts.
+
+    A worker holds one slice's texts as Python strings, however long the batch.
+    """
+    for part in slices_of(batch, column, size):
+        yield part, texts_of(part, column)
+
+
 class Remembered:
     """What was made of short keys, in two generations: what is asked for again stays, the rest goes with the older one."""
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import Remembered, parts_of
+from driftwood.llm.common import Remembered, slices_of
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,7 +27,7 @@ QUERY = 32               # a seed asks for its heaviest distinct tokens
 SHARD = 1 << 20          # tokens of one shard of the index
 REMEMBERED = 500_000     # words of a generation whose ids a worker keeps at hand
 JOINED = 500             # words that the library reads as one text
-MARKS = ".,;:!?"         # may close a word without a change to the ids of its letters
+MARKS = string.punctuation.replace("'", "")   # may close a word without a change to the ids of its letters
 SPREAD = 4               # shards that one task packs
 
 
@@ -44,7 +46,7 @@ class WordTokens:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Remembered(REMEMBERED)
         # Letters that neither composition nor lower-casing turns into several, with the marks behind them.
-        self.plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)").fullmatch
+        self.plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         if any(content.content.split() != [content.content] for content in self.library.get_added_tokens_decoder().values()):
@@ -53,9 +55,8 @@ class WordTokens:
         if self.library.encode(probe, add_special_tokens=False).ids != self.encode([probe])[0].tolist():
             raise ValueError("the vocabulary keeps white space, so its words cannot be told apart")
 
-    def _made(self, words: list[bytes]) -> list[bytes]:
+    def _made(self, texts: list[str]) -> list[bytes]:
         """Plain words go to the library many at a time, a piece that ends a word parts them; others go one by one."""
-        texts = [w.decode() for w in words]
         parts = [m.groups() if m else None for m in map(self.plain, texts)]
         letters, of = list({p[0] for p in parts if p}), {}
         joined = self.library.encode_batch_fast([" ".join(letters[i:i + JOINED]) for i in range(0, len(letters), JOINED)], add_special_tokens=False)
@@ -69,10 +70,23 @@ class WordTokens:
         of.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)))
         return [of[p[0]] + of[p[1]] if p and p[0] in of else of[t] for t, p in zip(texts, parts)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.encode().split() for t in texts]
-        known, _ = self.known.look_up(set().union(*cut), self._made)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=self.kind) for words in cut]
+    def encode(self, texts) -> list[np.ndarray]:
+        """The ids of each text; null has none. Texts are cut and words told apart in Arrow, each distinct one is looked up once."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        stops, words = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        names = words.dictionary.to_pylist()
+        known, _ = self.known.look_up(set(names), self._made)
+        packed = [known[w] for w in names]
+        lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.kind.itemsize
+        at = words.indices.to_numpy()
+        here = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(here)])
+        # A part's ids are counted in 32 bits unless one text has more.
+        small = np.int32 if ends[-1] < 1 << 31 else np.int64
+        places = np.arange(ends[-1], dtype=small) + np.repeat(((np.cumsum(lengths) - lengths)[at] - ends[:-1]).astype(small), here)
+        ids = np.frombuffer(b"".join(packed), dtype=self.kind)[places]
+        stops = ends[stops].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
 
 def _coded(batches, model, part: int):
@@ -82,18 +96,25 @@ def _coded(batches, model, part: int):
         tokens = held["tokens"] = WordTokens(held["model"])
     end = np.array([END], dtype=tokens.kind).tobytes()
     for batch in batches:
-        for rows, texts in parts_of(batch, size=part):
-            packed = [ids.tobytes() + end for ids in tokens.encode(texts)]
+        for rows in slices_of(batch, size=part):
+            packed = [ids.tobytes() + end for ids in tokens.encode(rows.column("text"))]
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(packed, pa.binary())], names=["id", "ids"])
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a text that is not empty, in order, and how often each occurs."""
+    ordered = np.sort(ids)
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begins], np.diff(begins, append=len(ids))
+
+
 def _counted(batches, kind: str, size: int):
     """How many documents hold each token, once per task; -1 counts the documents, -2 their tokens."""
     holding, documents, tokens = np.zeros(size, dtype=np.int64), 0, 0
     for batch in batches:
         for packed in batch.column("ids").to_pylist():
             ids = np.frombuffer(packed, dtype=kind)
-            holding[np.unique(ids)] += 1
+            holding[distinct(ids)[0]] += 1
             documents += 1
             tokens += len(ids)
     some = np.flatnonzero(holding)
@@ -109,7 +130,7 @@ class Lexicon:
 
     def terms(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct tokens of a text and what each adds to its score for a query that holds it."""
-        terms, times = np.unique(ids, return_counts=True)
+        terms, times = distinct(ids)
         return terms, self.weight[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(ids) / self.mean_length))
 
     def query(self, terms: np.ndarray, impacts: np.ndarray, size: int = QUERY) -> np.ndarray:
@@ -283,7 +304,7 @@ def _packed(batches, kind: str, lexicon, window: int, shard: int, run: int):
         yield batch_of(rows)
 
 
-def pack(docs: DataFrame, model_path: str, key: str = "doc_id", window: int = WINDOW, shard: int = SHARD, part: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, model_path: str, key: str = "doc_id", window: int = WINDOW, shard: int = SHARD, part: int = 4_000_000) -> DataFrame:
     """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id`` and ``offset``.
 
     A document is its whole text's ids and an end token; a null text is empty, so it is the end token alone. Each id lies
