@@ -31,7 +31,6 @@ INSULTS = frozenset("idiot moron stupid scum trash loser pathetic worthless disg
 
 STEMS = (4, 5, 6)        # characters of a word's beginning that may stand for all its forms
 FIT_ROWS = 20_000        # labelled rows that the lexicon and the weights are fitted on
-LEXICON = 5_000          # most entries that are learned
 EVENTS = "iqjazhg"       # insult, quoted, negated, aimed at a target, threat at a target, other threat, one taken back
 # Weights before any label is seen: intercept, then one per event; fitting starts and is held there.
 PRIOR = np.array([-3.0, 4.0, 1.0, 0.5, 4.5, 4.0, 0.5, 0.0])
@@ -45,7 +44,8 @@ _QUOTE = frozenset("\"«»")
 class Transducer:
     """A weighted finite-state transducer: arcs ``(state, symbol) -> (output, weight, state)``, one per symbol.
 
-    ``final`` has the weight for ending in a state. Weights add up along a path.
+    ``final`` has the weight for ending in a state. Weights add up along a path; a symbol that was itself weighted, as
+    an insult is by the transducer of its letters, multiplies the weight of the arc that reads it.
     """
 
     def __init__(self, start, arcs: dict, final: dict):
@@ -78,12 +78,12 @@ class Transducer:
             outputs.append(output)
         return outputs
 
-    def weigh(self, symbols) -> float:
-        """The weight of the path."""
+    def weigh(self, symbols, scales=None) -> float:
+        """The weight of the path; ``scales`` are the weights of the symbols, 1 where they have none."""
         state, total = self.start, 0.0
-        for symbol in symbols:
+        for i, symbol in enumerate(symbols):
             _, weight, state = self.arcs[state, symbol]
-            total += weight
+            total += weight if scales is None else weight * scales[i]
         return total + self.final[state]
 
 
@@ -112,34 +112,77 @@ def report_transducer() -> Transducer:
     return Transducer("own", arcs, dict.fromkeys(("own", "reported", "quoted"), 0.0))
 
 
-def target_transducer(reach: int = 6) -> Transducer:
-    """``a`` for an insult and ``z`` for a threat up to ``reach`` words behind a target."""
+def target_transducer(reach: int = 6, weights: dict[str, float] | None = None) -> Transducer:
+    """``a`` for an insult and ``z`` for a threat up to ``reach`` words behind a target.
+
+    ``weights`` are those of the arcs, by the event they put out.
+    """
+    def arc(output, state):
+        return output, (weights or {}).get(output, 0.0), state
+
     arcs = {}
     for state in range(reach + 1):
         for s in "oijqhgaz":
-            arcs[state, s] = ({"i": "a", "h": "z"}.get(s, s) if state else s, 0.0, max(0, state - 1))
-        arcs[state, "t"] = ("t", 0.0, reach)
+            arcs[state, s] = arc({"i": "a", "h": "z"}.get(s, s) if state else s, max(0, state - 1))
+        arcs[state, "t"] = arc("t", reach)
     return Transducer(0, arcs, dict.fromkeys(range(reach + 1), 0.0))
 
 
 class Grammar:
-    """All transducers composed into one that reads a clause forwards; the targets' alone then reads it backwards."""
+    """All transducers composed into one that reads a clause forwards; the targets' alone then reads it backwards.
 
-    def __init__(self):
+    What an insult or a threat is in the end shows on the way back, so the arcs of that way carry the weights of events.
+    """
+
+    def __init__(self, weights: np.ndarray | None = None):
         self.forwards = negation_transducer().compose(report_transducer()).compose(target_transducer())
-        self.backwards = target_transducer()
+        self.backwards = target_transducer(weights=None if weights is None else dict(zip(EVENTS, np.asarray(weights)[1:].tolist())))
 
     def events(self, symbols: str) -> list[str]:
         return self.backwards.run(self.forwards.run(symbols)[::-1])[::-1]
 
+    def weigh(self, symbols: str, scales: list[float]) -> float:
+        """The weight of a clause's path: of each event the arc's weight times that of the word."""
+        return self.backwards.weigh(self.forwards.run(symbols)[::-1], scales[::-1])
+
+
+class Letters:
+    """The transducer of words: it reads letters, and insults and threats have paths whose arcs carry their weights.
+
+    An entry for a word ends with the word; one for a beginning, written with a hyphen, loops on any letters behind it.
+    Of the paths of a word the heaviest counts.
+    """
+
+    def __init__(self, insults: dict[str, float], threats: dict[str, float]):
+        # A state is what was read. Its arcs go to the next letter; ``ends`` and ``loops`` weigh the paths' last arcs.
+        self.arcs: dict[tuple[str, str], str] = {}
+        self.ends: dict[str, tuple[float, str]] = {}
+        self.loops: dict[str, tuple[float, str]] = {}
+        for symbol, entries in (("h", threats), ("i", insults)):
+            for entry, weight in entries.items():
+                word = entry.removesuffix("-")
+                for n in range(len(word)):
+                    self.arcs[word[:n], word[n]] = word[:n + 1]
+                place = self.loops if entry.endswith("-") else self.ends
+                place[word] = max(place.get(word, (0.0, symbol)), (weight, symbol))
+
+    def read(self, word: str) -> tuple[str, float]:
+        state, best = "", (0.0, "o")
+        for letter in word:
+            state = self.arcs.get((state, letter))
+            if state is None:
+                break
+            best = max(best, self.loops.get(state, best))
+        else:
+            best = max(best, self.ends.get(state, best))
+        return best[1], best[0]
+
 
 class Lexicon:
     """Word classes; an insult has a weight, from the entry for the word or for its beginning."""
 
     def __init__(self, learned: dict[str, float]):
-        # A beginning is written with a hyphen.
-        self.words = dict.fromkeys(INSULTS, 1.0) | {w: v for w, v in learned.items() if not w.endswith("-")}
-        self.stems = {w[:-1]: v for w, v in learned.items() if w.endswith("-")}
+        self.letters = Letters(dict.fromkeys(INSULTS, 1.0) | learned, dict.fromkeys(THREATS, 1.0))
         self.known: dict[str, tuple[str, float]] = {}
 
     def of(self, word: str) -> tuple[str, float]:
@@ -154,8 +197,8 @@ class Lexicon:
         for classes, symbol in ((TARGETS, "t"), (NEGATIONS, "n"), (REPORTS, "r"), (THREATS, "h")):
             if word in classes:
                 return symbol, 1.0
-        weight = max([self.words.get(word, 0.0)] + [self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n])
-        return ("i", weight) if weight > 0 else OTHER
+        found = self.letters.read(word)
+        return found if found[1] > 0 else OTHER
 
 
 def clauses(tokens: list[str]):
@@ -171,30 +214,44 @@ def clauses(tokens: list[str]):
         yield part
 
 
-def evidence(text: str, lexicon: Lexicon, machine: Grammar) -> np.ndarray:
-    """Weight of each kind of event in the text's matched clauses, and last the number of such clauses.
-
-    A clause is matched if the grammar finds an insult or a threat in it.
-    """
-    found = np.zeros(len(EVENTS) + 1)
+def matched_clauses(text: str, lexicon: Lexicon):
+    """Symbols and weights of the words of each clause that has an insult or a threat."""
     tokens = _TOKEN.findall(text.lower())
     if not any(lexicon.of(w)[0] in "ih" for w in set(tokens)):
-        return found
+        return
     for part in clauses(tokens):
         classes = [('"', 0.0) if w in _QUOTE else lexicon.of(w) for w in part]
         symbols = "".join([c[0] for c in classes])
-        if "i" not in symbols and "h" not in symbols:
-            continue
-        for event, (_, weight) in zip(machine.events(symbols), classes):
+        if "i" in symbols or "h" in symbols:
+            yield symbols, [c[1] for c in classes]
+
+
+def evidence(text: str, lexicon: Lexicon, machine: Grammar) -> np.ndarray:
+    """How often each kind of event is found, words by their weights, and last the number of matched clauses.
+
+    A clause is matched if the grammar finds an insult or a threat in it.
+    """
+    found = np.zeros(len(EVENTS) + 1)
+    for symbols, scales in matched_clauses(text, lexicon):
+        for event, weight in zip(machine.events(symbols), scales):
             if event in EVENTS:
                 found[EVENTS.index(event)] += weight
         found[-1] += 1
     return found
 
 
+def weighed(text: str, lexicon: Lexicon, machine: Grammar, intercept: float) -> tuple[float, int]:
+    """The sum of the weights of a text's matched clauses, from the intercept, and their number."""
+    total, number = intercept, 0
+    for symbols, scales in matched_clauses(text, lexicon):
+        total += machine.weigh(symbols, scales)
+        number += 1
+    return total, number
+
+
 def _features(found: np.ndarray) -> np.ndarray:
-    """Intercept and saturating event weights."""
-    return np.concatenate([[1.0], np.log2(1.0 + found[:len(EVENTS)])])
+    """Intercept and events: with the arcs' weights they make the sum of the clauses' weights."""
+    return np.concatenate([[1.0], found[:len(EVENTS)]])
 
 
 def _sketched(batches):
@@ -238,9 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
     chosen = labelled.groupBy("_label_id").agg(F.max("_toxic").alias("label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(rows)
     # At most ``rows`` ids and labels are broadcast.
     sample = docs.select(key, "text").join(F.broadcast(materialise(chosen, "toxic-ids")), F.col(key) == F.col("_label_id"))
-    # Copies of one document would make all its words telling: of texts with the same smallest run of words one stays.
+    # Copies of one document would make all its words telling: of texts with the same smallest run of words one stays,
+    # the one with the smallest label and text.
     sample = sample.select("text", "label").mapInArrow(_sketched, "text string, label int, sketch long")
-    sample = materialise(sample.dropDuplicates(["sketch"]).drop("sketch"), "toxic-sample")
+    one = F.min(F.struct("label", "text")).alias("one")
+    sample = materialise(sample.groupBy("sketch").agg(one).select("one.text", "one.label"), "toxic-sample")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sum(n for k, n in size.items() if k > 0), size.get(0, 0)
     counted = sample.mapInArrow(_vocabulary, "word string, label int, n long").groupBy("word").agg(
@@ -251,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
     # So many toxic documents in a row that chance would not bring them up for any of the words looked at.
     row = (math.log(max(counted.count(), 1)) + 2) / max(-math.log(toxic / max(toxic + other, 1)), 0.1) if toxic else 0
     strong = counted.withColumn("odds", odds).filter((F.col("odds") > 3.5) & (F.col("yes") >= row))
-    entries = strong.orderBy(F.desc("odds"), "word").limit(LEXICON).collect() if toxic and other else []
+    # The words of at most ``rows`` documents.
+    entries = strong.orderBy(F.desc("odds"), "word").collect() if toxic and other else []
     learned = {r["word"]: min(r["odds"] / 6.0, 2.0) for r in entries}
     weighed = sample.mapInArrow(lambda b: _evidence_batches(b, learned, ["label"]), "label int, evidence array<double>")
     found = weighed.groupBy("label", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -278,12 +338,12 @@ def _regression(rows, steps: int = 400, hold: float = 2.0) -> np.ndarray:
 
 
 def _scored(batches, learned, weights):
-    lexicon, machine = Lexicon(learned), Grammar()
+    lexicon, machine = Lexicon(learned), Grammar(weights)
     for part, texts in (p for batch in batches for p in parts_of(batch)):
-        found = [evidence(t, lexicon, machine) for t in texts]
-        scores = [1 / (1 + math.exp(-min(max(float(_features(f) @ weights), -30.0), 30.0))) for f in found]
+        found = [weighed(t, lexicon, machine, float(weights[0])) for t in texts]
+        scores = [1 / (1 + math.exp(-min(max(total, -30.0), 30.0))) for total, _ in found]
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(scores), pa.array([int(f[-1]) for f in found], pa.int64())], names=["id", "score", "matched"])
+            [part.column("id"), pa.array(scores), pa.array([n for _, n in found], pa.int64())], names=["id", "score", "matched"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
@@ -298,9 +358,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
 
 
 def _clean(batches, learned, weights):
-    lexicon, machine = Lexicon(learned), Grammar()
+    lexicon, machine = Lexicon(learned), Grammar(weights)
     for part, texts in (p for batch in batches for p in parts_of(batch)):
-        keep = [float(_features(evidence(t, lexicon, machine)) @ weights) < 0 for t in texts]
+        keep = [weighed(t, lexicon, machine, float(weights[0]))[0] < 0 for t in texts]
         yield part.filter(pa.array(keep, pa.bool_()))
 
 

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from cases import empty, odd, rows, words
 
 from driftwood.llm.queries import QUERIES
-from driftwood.llm.toxicity import EVENTS, Grammar, Lexicon, clauses, evidence, fit, only_clean, toxicity
+from driftwood.llm.toxicity import EVENTS, Grammar, Letters, Lexicon, clauses, evidence, fit, only_clean, toxicity, weighed
 
 SF = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int, doc_label string"
@@ -42,6 +43,50 @@ def test_composition_equals_running_one_after_the_other():
         assert whole.run(symbols) == step and whole.weigh(symbols) == 0.0
 
 
+def paths(machine, symbols, scales):
+    """All paths that read the symbols, by trying every arc: their outputs and weights."""
+    found = [(machine.start, [], 0.0)]
+    for symbol, scale in zip(symbols, scales):
+        found = [(goal, out + [o], total + weight * scale) for state, out, total in found
+                 for (origin, read), (o, weight, goal) in machine.arcs.items() if origin == state and read == symbol]
+    return [(out, total + machine.final[state]) for state, out, total in found if state in machine.final]
+
+
+def test_scores_equal_enumerated_paths():
+    g, weights = random.Random(2), np.array([-3.0, 4.0, 1.0, 0.5, 4.5, 4.0, 0.5, -0.25])
+    machine, plain = Grammar(weights), Grammar()
+    for _ in range(300):
+        symbols = "".join(g.choice('oithnr"') for _ in range(g.randint(1, 20)))
+        scales = [g.choice([0.0, 0.5, 1.0, 1.7]) for _ in symbols]
+        (ahead, _), = paths(machine.forwards, symbols, scales)
+        (back, total), = paths(machine.backwards, ahead[::-1], scales[::-1])
+        assert machine.weigh(symbols, scales) == pytest.approx(total)
+        events = plain.events(symbols)
+        assert back[::-1] == events and total == pytest.approx(sum(weights[1 + EVENTS.index(e)] * s for e, s in zip(events, scales) if e in EVENTS))
+
+
+def test_letters_take_the_heaviest_path():
+    letters = Letters({"grump-": 0.5, "grumpf-": 0.8, "grumpfig": 0.7, "dolt": 1.0}, {"maim": 1.0})
+    assert [letters.read(w) for w in ("grump", "grumpy", "grumpfig", "dolt", "dolts", "dol", "maim", "maims", "", "x")] == [
+        ("i", 0.5), ("i", 0.5), ("i", 0.8), ("i", 1.0), ("o", 0.0), ("o", 0.0), ("h", 1.0), ("o", 0.0), ("o", 0.0), ("o", 0.0)]
+
+
+def test_text_scores_equal_evidence_times_weights():
+    weights, lexicon = np.arange(8) - 2.5, Lexicon({"grump-": 0.5})
+    for text in ("you are an idiot. He is not a grumpy clown! she said kill them", "nothing", "", 'the "scum" and you, trash | kill'):
+        found = evidence(text, lexicon, Grammar())
+        total, number = weighed(text, lexicon, Grammar(weights), float(weights[0]))
+        assert total == pytest.approx(weights[0] + weights[1:] @ found[:-1]) and number == found[-1]
+
+
+def test_fit_does_not_depend_on_the_partitions(spark):
+    docs, labels, _ = corpus(spark, seed=6, n=240)
+    twins = docs.unionByName(docs.filter("doc_id < 60").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    marked = labels.unionByName(labels.filter("doc_id < 60").selectExpr("doc_id + 1000 AS doc_id", "quality", "1 - toxic AS toxic", "doc_label"))
+    one, two = fit(twins, marked), fit(twins.repartition(11), marked.repartition(5))
+    assert one[0] == two[0] and one[1] == pytest.approx(two[1])
+
+
 def corpus(spark, seed=1, n=600):
     g, docs, labels = random.Random(seed), [], []
     for i in range(n):
