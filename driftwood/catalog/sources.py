@@ -133,6 +133,17 @@ def s7(spark, sf):
     return firsts.unionByName(seconds)
 
 
+@query("s7_ratings_on_one_line", f"WITH {views.RATINGS} SELECT judge, answer FROM b_ratings")
+def s7_one_line(spark, sf):
+    """All answers of a writing task on one line, as a dump without indentation has them, and read by more than one task."""
+    path = fresh_path(spark, "rating-lines")
+    rows = views.ratings(spark, sf)
+    arrays = rows.groupBy("judge", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("_file")).agg(F.to_json(F.collect_list("answer")).alias("value"))
+    arrays.select("judge", "value").write.partitionBy("judge").text(path)
+    read = [samples.read_string_arrays(spark, f"{path}/judge={judge}").select(F.lit(judge).alias("judge"), F.col("text").alias("answer")) for judge in ("first", "second")]
+    return read[0].unionByName(read[1])
+
+
 @query("s8_file_versions", """
 SELECT source AS repo, count(*) * 5 AS versions, count(DISTINCT doc_id) AS paths, 4::BIGINT AS oldest FROM documents GROUP BY source
 """)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood import schemas
+from driftwood.session import materialise
 
 
 def write_samples(df: DataFrame, path: str, file_format: str = "json") -> None:
@@ -62,7 +64,7 @@ def predictions_by_item(generations: DataFrame) -> DataFrame:
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Judge answers from JSON arrays of strings, indented or on one line.
+    """Judge answers from JSON arrays of strings, indented or on one line; ``read_string_arrays`` splits long lines too.
 
     Each line is parsed by itself: an indented file holds one answer per line, so it can be split. Brackets and
     commas may stand at either end of a line; one that holds anything else but strings is an error. A null answer is
@@ -76,6 +78,38 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode_outer(checked).alias("answer")).filter(F.col("answer").isNotNull())
 
 
+def read_string_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The strings of JSON arrays of strings, however many stand on a line: ``path``, ``place`` and ``text``.
+
+    Files are read by their quotation marks, so one line of any length is split over tasks. A mark is escaped if an odd
+    number of backslashes precedes it, wherever it stands; the others open and close strings in turn. They are counted
+    per split, summed up over the splits of a file, and then numbered within each split. Pieces of a string, cut at
+    escaped marks or at a split's border, meet by the string's number, which is its ``place``. Nulls are left out; what
+    stands between strings and is no comma, bracket or null is an error, and so is a string without an end.
+    """
+    pieces = spark.read.option("lineSep", '"').text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    # A file's last piece counts too, though no mark is behind it: so an odd number leaves no string open.
+    pieces = pieces.withColumn("_marks", (F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2 == 0).cast("long"))
+    splits = materialise(pieces.groupBy("path", "_split").agg(F.sum("_marks").alias("_n")), "marks-per-split")
+    # As many rows as splits, of one file in one window.
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("path", "_split", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy("path")).alias("_all"))
+    earlier = W.partitionBy("path", "_split").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    numbered = pieces.withColumn("_here", F.coalesce(F.sum("_marks").over(earlier), F.lit(0))).join(splits, ["path", "_split"])
+    numbered = numbered.withColumn("_number", F.col("_before") + F.col("_here"))
+    inside = F.col("_number") % 2 == 1
+    odd = F.raise_error(F.concat(F.lit("this is no part of a JSON array of strings: "), F.substring("value", 1, 80))).cast("boolean")
+    between = F.regexp_like("value", F.lit(r"\A(?:[\s,\[\]]|null)*\z"))
+    open_end = F.raise_error(F.concat(F.lit("a string does not end: "), F.col("path"))).cast("boolean")
+    strings = numbered.filter(F.when(F.col("_all") % 2 == 0, open_end).when(inside, F.lit(True)).when(between, F.lit(False)).otherwise(odd))
+    gathered = strings.groupBy("path", ((F.col("_number") - 1) / 2).cast("long").alias("place")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_split", "_at", "value"))), lambda p: p["value"]), '"').alias("_quoted"))
+    text = F.get(F.from_json(F.concat(F.lit('["'), F.col("_quoted"), F.lit('"]')), "array<string>"), 0)
+    broken = F.raise_error(F.concat(F.lit("this is no JSON string: "), F.substring("_quoted", 1, 80)))
+    return gathered.select("path", "place", F.when(text.isNull(), broken).otherwise(text).alias("text"))
+
+
 def unpack_requests(requests: DataFrame, keep: list[str]) -> DataFrame:
     """One row per code and docstring of a request; lists of unequal length are an error."""
     pairs = F.when(

@@ -54,6 +54,39 @@ def test_ratings_indented_or_not(spark, tmp_path):
         assert sorted(r["answer"] for r in samples.read_ratings(spark, str(tmp_path / name)).collect()) == sorted(answers)
 
 
+ANSWERS = ['plain', 'with "quotes", [brackets] and\nbreaks', "ends with ]", "[starts", "", "back\\", 'a\\"b', '"', '\\\\"', "é😀 null", ", , ["]
+
+
+@pytest.mark.parametrize("size", ["64b", "1k", "128m"])
+def test_string_arrays_split_anywhere(spark, tmp_path, size):
+    """Whatever the splits, marks that are escaped or stand at a border are told apart."""
+    answers = ANSWERS * 40
+    (tmp_path / "flat").write_text(json.dumps(answers))
+    (tmp_path / "indented").write_text(json.dumps(answers, indent=4, ensure_ascii=False))
+    (tmp_path / "empty").write_text("[]")
+    (tmp_path / "nulls").write_text('[null, "x",null]')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        frame = samples.read_string_arrays(spark, str(tmp_path))
+        tasks = spark.read.option("lineSep", '"').text(str(tmp_path)).rdd.getNumPartitions()
+        got = {}
+        for r in frame.collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["place"]] = r["text"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {name: [found[i] for i in range(len(found))] for name, found in got.items()} == {"flat": answers, "indented": answers, "nulls": ["x"]}
+    assert size != "64b" or tasks > 50
+
+
+@pytest.mark.parametrize("text", ['["a", 7]', '["a", "b', '["a"] x', '["bad \\x escape"]'])
+def test_what_is_no_string_array_is_an_error(spark, tmp_path, text):
+    (tmp_path / "bad").write_text(text)
+    with pytest.raises(PySparkException):
+        samples.read_string_arrays(spark, str(tmp_path)).collect()
+
+
 def test_prediction_cache(spark, tmp_path):
     (tmp_path / "cache.json").write_text(json.dumps({"m": [["a0", "b0"], ["a1", "b1"]], "n": [["c0"]]}))
     rows = samples.explode_predictions(samples.read_prediction_cache(spark, str(tmp_path / "cache.json")))
