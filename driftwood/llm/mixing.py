@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -52,16 +53,25 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, limit: i
 
     All documents are taken as often as the target allows. All but ``capacity`` words of what is left, with room for the
     longest document, are taken in proportion to the counts, longest first. A bounded knapsack over what may still be taken
-    of each length, first copies before further ones, fits the rest: below the capacity no choice comes nearer.
+    of each length, first copies before further ones, fits the rest. Where that is not exact, and the whole target is
+    within the capacity, the knapsack starts from nothing too: then no choice comes nearer.
     """
-    take = np.zeros(len(lengths), dtype=np.int64)
     whole = int((lengths * counts).sum())
-    if not whole:
-        return take
-    passes = min(limit, int(target // whole))
-    take += passes * counts
+    passes = min(limit, int(target // whole)) if whole else limit
     if passes == limit:
-        return take
+        return counts * (limit if whole else 0)
+    take = _fit_behind(lengths, counts, target, passes, limit, capacity)
+    if passes and target <= capacity and abs(int((take * lengths).sum()) - target) > 0.5:
+        other = _fit_behind(lengths, counts, target, 0, limit, capacity)
+        if abs(int((other * lengths).sum()) - target) < abs(int((take * lengths).sum()) - target):
+            return other
+    return take
+
+
+def _fit_behind(lengths: np.ndarray, counts: np.ndarray, target: float, passes: int, limit: int, capacity: int) -> np.ndarray:
+    """``fit_lengths`` with all documents taken ``passes`` times beforehand."""
+    whole = int((lengths * counts).sum())
+    take = passes * counts.astype(np.int64)
     order = np.argsort(-lengths, kind="stable")
     left = target - passes * whole
     if left > capacity:
@@ -83,7 +93,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, limit: i
     reached[0] = True
     via = np.full(room + 1, -1, dtype=np.int32)
     items: list[tuple[int, int]] = []
-    exact = int(left) if left == int(left) else None
+    exact = math.ceil(left - 0.5)   # no sum is nearer than this one
     for copies in range(passes + 1, limit + 1):
         for i in order:
             length = int(lengths[i])
@@ -103,9 +113,9 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, limit: i
                 items.append((i, n))
                 spare -= n
                 size *= 2
-            if exact is not None and reached[exact]:
+            if reached[exact]:
                 break
-        if exact is not None and reached[exact]:
+        if reached[exact]:
             break
     sums = np.flatnonzero(reached)
     at = int(sums[np.argmin(np.abs(sums - left))])
