@@ -25,7 +25,7 @@ END = 1                  # closes each document
 K1, B = 1.2, 0.75        # of BM25
 QUERY = 32               # a seed asks for its heaviest distinct tokens
 SHARD = 1 << 20          # tokens of one shard of the index
-REMEMBERED = 500_000     # words of a generation whose ids a worker keeps at hand
+REMEMBERED = 400_000     # words of a generation whose ids a worker keeps at hand, with the marks behind them and without
 JOINED = 500             # words that the library reads as one text
 MARKS = string.punctuation.replace("'", "")   # may close a word without a change to the ids of its letters
 SPREAD = 4               # shards that one task packs
@@ -44,7 +44,7 @@ class WordTokens:
 
         self.library = Tokenizer.from_str(model)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Remembered(REMEMBERED)
+        self.known, self.letters = Remembered(REMEMBERED), Remembered(REMEMBERED)
         # Letters that neither composition nor lower-casing turns into several, with the marks behind them.
         self.plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
@@ -56,19 +56,26 @@ class WordTokens:
             raise ValueError("the vocabulary keeps white space, so its words cannot be told apart")
 
     def _made(self, texts: list[str]) -> list[bytes]:
-        """Plain words go to the library many at a time, a piece that ends a word parts them; others go one by one."""
+        """Plain words are letters and marks, each of which are looked up; other words go to the library one by one."""
         parts = [m.groups() if m else None for m in map(self.plain, texts)]
-        letters, of = list({p[0] for p in parts if p}), {}
-        joined = self.library.encode_batch_fast([" ".join(letters[i:i + JOINED]) for i in range(0, len(letters), JOINED)], add_special_tokens=False)
+        of, _ = self.letters.look_up({p[0] for p in parts if p}, self._joined)
+        alone = list({p[1] for p in parts if p} | {t for t, p in zip(texts, parts) if p is None})
+        apart = dict(zip(alone, self._each(alone)))
+        return [of[p[0]] + apart[p[1]] if p else apart[t] for t, p in zip(texts, parts)]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Plain words go to the library many at a time; a piece that ends a word parts them."""
+        made: list[bytes] = []
+        joined = self.library.encode_batch_fast([" ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
         for i, found in enumerate(joined):
-            ids = np.array(found.ids, dtype=self.kind)
+            ids, here = np.array(found.ids, dtype=self.kind), words[i * JOINED:(i + 1) * JOINED]
             stops = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
-            here, packed = letters[i * JOINED:(i + 1) * JOINED], ids.tobytes()
-            if len(stops) == len(here) + 1:
-                of.update(zip(here, [packed[a:b] for a, b in zip(stops, stops[1:])]))
-        alone = list({p[1] for p in parts if p} | {t for t, p in zip(texts, parts) if p is None or p[0] not in of})
-        of.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)))
-        return [of[p[0]] + of[p[1]] if p and p[0] in of else of[t] for t, p in zip(texts, parts)]
+            packed = ids.tobytes()
+            made.extend([packed[a:b] for a, b in zip(stops, stops[1:])] if len(stops) == len(here) + 1 else self._each(here))
+        return made
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text; null has none. Texts are cut and words told apart in Arrow, each distinct one is looked up once."""
@@ -89,37 +96,41 @@ class WordTokens:
         return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
 
-def _coded(batches, model, part: int):
-    held = model.value
-    tokens = held.get("tokens")
-    if tokens is None:
-        tokens = held["tokens"] = WordTokens(held["model"])
-    end = np.array([END], dtype=tokens.kind).tobytes()
-    for batch in batches:
-        for rows in slices_of(batch, size=part):
-            packed = [ids.tobytes() + end for ids in tokens.encode(rows.column("text"))]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(packed, pa.binary())], names=["id", "ids"])
-
-
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a text that is not empty, in order, and how often each occurs."""
-    ordered = np.sort(ids)
-    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    # The stable sort of short integers goes by their digits.
+    ordered = np.sort(ids, kind="stable")
+    first = np.empty(len(ordered), dtype=bool)
+    first[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    begins = np.flatnonzero(first)
     return ordered[begins], np.diff(begins, append=len(ids))
 
 
-def _counted(batches, kind: str, size: int):
-    """How many documents hold each token, once per task; -1 counts the documents, -2 their tokens."""
-    holding, documents, tokens = np.zeros(size, dtype=np.int64), 0, 0
+def _coded(batches, model, part: int, size: int):
+    """Each document's ids; last, how many of the task's documents hold each token, -1 for all, -2 for their tokens."""
+    held = model.value
+    tokens = held.get("tokens")
+    if tokens is None:
+        tokens = held["tokens"] = WordTokens(held["model"])
+    end, holding, documents, total, kind = np.array([END], dtype=tokens.kind), np.zeros(size, dtype=np.int64), 0, 0, None
+    names = ["id", "ids", "token", "n"]
+    counts = pa.list_(pa.int64())
     for batch in batches:
-        for packed in batch.column("ids").to_pylist():
-            ids = np.frombuffer(packed, dtype=kind)
-            holding[distinct(ids)[0]] += 1
-            documents += 1
-            tokens += len(ids)
-    some = np.flatnonzero(holding)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([some, [-1, -2]]).astype(np.int64)), pa.array(np.concatenate([holding[some], [documents, tokens]]))], names=["token", "n"])
+        kind = batch.schema.field("id").type
+        for rows in slices_of(batch, size=part):
+            found = [np.concatenate([ids, end]) for ids in tokens.encode(rows.column("text"))]
+            for ids in found:
+                holding[distinct(ids)[0]] += 1
+                total += len(ids)
+            documents += len(found)
+            none = pa.nulls(len(found), counts)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([ids.tobytes() for ids in found], pa.binary()), none, none], names=names)
+    if documents:
+        some = np.flatnonzero(holding)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([[*some.tolist(), -1, -2]], counts), pa.array([[*holding[some].tolist(), documents, total]], counts)],
+            names=names)
 
 
 class Lexicon:
@@ -326,9 +337,10 @@ def pack(docs: DataFrame, model_path: str, key: str = "doc_id", window: int = WI
     model = spark.sparkContext.broadcast({"model": text})
     id_kind = docs.schema[key].dataType.simpleString()
     coded = docs.select(F.col(key).alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _coded(batches, model, part), f"id {id_kind}, ids binary")
+        lambda batches: _coded(batches, model, part, size), f"id {id_kind}, ids binary, token array<long>, n array<long>")
     coded = materialise(coded, "packing-ids")
-    counted = coded.select("ids").mapInArrow(lambda batches: _counted(batches, kind, size), "token long, n long")
+    counted = coded.filter("token IS NOT NULL").select(F.inline(F.arrays_zip("token", "n")))
+    coded = coded.filter("ids IS NOT NULL").select("id", "ids")
     # At most one row per token of the vocabulary.
     counts = {r["token"]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}
     documents, total = counts.pop(-1, 0), counts.pop(-2, 0)
