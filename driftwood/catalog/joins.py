@@ -89,7 +89,7 @@ WITH {views.TOKENS}
 SELECT item_idx, role, count(*) AS tokens, round(sum(weight), 6) AS weight FROM b_probs GROUP BY ALL
 """)
 def j8(spark, sf):
-    looked_up = token_weights(*views.token_inputs(spark, sf), ["mid", "item_idx", "role"], 0.5, 1.0)
+    looked_up = token_weights(*views.token_inputs(spark, sf, weighed=False), ["mid", "item_idx", "role"], 0.5, 1.0)
     return looked_up.groupBy("item_idx", "role").agg(F.count(F.lit(1)).alias("tokens"), r6(F.sum("weight")).alias("weight"))
 
 

@@ -241,16 +241,20 @@ def counted_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return counted, materialise(vocabulary(counted), "vocabulary")
 
 
-def token_inputs(spark: SparkSession, sf: str, roles: tuple[str, ...] = ("doc", "gen")) -> tuple[DataFrame, DataFrame]:
-    """A model's probabilities of all tokens in each role, and the weights of the tokens; the texts are counted once."""
+def token_inputs(spark: SparkSession, sf: str, roles: tuple[str, ...] = ("doc", "gen"), weighed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A model's probabilities of all tokens in each role, and the weights of the tokens; the texts are counted once.
+
+    Tokens are words here and get their numbers from the vocabulary; where ``weighed``, they take their weights along from there.
+    """
     counted, vocab = counted_tokens(spark, sf)
     weights = materialise(inverse_log_frequency(token_frequencies(counted, vocab)), "token-weights")
     probability = {"doc": F.lit(1.0) / (2 + F.col("token_id") % 97), "gen": F.lit(1.0) / (2 + F.col("token_id") * 7 % 89)}
     each = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), probability[role].alias("prob")) for role in roles]))
-    numbered = lookup_join(tokens(spark, sf), weights.select("token", "token_id", "frequency"), "token", "frequency")
+    taken = ["weight"] if weighed else []
+    numbered = lookup_join(tokens(spark, sf), weights.select("token", "token_id", "frequency", *taken), "token", "frequency")
     probabilities = numbered.select(
-        F.lit("base").alias("mid"), F.col("doc_id").alias("item_idx"), "pos", "n_tokens", "token_id", each.alias("_r")
-    ).select("mid", "item_idx", "_r.role", "pos", "n_tokens", "token_id", "_r.prob")
+        F.lit("base").alias("mid"), F.col("doc_id").alias("item_idx"), "pos", "n_tokens", "token_id", *taken, each.alias("_r")
+    ).select("mid", "item_idx", "_r.role", "pos", "n_tokens", "token_id", *taken, "_r.prob")
     return probabilities, weights
 
 

@@ -90,11 +90,12 @@ def with_text_totals(tokens: DataFrame, text: list[str], totals: list[Column], l
 
 
 def token_weights(
-    probabilities: DataFrame, weights: DataFrame, text: list[str], weight_decay: float, frequency_importance: float
+    probabilities: DataFrame, weights: DataFrame | None, text: list[str], weight_decay: float, frequency_importance: float
 ) -> DataFrame:
     """Adds ``raw_weight``: position weight times frequency weight. A token without a weight is an error.
 
-    ``n_tokens`` is taken from the input where it has it, and counted otherwise. Where ``weights`` have the ``frequency``
+    ``n_tokens`` is taken from the input where it has it, and counted otherwise. Probabilities that met their weights where
+    their tokens were numbered carry them, and need no ``weights``. Where ``weights`` have the ``frequency``
     they were made from, frequent tokens are looked up where they lie and only rare ones are shuffled.
     """
     if "n_tokens" not in probabilities.columns:
@@ -102,7 +103,9 @@ def token_weights(
         probabilities = with_text_totals(probabilities, text, [size.alias("n_tokens")], size)
     unknown = F.raise_error(F.concat(F.lit("no weight for token "), F.col("token_id").cast("string")))
     found = F.when(F.col("weight").isNull(), unknown).otherwise(F.col("weight"))
-    if "frequency" in weights.columns:
+    if "weight" in probabilities.columns:
+        met = probabilities
+    elif "frequency" in weights.columns:
         met = lookup_join(probabilities, weights.select("token_id", "weight", "frequency"), "token_id", "frequency")
     else:
         met = probabilities.join(weights.select("token_id", "weight"), "token_id", "left")

@@ -40,6 +40,20 @@ def test_weighted_means(spark, monkeypatch, stretch, decay, importance):
     assert all(r["s"] == pytest.approx(1.0) for r in sums) and len(sums) == len(texts)
 
 
+def test_weights_from_a_table_with_frequencies_or_carried_along(spark):
+    """A lookup that knows frequencies, and probabilities that have their weights, give what a plain join gives."""
+    rows = table(spark, {"a": [0.5, 0.25, 0.125, 0.3], "b": [0.1]})
+    plain = tokens.token_weights(rows, weights(spark), ["text"], 0.3, 0.7)
+    counted = weights(spark).withColumn("frequency", F.lit(10) - F.col("token_id"))
+    wanted = sorted(map(tuple, plain.select("text", "pos", "raw_weight").collect()))
+    carried = rows.join(weights(spark), "token_id")
+    for found in (tokens.token_weights(rows, counted, ["text"], 0.3, 0.7), tokens.token_weights(carried, None, ["text"], 0.3, 0.7)):
+        assert sorted(map(tuple, found.select("text", "pos", "raw_weight").collect())) == wanted
+    few = counted.filter("token_id < 2")
+    with pytest.raises(PySparkException, match="no weight for token 2"):
+        tokens.token_weights(rows, few, ["text"], 0.3, 0.7).collect()
+
+
 def test_impossible_tokens(spark):
     """A probability of 0 makes the mean 0, or NaN where its weight is 0."""
     texts = {"first": [0.0, 0.5, 0.5], "last": [0.5, 0.5, 0.0]}
