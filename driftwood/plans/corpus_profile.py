@@ -15,8 +15,10 @@ from driftwood.session import materialise
 
 
 def _statistics(wide: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
+    # One row per repository, read for ranges and for bins; counting distinct values is the dear part.
+    repositories = materialise(repository_statistics(wide), "repository-statistics")
     return [
-        ("repositories", repository_statistics(wide), list(REPOSITORY_METRICS)),
+        ("repositories", repositories, list(REPOSITORY_METRICS)),
         ("versions", version_statistics(wide), list(VERSION_METRICS)),
     ]
 

@@ -62,7 +62,8 @@ def cut_entities(
     """What ``cut_dataset`` gives for the complete rows of the wide table, decided before that table is built.
 
     Groups, quotas and cuts come from the ids of complete versions and their repositories. Only the versions that are
-    drawn meet their functions, so the cost of all but the pass over ids follows the sample; no wide table is written.
+    drawn meet their functions, so the cost of all but the pass over ids follows the sample; of the wide table only the
+    sample is written.
     """
     if n is not None and share is not None:
         raise ValueError("give n or share, not both")
@@ -81,8 +82,10 @@ def cut_entities(
     def rows(candidates: DataFrame, ids: DataFrame) -> DataFrame:
         return wide_table(candidates.join(ids.select("id"), "id", "left_semi"), functions, files, repositories)
 
-    train, test = split_by_hash(rest, ["id"], train_fraction, seed + 2)
-    return Dataset(rows(versions, kept_out), rows(drawn, train), rows(drawn, test))
+    wide = rows(drawn, rest)
+    # What is drawn is read several times by those who make samples of it.
+    train, test = split_by_hash(wide if n is None else materialise(wide, "sample"), ["id"], train_fraction, seed + 2)
+    return Dataset(rows(versions, kept_out), train, test)
 
 
 def training_samples(train: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ RATING = _struct(judge=_S, answer=_S)
 # Number of shards per entity.
 SHARDS = {"repositories": 8, "files": 16, "functions": 32, "versions": 64}
 
-# The columns of the wide sample table, in order.
+# The columns of the wide sample table, in order.
 WIDE_COLUMNS = (
     "id", "code", "docstring", "code_updated", "docstring_updated", "code_similarity",
     "docstring_similarity", "last_version", "body_begin", "function_name", "filename", "repo_name",
