@@ -27,7 +27,7 @@ CUTS = "\t\n\r"          # characters before and behind which a text is cut if n
 class PieceVocabulary:
     """Pieces, scores and ids of a merge-type (BPE) model with byte fallback, read through the library."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -50,7 +50,7 @@ class PieceVocabulary:
         steps = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.place = {piece: steps[score] for piece, score in self.scores.items()}
         self._tabulate()
-        self.known = Remembered(REMEMBERED)
+        self.known = Remembered(remembered)
         self.fresh: dict[str, bytes] = {}
         self.check_supported()
 
@@ -265,12 +265,12 @@ def _without(matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
     return matrix[keep].reshape(len(matrix), -1)
 
 
-def _coded(batches, model, check: str, part: int):
+def _coded(batches, model, check: str, part: int, remembered: int):
     held = model.value
     # A later task of the same worker process finds the vocabulary with all the segments it remembers.
     vocabulary = held.get("vocabulary")
     if vocabulary is None:
-        vocabulary = held["vocabulary"] = PieceVocabulary(held["model"])
+        vocabulary = held["vocabulary"] = PieceVocabulary(held["model"], remembered)
     for batch in batches:
         for rows, texts in parts_of(batch, size=part):
             ids = vocabulary.encode_many(texts)
@@ -299,13 +299,15 @@ def _compare_decoded(library, ids: list[np.ndarray], decoded: list[str]) -> None
         raise ValueError("a decoded text differs from the library's")
 
 
-def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 1_500_000) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: str = "segments", part: int = 1_500_000,
+                 remembered: int = REMEMBERED) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``ids`` (no begin or end ids) and ``decoded``, the text read back from them.
 
     Null texts are empty and have no ids. Each worker merges the segments, words with the spaces before them, that are new
     in a part of an Arrow batch side by side, and remembers a bounded number of short ones, those asked for again before others. ``check`` holds the work of each Arrow batch against the
     library and fails on any difference: "segments" those merged anew and every decoded text, "texts" all whole texts and their decoding,
-    "none" nothing. ``part`` bounds the characters whose ids are held at a time; a longer text is a part of its own.
+    "none" nothing. ``part`` bounds the characters whose ids are held at a time; a longer text is a part of its own. Smaller
+    parts and fewer segments ``remembered`` need less memory and more time; the rows are the same.
     """
     if check not in ("segments", "texts", "none"):
         raise ValueError("check must be 'segments', 'texts' or 'none'")
@@ -313,5 +315,5 @@ def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", check: s
         model = docs.sparkSession.sparkContext.broadcast({"model": file.read()})
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _coded(batches, model, check, part), f"id {kind}, ids array<int>, decoded string"
+        lambda batches: _coded(batches, model, check, part, remembered), f"id {kind}, ids array<int>, decoded string"
     )
