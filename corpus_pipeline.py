@@ -45,8 +45,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, the ids of the whole text, their number, and the text decoded from them."""
-    coded = encode_texts(docs, public_tokenizers.path(PIECES))
+    """``doc_id``, the ids of the whole text, their number, and the text decoded from them.
+
+    The workers hold what earlier stages left with them, so this one takes smaller parts than a query of its own.
+    """
+    coded = encode_texts(docs, public_tokenizers.path(PIECES), part=400_000, remembered=80_000)
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
