@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwood.functions.batches import slices
 from driftwood.functions.text import dedent, docstring_span, remove_docstring
 
 # The parser travels to the executors by value, so that they need not have this package.
@@ -78,8 +80,11 @@ def _functions_of(source: str | None) -> list[dict] | None:
 
 
 @F.arrow_udf(_FOUND)
-def parse_functions(sources: pa.Array) -> pa.Array:
-    return pa.array([_functions_of(s.as_py()) for s in sources], type=_FOUND_ARROW)
+def parse_functions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Hands on what it finds slice by slice: of a batch, only one slice's functions are held."""
+    for batch in batches:
+        for part in slices([batch]):
+            yield pa.array([_functions_of(s.as_py()) for s in batch.slice(*part)], type=_FOUND_ARROW)
 
 
 def parsed(df: DataFrame, source: str = "source") -> DataFrame:
