@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from driftwood.functions.batches import slices
 from driftwood.functions.similarity import similarity
 from driftwood.session import materialise
 
@@ -37,33 +38,33 @@ def _same(left: pa.Array, right: pa.Array) -> pa.Array:
 def _shifted(batches, keys: list[str], values: list[str]):
     """Sorted rows with the values of the row before where it is of the same chain; marks the first and the last row.
 
-    Works on whole columns; of the rows passed only one batch is held back, until it is known not to be the last.
+    Works on whole columns, slice by slice, as looking back copies the values; of the rows passed only one slice is held
+    back, until it is known not to be the last.
     """
     before, waiting = None, None
+    looked_at = list(dict.fromkeys([*keys, *values]))
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        if waiting is not None:
-            yield waiting
-        shifted = {}
-        for name in dict.fromkeys([*keys, *values]):
-            column = batch.column(name)
-            first = pa.nulls(1, column.type) if before is None else before[name]
-            shifted[name] = pa.concat_arrays([first, column.slice(0, n - 1)])
-        inside = pa.array([before is not None, *[True] * (n - 1)])
-        for key in keys:
-            inside = pc.and_(inside, _same(batch.column(key), shifted[key]))
-        columns = [pc.if_else(inside, shifted[v], pa.nulls(n, shifted[v].type)) for v in values]
-        edge = pa.array([before is None, *[False] * (n - 1)])
-        before = {name: batch.column(name).slice(n - 1, 1) for name in shifted}
-        names = [*batch.schema.names, *[f"_prev_{v}" for v in values], "_has_prev", "_first", "_last"]
-        done = pa.RecordBatch.from_arrays([*batch.columns, *columns, inside, edge, pa.array([False] * n)], names=names)
-        waiting = done.slice(n - 1, 1)
-        if n > 1:
-            yield done.slice(0, n - 1)
+        for begin, n in slices([batch.column(name) for name in looked_at]):
+            rows = batch.slice(begin, n)
+            if waiting is not None:
+                yield waiting
+            shifted = {}
+            for name in looked_at:
+                column = rows.column(name)
+                first = pa.nulls(1, column.type) if before is None else before[name]
+                shifted[name] = pa.concat_arrays([first, column.slice(0, n - 1)])
+            inside = pa.array([before is not None, *[True] * (n - 1)])
+            for key in keys:
+                inside = pc.and_(inside, _same(rows.column(key), shifted[key]))
+            columns = [pc.if_else(inside, shifted[v], pa.nulls(n, shifted[v].type)) for v in values]
+            edge = pa.array([before is None, *[False] * (n - 1)])
+            # A copy, which does not keep the slice's texts.
+            before = {name: rows.column(name).take(pa.array([n - 1])) for name in looked_at}
+            names = [*rows.schema.names, *[f"_prev_{v}" for v in values], "_has_prev", "_first", "_last"]
+            waiting = pa.RecordBatch.from_arrays([*rows.columns, *columns, inside, edge, pa.array([False] * n)], names=names)
     if waiting is not None:
-        yield pa.RecordBatch.from_arrays([*waiting.columns[:-1], pa.array([True])], names=waiting.schema.names)
+        last = pa.array([*[False] * (waiting.num_rows - 1), True])
+        yield pa.RecordBatch.from_arrays([*waiting.columns[:-1], last], names=waiting.schema.names)
 
 
 def with_previous(
