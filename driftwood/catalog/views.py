@@ -106,15 +106,20 @@ def chain_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     def text(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    key = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    order = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    versions = table(spark, sf, "lineitem").select(
+    # Chains are sorted before texts are made, and by the name the join goes by, so that these rows are shuffled once and without texts.
+    order = W.partitionBy("function").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    linked = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("function"), "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_linestatus", "l_returnflag",
+        (F.col("l_quantity") > 25).alias("code_updated"), "l_discount", "l_tax",
+    ).withColumn("_previous", F.lag("l_linenumber").over(order))
+    key = F.concat_ws("|", "function", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    versions = linked.select(
         key.alias("id"),
-        text("def f_", F.col("l_orderkey"), "(x):\n    # ", F.col("l_linestatus"), "\n\n\n    return x + ", F.col("l_partkey")).alias("code"),
-        text(F.col("l_returnflag"), " order ", F.col("l_orderkey"), " supplier ", F.col("l_suppkey")).alias("docstring"),
-        (F.col("l_quantity") > 25).alias("code_updated"), (F.col("l_discount") > 0.05).alias("docstring_updated"),
+        text("def f_", F.col("function"), "(x):\n    # ", F.col("l_linestatus"), "\n\n\n    return x + ", F.col("l_partkey")).alias("code"),
+        text(F.col("l_returnflag"), " order ", F.col("function"), " supplier ", F.col("l_suppkey")).alias("docstring"),
+        "code_updated", (F.col("l_discount") > 0.05).alias("docstring_updated"),
         (F.col("l_discount") * 10).alias("code_similarity"), (F.col("l_tax") * 10).alias("docstring_similarity"),
-        F.col("l_orderkey").alias("function"), F.lag("l_linenumber").over(order).cast("string").alias("last_version"),
+        "function", F.col("_previous").cast("string").alias("last_version"),
     )
     functions = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("file")

@@ -29,13 +29,19 @@ def repository_statistics(wide: DataFrame) -> DataFrame:
     )
 
 
-def version_statistics(wide: DataFrame) -> DataFrame:
+def profiled_columns(wide: DataFrame) -> DataFrame:
+    """What the statistics read of the wide table: of texts only their lengths."""
+    constant = ["stars", "watchers", "forks", "contributors", "open_issues", "contributions", "size"]
     return wide.select(
-        "id", F.length("code").alias("code_lengths"), F.length("docstring").alias("docstring_lengths"),
-        "code_similarity", "docstring_similarity",
+        "id", "repo_name", "function_name", *constant, F.length("code").alias("code_lengths"),
+        F.length("docstring").alias("docstring_lengths"), "code_similarity", "docstring_similarity",
     )
 
 
+def version_statistics(profiled: DataFrame) -> DataFrame:
+    return profiled.select("id", *VERSION_METRICS)
+
+
 def distinct_values(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct(column) if approximate else F.countDistinct(column)
     return df.agg(count.alias("distinct_values"))

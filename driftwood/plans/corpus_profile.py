@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftwood.operators.hashorder import sample_rows
 from driftwood.operators.profile import (
-    REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, pair_density, repository_statistics,
-    version_statistics,
+    REPOSITORY_METRICS, VERSION_METRICS, density, long_metrics, pair_density, profiled_columns,
+    repository_statistics, version_statistics,
 )
 from driftwood.operators.relations import wide_table
 from driftwood.session import materialise
@@ -27,13 +27,13 @@ def profiled_table(
     versions: DataFrame, functions: DataFrame, files: DataFrame, repositories: DataFrame,
     n: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """The wide table of the versions to profile, as a stage table: ranges and densities read it several times.
+    """What is profiled of the wide table, as a stage table without texts: ranges and densities read it several times.
 
     All versions unless a sample of ``n`` is asked for; a version makes one wide row, so then only the sample is
     joined and cleaned.
     """
     sampled = versions if n is None else sample_rows(versions, ["id"], n, seed)
-    return materialise(wide_table(sampled, functions, files, repositories), "profiled")
+    return materialise(profiled_columns(wide_table(sampled, functions, files, repositories)), "profiled")
 
 
 def densities(wide: DataFrame) -> DataFrame:
