@@ -113,33 +113,21 @@ def fill_level(sizes: DataFrame, n: int) -> tuple[int, int]:
     return divmod(n - step["_below"], step["_open"])
 
 
-def balanced_sample(
-    df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, at_most: bool = False,
-    max_broadcast_groups: int = 200_000, replace: bool = False,
+def balanced_cuts(
+    df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, max_broadcast_groups: int = 200_000, sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Exactly ``n`` rows, spread over the groups as evenly as their sizes allow.
+    """The last hash, ``_cut``, that each group gives to a balanced sample of ``n`` rows; groups that give none are left out.
 
-    Every group gives the same number of rows or all it has; what is missing is taken one row each from the
-    first groups in key order. Inside a group the rows come in hash order. A group of any size works: its
-    rows are counted per hash prefix, and only the prefix holding the last row to take is sorted. Too large
-    an ``n`` is an error, or with ``at_most`` gives all rows; with ``replace`` all rows and as many draws from them with
-    replacement as are missing.
+    A row is drawn if its hash is not above the cut of its group. ``sizes`` are the rows per group where they are known.
+    The result is marked for broadcasting unless the groups are many.
     """
     if n <= 0:
         if n < 0:
             raise ValueError("n must not be negative")
-        return df.limit(0)
+        return df.limit(0).select(group, F.lit(ABOVE_ALL).alias("_cut"))
     hashed = df.select(F.col(group), hash_of(seed, *[F.col(k) for k in key]).alias("_hash"))
-    # One row per group, read several times below.
-    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
-    if at_most or replace:
-        rows = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()["n"]
-        if rows <= n and (at_most or rows in (0, n)):
-            return df
-        if rows < n:
-            again = draws_with_replacement(df, key, n - rows, seed)
-            copies = again.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-            return df.unionByName(copies.select(*df.columns))
+    if sizes is None:
+        sizes = _group_sizes(df, group)
     level, extra = fill_level(sizes, n)
     last = sizes.filter(F.col("_size") > level).select(group).orderBy(group).limit(extra).agg(F.max(group).alias("last"))
     quota = F.lit(level) if extra == 0 else F.when(F.col(group) <= last.scalar(), F.lit(level + 1)).otherwise(F.lit(level))
@@ -168,8 +156,42 @@ def balanced_sample(
     )
     whole = quotas.filter(F.col("_quota") >= F.col("_size")).select(group, F.lit(ABOVE_ALL).alias("_cut"))
     limits = cuts.unionByName(whole)
+    return F.broadcast(limits) if few else limits
+
+
+def _group_sizes(df: DataFrame, group: str) -> DataFrame:
+    """One row per group, read several times."""
+    return materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+
+
+def balanced_sample(
+    df: DataFrame, group: str, key: list[str], n: int, seed: int = 42, at_most: bool = False,
+    max_broadcast_groups: int = 200_000, replace: bool = False,
+) -> DataFrame:
+    """Exactly ``n`` rows, spread over the groups as evenly as their sizes allow.
+
+    Every group gives the same number of rows or all it has; what is missing is taken one row each from the
+    first groups in key order. Inside a group the rows come in hash order. A group of any size works: its
+    rows are counted per hash prefix, and only the prefix holding the last row to take is sorted. Too large
+    an ``n`` is an error, or with ``at_most`` gives all rows; with ``replace`` all rows and as many draws from them with
+    replacement as are missing.
+    """
+    if n <= 0:
+        if n < 0:
+            raise ValueError("n must not be negative")
+        return df.limit(0)
+    sizes = _group_sizes(df, group)
+    if at_most or replace:
+        rows = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()["n"]
+        if rows <= n and (at_most or rows in (0, n)):
+            return df
+        if rows < n:
+            again = draws_with_replacement(df, key, n - rows, seed)
+            copies = again.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+            return df.unionByName(copies.select(*df.columns))
+    limits = balanced_cuts(df, group, key, n, seed, max_broadcast_groups, sizes)
     return (
-        df.join(F.broadcast(limits) if few else limits, group)
+        df.join(limits, group)
         .filter(hash_of(seed, *[F.col(k) for k in key]) <= F.col("_cut"))
         .select(*df.columns)
     )

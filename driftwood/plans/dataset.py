@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.hashing import hash_of
 from driftwood.functions.text import training_prompt
-from driftwood.operators.hashorder import balanced_sample, sample_rows, split_by_hash, with_negatives
+from driftwood.operators.hashorder import balanced_cuts, balanced_sample, sample_rows, split_by_hash, with_negatives
 from driftwood.operators.relations import complete_rows, hold_out, sample_keys, wide_table
 from driftwood.session import materialise
 
@@ -71,21 +71,24 @@ def cut_entities(
     kept_out, rest = hold_out(keys, "repo_name", held_out_groups(keys, "repo_name", ["id"], held, seed))
     if share is not None:
         n = int(rest.count() * share + 1e-9)
-    drawn = versions
-    if n is not None:
-        rest = materialise(balanced_sample(rest, "repo_name", ["id"], n, seed + 1), "drawn-keys")
-        # No version above the last hash drawn can be in the sample; these go before any join.
-        digest = hash_of(seed + 1, F.col("id"))
-        last = rest.agg(F.max(digest).alias("last"))
-        drawn = versions.filter(digest <= F.coalesce(last.scalar(), F.lit("")))
 
-    def rows(candidates: DataFrame, ids: DataFrame) -> DataFrame:
-        return wide_table(candidates.join(ids.select("id"), "id", "left_semi"), functions, files, repositories)
+    def rows(ids: DataFrame) -> DataFrame:
+        return wide_table(versions.join(ids.select("id"), "id", "left_semi"), functions, files, repositories)
 
-    wide = rows(drawn, rest)
+    if n is None:
+        wide = rows(rest)
+    else:
+        # One row per repository. No version above the last hash drawn can be in the sample; these go before any join, and the
+        # others meet their repository's cut where they meet their repository: no version is shuffled to find its id.
+        cuts = materialise(balanced_cuts(rest, "repo_name", ["id"], n, seed + 1), "cuts")
+        digest = hash_of(seed + 1, F.col("id"))
+        last = cuts.agg(F.max("_cut").alias("last"))
+        drawn = versions.filter(digest <= F.coalesce(last.scalar(), F.lit("")))
+        complete = wide_table(drawn, functions, files, repositories, complete_only=True)
+        wide = complete.join(cuts, "repo_name").filter(digest <= F.col("_cut")).select(*complete.columns)
     # What is drawn is read several times by those who make samples of it.
     train, test = split_by_hash(wide if n is None else materialise(wide, "sample"), ["id"], train_fraction, seed + 2)
-    return Dataset(rows(versions, kept_out), train, test)
+    return Dataset(rows(kept_out), train, test)
 
 
 def training_samples(train: DataFrame) -> DataFrame:
