@@ -12,7 +12,7 @@ from driftwood.operators import chains
 from driftwood.operators.confusion import best_thresholds, marked_curve
 from driftwood.operators.hashorder import batches
 from driftwood.operators.packing import assign_blocks, fill_blocks
-from driftwood.operators.tokens import normalised_weights, position_weight, token_weights, words
+from driftwood.operators.tokens import normalised_weights, position_weight, texts_together, token_weights, words
 from driftwood.plans.tuning import tune
 
 CHAIN = ["conv_id"]
@@ -92,7 +92,8 @@ WITH {WEIGHTED_SQL}
 SELECT item_idx, pos, token_id, round(pw * fw / nullif(sum(pw * fw) OVER (PARTITION BY item_idx), 0) * 100, 6) AS percent FROM b_raw WHERE role = 'doc'
 """)
 def w7(spark, sf):
-    weighted = token_weights(*views.token_inputs(spark, sf, ("doc",)), ["item_idx"], 0.3, 0.7)
+    probabilities, weights = views.token_inputs(spark, sf, ("doc",))
+    weighted = token_weights(texts_together(probabilities, ["item_idx"]), weights, ["item_idx"], 0.3, 0.7)
     return normalised_weights(weighted, ["item_idx"]).select(
         "item_idx", F.col("pos").cast("long").alias("pos"), "token_id", r6(F.col("norm_weight") * 100).alias("percent"))
 

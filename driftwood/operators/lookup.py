@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwood.session import materialise
 
 # A key of more than one row in so many is looked up from a broadcast table, which so has at most this many rows.
-HEAVY = 4096
+HEAVY = 65_536
 
 
 def split_by_frequency(table: DataFrame, frequency: str, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:

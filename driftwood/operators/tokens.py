@@ -116,6 +116,14 @@ def token_weights(
     )
 
 
+def texts_together(probabilities: DataFrame, text: list[str]) -> DataFrame:
+    """Tokens dealt out by their texts before their weights are multiplied, for a window over a text's tokens.
+
+    Numbers and weights of tokens repeat, so a shuffle packs them well; their products with the weights of positions do not.
+    """
+    return probabilities.repartition(*text)
+
+
 def normalised_weights(weighted: DataFrame, text: list[str]) -> DataFrame:
     """Adds ``norm_weight``, the weights of each text summing to 1.
 
