@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import pickle
 import sys
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import fold, parts_of
+from driftwood.llm.common import fold, groups_in, parts_of
 from driftwood.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,13 +23,19 @@ WORDS = 63           # most frequent words, a class of their own each, at least
 BUCKETS = 32         # classes of the other words, by their last bytes, at least
 CLASSES = 1 + WORDS + BUCKETS   # class 0 is the end of a text, and also stands before its first word
 GROWTH = 8           # classes for each fourth root of the distinct words, above ``CLASSES``
-STEPS = 2500         # of training, at least
+WIDTH = 24           # of a class's vectors
+STEPS = 2500         # of training, for each shard of the table of runs
+BATCH = 1024         # runs drawn for a step
+AHEAD = 64           # steps whose runs are drawn at once
 DRAWS = 2            # runs drawn in training for each row of the table of runs, at least
+SHARD_RUNS = STEPS * BATCH // DRAWS   # rows of a shard, about
+ROUNDS = 10          # of training, if there are several shards; behind each their parameters are averaged
 ENDING = 3
 TOP = 65_536         # frequent words, at most, whose counts each task gets
 TOP_BYTES = 64       # a longer word is looked up like a rare one
 HELD_WORDS = 500_000   # distinct words that a counting task holds before it hands them on
 HELD_RUNS = 2_000_000  # and distinct runs
+HANDED = 65_536        # rows that it hands on at once
 LOG10 = np.log(10.0)
 
 
@@ -59,9 +65,11 @@ def bucket_column(word: Column, buckets: int = BUCKETS) -> Column:
 
 
 def _counted(batches):
-    def batch_of(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    def rows_of(counts):
+        given = iter(counts.items())
+        while some := list(islice(given, HANDED)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.decode() for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
 
     counts: Counter = Counter()
     for batch in batches:
@@ -69,9 +77,9 @@ def _counted(batches):
             for text in texts:
                 counts.update(tokens(text))
         if len(counts) > HELD_WORDS:
-            yield batch_of(counts)
+            yield from rows_of(counts)
             counts = Counter()
-    yield batch_of(counts)
+    yield from rows_of(counts)
 
 
 def _classed(classes: dict[bytes, int], words: list[bytes], known: dict[bytes, int], numbers: tuple[int, int]) -> list[int]:
@@ -112,6 +120,10 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _run_counts(batches, classes, numbers):
+    def rows_of(held):
+        for i in range(0, len(held[0]), HANDED):
+            yield pa.RecordBatch.from_arrays([pa.array(h[i:i + HANDED]) for h in held], names=["run", "n"])
+
     known, held, parts, waiting = dict(classes), (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
     for batch in batches:
         for _, texts in parts_of(batch):
@@ -120,58 +132,81 @@ def _run_counts(batches, classes, numbers):
             if waiting > HELD_RUNS // 2:
                 held, parts, waiting = _merged([held, *parts]), [], 0
             if len(held[0]) > HELD_RUNS:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["run", "n"])
+                yield from rows_of(held)
                 held = held[0][:0], held[1][:0]
-    held = _merged([held, *parts])
-    yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["run", "n"])
+    yield from rows_of(_merged([held, *parts]))
+
+
+def _views(flat: np.ndarray, classes: int, width: int) -> dict[str, np.ndarray]:
+    """The parameters as arrays over one flat vector."""
+    shapes, found, at = {"context": (classes, width), "target": (classes, width), "far": (width, width), "near": (width, width), "bias": (classes,)}, {}, 0
+    for name, shape in shapes.items():
+        found[name] = flat[at:at + math.prod(shape)].reshape(shape)
+        at += math.prod(shape)
+    return found
 
 
-def fit(runs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width: int = 24, noise: int = 10, steps: int | None = None, batch: int = 1024,
-        seed: int = 1) -> dict[str, np.ndarray]:
-    """Vectors of the contexts' two places, targets, biases, and the logarithm of each context's sum of scores.
+def started(frequency: np.ndarray, width: int = WIDTH, seed: int = 1) -> np.ndarray:
+    """Parameters before training, and the means of their gradients and of the gradients' squares: three flat vectors."""
+    generator, classes = np.random.default_rng(seed), len(frequency)
+    parts = [generator.normal(0, 0.1, 2 * classes * width), np.eye(width).ravel() * 0.5, np.eye(width).ravel() * 0.5, np.log(frequency)]
+    state = np.zeros((3, sum(map(len, parts))))
+    state[0] = np.concatenate(parts)
+    return state
+
+
+def learned(state: np.ndarray, runs: np.ndarray, counts: np.ndarray, frequency: np.ndarray, first: int, last: int, steps: int, width: int = WIDTH,
+            noise: int = 10, batch: int = BATCH, seed: int = 1, shard: int = 0) -> np.ndarray:
+    """The state after steps ``first`` to ``last`` of ``steps`` on some runs.
 
     The next class is predicted from a context's vectors, each turned by a matrix of its place: score = prediction .
     target + bias. Noise-contrastive estimation tells the observed next class from ``noise`` ones drawn by their
-    frequency, in minibatches drawn by the runs' counts; as many as there are runs to see, unless ``steps`` says. Scores,
-    gradients and, at the end, the sums that normalise are batched matrix products.
+    frequency, in minibatches drawn by the runs' counts. Scores and gradients are batched matrix products.
     """
-    if not len(runs):
-        none = np.zeros((classes, width))
-        return {"far": none, "near": none, "target": none, "bias": np.zeros(classes), "norm": np.full(classes**2, np.log(classes))}
-    if steps is None:
-        steps = max(STEPS, math.ceil(DRAWS * len(runs) / batch))
-    generator = np.random.default_rng(seed)
-    before, last, following = runs // classes**2, runs // classes % classes, runs % classes
-    frequency = np.bincount(following, weights=counts, minlength=classes) + 0.5
-    frequency = frequency / frequency.sum()
-    drawn, noise_drawn = np.cumsum(counts) / counts.sum(), np.cumsum(frequency)
-    offset = np.log(noise * frequency)
-    names = ["context", "target", "far", "near", "bias"]
-    p = {"context": generator.normal(0, 0.1, (classes, width)), "target": generator.normal(0, 0.1, (classes, width)),
-         "far": np.eye(width) * 0.5, "near": np.eye(width) * 0.5, "bias": np.log(frequency)}
-    mean, square = {k: np.zeros_like(p[k]) for k in names}, {k: np.zeros_like(p[k]) for k in names}
+    generator, classes = np.random.default_rng([seed, shard, first]), len(frequency)
+    drawn = np.cumsum(counts) / counts.sum()
+    offset = np.log(noise * frequency).astype(np.float32)
+    state = state.astype(np.float32)
+    values, mean, square = state
+    p = _views(values, classes, width)
     rows = np.arange(batch)[:, None]
-    for step in range(1, steps + 1):
-        chosen = np.minimum(np.searchsorted(drawn, generator.random(batch)), len(runs) - 1)
-        a, b, c = before[chosen], last[chosen], following[chosen]
-        others = np.minimum(np.searchsorted(noise_drawn, generator.random((batch, noise))), classes - 1)
+    for step in range(first + 1, last + 1):
+        at = (step - first - 1) % AHEAD
+        if not at:
+            # Runs and noise of the next steps: looked up in order, then shuffled.
+            n = batch * min(AHEAD, last + 1 - step)
+            ahead = generator.permutation(runs[np.minimum(np.searchsorted(drawn, np.sort(generator.random(n))), len(runs) - 1)]).reshape(-1, batch)
+            noise_ahead = generator.permutation(np.repeat(np.arange(classes), generator.multinomial(n * noise, frequency))).reshape(-1, batch, noise)
+        chosen, others = ahead[at], noise_ahead[at]
+        a, b, c = chosen // classes**2, chosen // classes % classes, chosen % classes
         far, near = p["context"][a], p["context"][b]
         prediction = far @ p["far"] + near @ p["near"]
         picked = np.concatenate([c[:, None], others], axis=1)
         data = 1 / (1 + np.exp(np.clip((prediction @ p["target"].T)[rows, picked] + (p["bias"] - offset)[picked], -30, 30)))
         # data: chance that the class is noise. The error pulls the observed class up and the drawn ones down.
-        error = np.zeros((batch, classes))
-        np.add.at(error, (rows, others), data[:, 1:] - 1)
-        error[rows[:, 0], c] += data[:, 0]
-        error /= batch
+        data[:, 1:] -= 1
+        error = np.zeros(batch * classes, dtype=np.float32)
+        np.add.at(error, (rows * classes + picked).ravel(), data.ravel() / batch)
+        error = error.reshape(batch, classes)
         back = error @ p["target"]
-        gradient = {"target": error.T @ prediction, "bias": error.sum(axis=0), "far": far.T @ back, "near": near.T @ back,
-                    "context": _summed(a, back @ p["far"].T, classes) + _summed(b, back @ p["near"].T, classes)}
+        context = _summed(a, back @ p["far"].T, classes) + _summed(b, back @ p["near"].T, classes)
+        gradient = np.concatenate([part.ravel() for part in (context, error.T @ prediction, far.T @ back, near.T @ back, error.sum(axis=0))])
         rate = 0.02 * (1 - step / (steps + 1))
-        for k in names:
-            mean[k] = 0.9 * mean[k] + 0.1 * gradient[k]
-            square[k] = 0.999 * square[k] + 0.001 * gradient[k] ** 2
-            p[k] += rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+        mean += 0.1 * (gradient - mean)
+        square += 0.001 * (gradient**2 - square)
+        values += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return state.astype(np.float64)
+
+
+def _summed(rows: np.ndarray, values: np.ndarray, classes: int) -> np.ndarray:
+    """Sums of the values' rows by class."""
+    width = values.shape[1]
+    return np.bincount((rows[:, None] * width + np.arange(width)).ravel(), values.ravel(), classes * width).astype(np.float32)
+
+
+def finished(state: np.ndarray, classes: int, width: int = WIDTH) -> dict[str, np.ndarray]:
+    """Vectors of the contexts' two places, targets, biases, and the logarithm of each context's sum of scores."""
+    p = _views(state[0], classes, width)
     far, near, norm = p["context"] @ p["far"], p["context"] @ p["near"], []
     for one in far:
         scores = (one + near) @ p["target"].T + p["bias"]
@@ -180,6 +215,16 @@ def fit(runs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width: int
     return {"far": far, "near": near, "target": p["target"], "bias": p["bias"], "norm": np.concatenate(norm)}
 
 
+def _frequency(following: np.ndarray) -> np.ndarray:
+    return (following + 0.5) / (following + 0.5).sum()
+
+
+def fit(runs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, steps: int = STEPS, **settings) -> dict[str, np.ndarray]:
+    """The model of a table of runs at hand."""
+    frequency = _frequency(np.bincount(runs % classes, weights=counts, minlength=classes))
+    return finished(learned(started(frequency), runs, counts, frequency, 0, steps, steps, **settings), classes)
+
+
 def log_chances(model: dict[str, np.ndarray], runs: np.ndarray) -> np.ndarray:
     """log10 of the chance of each run's last class behind the two others."""
     classes = len(model["bias"])
@@ -196,19 +241,62 @@ def train(runs: np.ndarray, counts: np.ndarray, **settings) -> np.ndarray:
     return log_chances(model, np.arange(classes**3)).reshape(classes**2, classes)
 
 
-def _trained(batches, classes: int):
-    parts = [(b.column("run").to_numpy(), b.column("n").to_numpy()) for b in batches]
-    runs, counts = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
-    del parts
-    order = np.argsort(runs, kind="stable")
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(runs[order], counts[order], classes))], pa.binary())], names=["model"])
+def _sharded(batches):
+    """One row for each shard of the table of runs: in order, steps between runs and their counts, packed."""
+    for table in groups_in(batches, ["shard"]):
+        runs, counts = (table.column(c).to_numpy().astype(np.int64) for c in ("run", "n"))
+        yield pa.RecordBatch.from_arrays(
+            [table.column("shard").slice(0, 1).combine_chunks(), *(pa.array([zlib.compress(c.tobytes(), 1)], pa.binary()) for c in (np.diff(runs, prepend=0), counts))],
+            names=["shard", "runs", "counts"])
 
 
-def _summed(rows: np.ndarray, values: np.ndarray, classes: int) -> np.ndarray:
-    """Sums of the values' rows by class, as one matrix product."""
-    one_hot = np.zeros((classes, len(rows)))
-    one_hot[rows, np.arange(len(rows))] = 1
-    return one_hot @ values
+def _learned(batches, state: np.ndarray, frequency: np.ndarray, first: int, last: int):
+    for batch in batches:
+        for shard, *columns in zip(*(batch.column(c) for c in ("shard", "runs", "counts"))):
+            steps, counts = (np.frombuffer(zlib.decompress(c.as_buffer()), dtype=np.int64) for c in columns)
+            after = learned(state, np.cumsum(steps), counts, frequency, first, last, STEPS, shard=shard.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard.as_py()], pa.int32()), pa.array([float(counts.sum())]), pa.array([after.tobytes()], pa.binary())], names=["shard", "weight", "state"])
+
+
+def _mean_state(weights: list[float], states: list[bytes]) -> np.ndarray:
+    return sum(w / sum(weights) * np.frombuffer(s) for w, s in zip(weights, states)).reshape(3, -1)
+
+
+def _averaged(batches):
+    for table in groups_in(batches, ["part"]):
+        weights = table.column("weight").to_pylist()
+        mean = _mean_state(weights, table.column("state").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [table.column("part").slice(0, 1).combine_chunks(), pa.array([sum(weights)]), pa.array([mean.tobytes()], pa.binary())], names=["part", "weight", "state"])
+
+
+def train_shards(runs: DataFrame, classes: int, label: str = "log-bilinear") -> dict[str, np.ndarray]:
+    """The model of a written table of runs ``(run, n)``, trained by as many tasks as its rows ask for.
+
+    The table is dealt into shards of about ``SHARD_RUNS`` rows by the runs' hashes. In each of ``ROUNDS`` rounds every
+    shard goes on from the same state by its part of ``STEPS`` steps on its own runs, and the states are averaged by
+    the shards' counts. So a task holds one shard, the steps follow the rows, and only averages reach the driver.
+    """
+    following = np.zeros(classes)
+    for r in runs.groupBy((F.col("run") % classes).alias("last")).agg(F.sum("n").alias("n")).collect():
+        following[r["last"]] = r["n"]
+    frequency = _frequency(following)
+    state, shards = started(frequency), math.ceil(runs.count() / SHARD_RUNS)
+    if not shards:
+        return finished(np.zeros_like(state), classes)
+    dealt = runs.withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "run")
+    dealt = materialise(dealt.mapInArrow(_sharded, "shard int, runs binary, counts binary"), label)
+    rounds, parts = ROUNDS if shards > 1 else 1, math.isqrt(shards)
+    for k in range(rounds):
+        first, last = STEPS * k // rounds, STEPS * (k + 1) // rounds
+        after = dealt.mapInArrow(
+            lambda b, s=state, x=first, y=last: _learned(b, s, frequency, x, y), "shard int, weight double, state binary")
+        after = after.withColumn("part", F.col("shard") % parts).repartition(parts, "part").sortWithinPartitions("part", "shard")
+        found = sorted(after.mapInArrow(_averaged, "part int, weight double, state binary").collect())
+        state = _mean_state([r["weight"] for r in found], [r["state"] for r in found])
+    return finished(state, classes)
 
 
 def _scored(batches, shared):
@@ -255,7 +343,7 @@ def language_scores(docs: DataFrame, learn: Column, key: str = "doc_id") -> Data
     its class. Both are normalised.
 
     All words of the learning rows are counted, and all runs of three classes. Classes grow with the distinct words
-    (``class_numbers``), and training reads the table of runs, in steps that follow its rows. Frequent words are scored where the text lies;
+    (``class_numbers``), and tasks train on shards of the table of runs, in steps that follow its rows. Frequent words are scored where the text lies;
     the others, distinct in each text, meet their counts in one join, where no key is frequent.
     """
     spark, label = docs.sparkSession, "log-bilinear"
@@ -283,9 +371,7 @@ def language_scores(docs: DataFrame, learn: Column, key: str = "doc_id") -> Data
     top = {r["word"].encode(): r["n"] for r in frequent}
     classes = {w: i + 1 for i, w in enumerate(list(top)[:numbers[0]])}
     runs = training.mapInArrow(lambda b: _run_counts(b, classes, numbers), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    # One task trains: the table of runs grows slower than the distinct words.
-    size = 1 + sum(numbers)
-    trained = materialise(runs, label).coalesce(1).mapInArrow(lambda b: _trained(b, size), "model binary").first()["model"]
+    model = train_shards(materialise(runs, label), 1 + sum(numbers), label)
     # Words with a class of their own are not part of their bucket.
     size, types = np.zeros(numbers[1]), np.zeros(numbers[1])
     for r in of_bucket:
@@ -297,7 +383,7 @@ def language_scores(docs: DataFrame, learn: Column, key: str = "doc_id") -> Data
     n_tokens, distinct = n_words + ends, n_types + (1 if ends else 0)
     total = n_tokens + 0.5 * (distinct + 1)
     shared = spark.sparkContext.broadcast({
-        "classes": classes, "top": top, "model": pickle.loads(trained), "numbers": numbers, "total": total, "spread": spread,
+        "classes": classes, "top": top, "model": model, "numbers": numbers, "total": total, "spread": spread,
         "end": float(np.log10((ends + 0.5) / total)), "known_end": int(ends > 0)})
     scored = given.mapInArrow(
         lambda b: _scored(b, shared), f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, rare map<string,long>")

@@ -122,3 +122,23 @@ def test_contexts_of_more_words_are_learned(spark, monkeypatch):
     got = language_scores(spark.createDataFrame(texts, "doc_id long, text string"), ~held_out(F.col("doc_id"))).collect()
     held = [r for r in got if zlib.crc32(str(r["id"]).encode()) % 5 == 1]
     assert len(held) > 100 and sum(r["score"] for r in held) > 0.1 * sum(r["base_score"] for r in held)
+
+
+def test_shards_train_one_model(spark, monkeypatch):
+    """A table of runs that is larger than a shard: no task holds it, and the averaged model is as good."""
+    monkeypatch.setattr(lm, "SHARD_RUNS", 60_000)
+    learn = lm._learned
+
+    def watched(batches, *given):
+        def within(batch):
+            assert all(len(zlib.decompress(r.as_buffer())) // 8 < 65_000 for r in batch.column("runs"))
+            return batch
+        return learn(map(within, batches), *given)
+
+    monkeypatch.setattr(lm, "_learned", watched)
+    first, again = ({r["doc_id"]: r for r in QUERIES["op2_log_bilinear_scores"](spark, SF).collect()} for _ in range(2))
+    held = [r for r in first.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.99 * sum(r["base_score"] for r in held)
+    assert {i: r["score"] for i, r in again.items()} == pytest.approx({i: r["score"] for i, r in first.items()}, rel=1e-9)
+    model = lm.train_shards(lm.materialise(spark.range(150_000).selectExpr("id * 5 AS run", "id % 5 + 1 AS n"), "runs"), lm.CLASSES)
+    assert (10.0 ** lm.log_chances(model, np.arange(lm.CLASSES) + 5 * lm.CLASSES)).sum() == pytest.approx(1)
