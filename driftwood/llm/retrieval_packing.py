@@ -25,8 +25,9 @@ END = 1                  # closes each document
 K1, B = 1.2, 0.75        # of BM25
 QUERY = 32               # a seed asks for its heaviest distinct tokens
 SHARD = 1 << 20          # tokens of one shard of the index
-REMEMBERED = 400_000     # words of a generation whose ids a worker keeps at hand, with the marks behind them and without
+REMEMBERED = 600_000     # words of a generation, without the marks behind them, whose ids a worker keeps at hand
 JOINED = 500             # words that the library reads as one text
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"   # that neither composition nor lower-casing turns into several
 MARKS = string.punctuation.replace("'", "")   # may close a word without a change to the ids of its letters
 SPREAD = 4               # shards that one task packs
 
@@ -44,32 +45,43 @@ class WordTokens:
 
         self.library = Tokenizer.from_str(model)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known, self.letters = Remembered(REMEMBERED), Remembered(REMEMBERED)
-        # Letters that neither composition nor lower-casing turns into several, with the marks behind them.
-        self.plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
+        self.known = Remembered(REMEMBERED)
+        self.plain = re.compile(f"[{LETTERS}]+").fullmatch
+        self.parts = f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{re.escape(MARKS)}]*)$"
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         if any(content.content.split() != [content.content] for content in self.library.get_added_tokens_decoder().values()):
             raise ValueError("a special token of the vocabulary holds white space")
+        self.short = self._without_patterns(model)
         probe = "A word,  and\tanother's\n\n3 <|x|> é ﬁ"
         if self.library.encode(probe, add_special_tokens=False).ids != self.encode([probe])[0].tolist():
             raise ValueError("the vocabulary keeps white space, so its words cannot be told apart")
 
+    def _without_patterns(self, model: str):
+        """The library for ASCII letters in lower case between blanks, which its patterns leave whole; itself if they don't."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        short = Tokenizer.from_str(model)
+        short.normalizer, short.pre_tokenizer = None, pre_tokenizers.CharDelimiterSplit(" ")
+        words = [w for w in (piece.removesuffix("</w>") for piece in sorted(self.library.get_vocab())[::20]) if w.isascii() and self.plain(w)]
+        probe = " ".join([*words, *(a + b for a, b in zip(words, words[::-1])), *string.ascii_letters, string.ascii_letters])
+        found = [t.encode(p, add_special_tokens=False).ids for t, p in ((self.library, probe), (short, probe.lower()))]
+        return short if found[0] == found[1] else self.library
+
     def _made(self, texts: list[str]) -> list[bytes]:
-        """Plain words are letters and marks, each of which are looked up; other words go to the library one by one."""
-        parts = [m.groups() if m else None for m in map(self.plain, texts)]
-        of, _ = self.letters.look_up({p[0] for p in parts if p}, self._joined)
-        alone = list({p[1] for p in parts if p} | {t for t, p in zip(texts, parts) if p is None})
-        apart = dict(zip(alone, self._each(alone)))
-        return [of[p[0]] + apart[p[1]] if p else apart[t] for t, p in zip(texts, parts)]
+        """Letters go to the library joined, other words and marks one by one."""
+        kinds = [1 + t.isascii() if self.plain(t) else 0 for t in texts]
+        other, accented, ascii_only = ([t for t, k in zip(texts, kinds) if k == n] for n in range(3))
+        made = [iter(self._each(other)), iter(self._joined(accented, self.library)), iter(self._joined(ascii_only, self.short))]
+        return [next(made[k]) for k in kinds]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
+    def _joined(self, words: list[str], library) -> list[bytes]:
         """Plain words go to the library many at a time; a piece that ends a word parts them."""
         made: list[bytes] = []
-        joined = self.library.encode_batch_fast([" ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
+        joined = library.encode_batch_fast([" ".join(words[i:i + JOINED]).lower() for i in range(0, len(words), JOINED)], add_special_tokens=False)
         for i, found in enumerate(joined):
             ids, here = np.array(found.ids, dtype=self.kind), words[i * JOINED:(i + 1) * JOINED]
             stops = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
@@ -78,21 +90,29 @@ class WordTokens:
         return made
 
     def encode(self, texts) -> list[np.ndarray]:
-        """The ids of each text; null has none. Texts are cut and words told apart in Arrow, each distinct one is looked up once."""
+        """The ids of each text; null has none.
+
+        Texts are cut, words told apart and marks taken off their ends in Arrow. Distinct letters, marks and other words
+        are looked up once; marks behind letters are always pieces of their own.
+        """
         cut = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
         stops, words = cut.offsets.to_numpy(), cut.values.dictionary_encode()
-        names = words.dictionary.to_pylist()
+        split = pc.extract_regex(words.dictionary, self.parts)
+        letters, marks = pc.coalesce(pc.struct_field(split, "letters"), words.dictionary), pc.fill_null(pc.struct_field(split, "marks"), "")
+        pieces = pa.concat_arrays([letters, marks]).dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, _ = self.known.look_up(set(names), self._made)
         packed = [known[w] for w in names]
         lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.kind.itemsize
-        at = words.indices.to_numpy()
+        # Letters, or another word, and marks of each word.
+        at = pieces.indices.to_numpy().reshape(2, -1).T[words.indices.to_numpy()].ravel()
         here = lengths[at]
         ends = np.concatenate([[0], np.cumsum(here)])
         # A part's ids are counted in 32 bits unless one text has more.
         small = np.int32 if ends[-1] < 1 << 31 else np.int64
         places = np.arange(ends[-1], dtype=small) + np.repeat(((np.cumsum(lengths) - lengths)[at] - ends[:-1]).astype(small), here)
         ids = np.frombuffer(b"".join(packed), dtype=self.kind)[places]
-        stops = ends[stops].tolist()
+        stops = ends[2 * stops].tolist()
         return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
 

@@ -149,3 +149,25 @@ def test_neighbours_share_words(spark):
     for r in got:
         mixed.setdefault(r["sequence_id"], set()).add(r["id"] % 8)
     assert sum(map(len, mixed.values())) <= 1.5 * len(mixed)
+
+
+def test_letters_go_to_the_library_without_its_patterns(library):
+    """Marks come off before words are looked up, and only other words pass through the vocabulary's patterns."""
+    with open(PATH, encoding="utf-8") as file:
+        tokens = WordTokens(file.read())
+    assert tokens.short is not tokens.library
+    texts = ["Word word, word... (word) wórd, WÓRD!? Straße", "a.b a,b 's it's. -- ...", "ÀÉ; àé\x0bend", None, "", "Zq" * 400 + "!", "e\u0301a. a\u0301"]
+    assert [t.tolist() for t in tokens.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert {"word", "Word", "wórd", ",", "..."} <= set(tokens.known.young) and not {"word,", "word...", "wórd,"} & set(tokens.known.young)
+
+
+def test_other_vocabularies_keep_their_patterns(library):
+    """Where letters alone are not read as they stand, the library reads them in full."""
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        model = json.load(file)
+    model["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "q"}, "content": "k"})
+    tokens = WordTokens(json.dumps(model))
+    assert tokens.short is tokens.library
+    assert tokens.encode(["Quick, quilt"])[0].tolist() == library.encode("kuick, kuilt").ids
